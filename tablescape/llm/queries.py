@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescape.llm import decontamination, mixing, sharding, simhash, topk
+from tablescape.llm import decontamination, lm, mixing, quality, sharding, simhash, tokencount, tokenids, topk
 from tablescape.llm.common import table
 
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 ALL = {
+    "op1_lm_scoring": lambda s, d: lm.op1_lm_scores(table(s, d, "documents"), vocabulary("word_bpe_49k.json")),
+    "op2_token_counts": lambda s, d: tokencount.op2_token_counts(table(s, d, "documents"), vocabulary("byte_bpe_50k.json")),
     "op3_simhash": lambda s, d: simhash.op3_simhash(table(s, d, "documents")),
     "op5_exact_top_k": lambda s, d: topk.op5_top_k(table(s, d, "embeddings")),
     "op6_mixing": lambda s, d: mixing.op6_mix(table(s, d, "documents")),
     "op7_decontamination": lambda s, d: decontamination.op7_decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
     "op8_sharding": lambda s, d: sharding.op8_shard(table(s, d, "documents")),
+    "op9_token_ids": lambda s, d: tokenids.op9_token_ids(table(s, d, "documents"), vocabulary("word_bpe_49k.json")),
+    "op10_quality": lambda s, d: quality.op10_quality(table(s, d, "documents"), table(s, d, "labels")),
 }
 
 

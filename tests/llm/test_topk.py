@@ -40,6 +40,12 @@ def test_against_brute_force(spark, monkeypatch):
 
 
 def test_large_components(spark):
-    df = spark.createDataFrame([(0, [1e9, 3.0]), (1, [1e9, -5.0]), (2, [2e9, 1.0]), (3, [1e18, 1.0])], "vec_id bigint, embedding array<double>")
-    got = [(r["vec_id"], r["score"]) for r in topk.exact_top_k(df, F.col("vec_id") == 0, 3).orderBy("rank").collect()]
-    assert got == [(3, 2**63 - 1), (2, 2**63 - 1), (1, 64 * 10**9 * 64 * 10**9 + 192 * -320)] or got[2] == (1, min(2**63 - 1, (64 * 10**9) ** 2 - 192 * 320))
+    def top(rows):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        return [(r["vec_id"], r["score"]) for r in topk.exact_top_k(df, F.col("vec_id") == 0, 3).orderBy("rank").collect()]
+
+    # beyond doubles, within a long: exact
+    n = 64 * 10**7
+    assert top([(0, [1e7, 3.0]), (1, [1e7, -5.0]), (2, [1e7, -4.0]), (3, [1.0, 1.0])]) == [(2, n * n - 192 * 256), (1, n * n - 192 * 320), (3, n * 64 + 192 * 64)]
+    # beyond a long: held to its end, where ties go to the smaller id
+    assert top([(0, [1e9, 3.0]), (1, [1e9, -5.0]), (2, [2e9, 1.0]), (3, [1e18, 1.0])]) == [(i, 2**63 - 1) for i in (1, 2, 3)]
