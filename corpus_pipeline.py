@@ -8,13 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescape.llm import decontamination, mixing, sharding, simhash
+from tablescape.llm import decontamination, mixing, quality, sharding, simhash
 from tablescape.session import stage
 
 #: SQL can't express a trained classifier, so the stages are tested one by one against brute force.
 ORACLE_SQL = None
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group of near-duplicates."""
     return simhash.keep_first(docs)
@@ -35,7 +40,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, 8, carry=("text", "lang", "source", "n_chars"))
 
 
-STAGES = [("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
+STAGES = [("quality", classify), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescape.llm import decontamination, lm, mixing, quality, sharding, simhash, tokencount, tokenids, topk
+from tablescape.llm import decontamination, licenses, lm, mixing, quality, sharding, simhash, tokencount, tokenids, topk
 from tablescape.llm.common import table
 
 
@@ -21,6 +21,7 @@ ALL = {
     "op1_lm_scoring": lambda s, d: lm.op1_lm_scores(table(s, d, "documents"), vocabulary("word_bpe_49k.json")),
     "op2_token_counts": lambda s, d: tokencount.op2_token_counts(table(s, d, "documents"), vocabulary("byte_bpe_50k.json")),
     "op3_simhash": lambda s, d: simhash.op3_simhash(table(s, d, "documents")),
+    "op4_licenses": lambda s, d: licenses.op4_licenses(table(s, d, "documents")),
     "op5_exact_top_k": lambda s, d: topk.op5_top_k(table(s, d, "embeddings")),
     "op6_mixing": lambda s, d: mixing.op6_mix(table(s, d, "documents")),
     "op7_decontamination": lambda s, d: decontamination.op7_decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
@@ -34,5 +35,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(ALL)
 
 
+#: SQL of the operators that SQL can express over whole tables.
+SQL = {
+    "op5_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(range(1, len(q.x) + 1), i -> q.x[i] * c.x[i])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20
+    """,
+    "op7_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), bw AS (
+            SELECT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS win
+            FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+        ), lengths AS (SELECT DISTINCT n FROM bw),
+        dw AS (
+            SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS win
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)
+        ), found AS (SELECT DISTINCT doc_id, i, n, item_id FROM dw JOIN bw USING (n, win)),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """.replace("\\", "\\"[:1]),
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
