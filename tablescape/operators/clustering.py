@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -180,7 +181,13 @@ def gap_curve(points: DataFrame, vector: str, ks: list[int], references: int = 3
     spark = points.sparkSession
     x = stage(points.select(F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL"), "gap")
     spans = x.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("d").collect()  # a row a dimension
-    cost = lambda df, k: KMeans(k=k, seed=seed).fit(df).summary.trainingCost
+
+    def cost(df: DataFrame, k: int) -> float:
+        if k > 1:
+            return KMeans(k=k, seed=seed).fit(df).summary.trainingCost
+        one = df.select(Summarizer.metrics("count", "variance").summary(F.col("features")).alias("s")).first()["s"]
+        return float(sum(one["variance"])) * (one["count"] - 1)
+
     real = x.select(array_to_vector("v").alias("features")).cache()
     fakes = [x.select(array_to_vector(F.array(*[F.lit(r["lo"]) + F.rand(seed * 1000 + i * 100 + r["d"]) * (r["hi"] - r["lo"]) for r in spans])).alias("features")).cache() for i in range(references)]
     rows = []
