@@ -11,6 +11,8 @@ in order hold the documents in ascending doc_id order, nulls first.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -25,7 +27,7 @@ from tablescape.session import stage
 #: Ids in a block, about.
 BLOCK_IDS = 1 << 18
 #: Chunks that a task's memory of encoded chunks holds in each of two generations.
-MEMORY = 250_000
+MEMORY = 500_000
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -52,6 +54,20 @@ def unpack(payload: bytes, width: int, first: int, past: int) -> np.ndarray:
     return np.packbits(full, axis=1, bitorder="little").view("<u4")[:, 0]
 
 
+#: What byte-level tokenizers write for each byte: printable ones stand for themselves, the others for the characters from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = dict(zip([b for b in range(256) if b not in _PRINTED], range(256, 512)))
+#: A lower-case word of ASCII and Latin-1 letters and the punctuation after it: two pre-tokens, whatever the normaliser does.
+PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?|$&%*#]*)")
+
+
+def piece_ids(tokenizer, pre_token: str) -> list[int]:
+    """Ids of one pre-token by the library's model, without its text pipeline; for byte-level tokenizers."""
+    if not (pre_token.isascii() and pre_token.isalpha()):  # ASCII letters stand for themselves
+        pre_token = pre_token.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_LETTERS)
+    return [t.id for t in tokenizer.model.tokenize(pre_token)]
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct chunk once as long as it is remembered.
 
@@ -71,11 +87,47 @@ class Encoder:
         self.memory, self.new, self.old = memory, {}, {}
 
     def _learn(self, chunks: list[bytes]) -> None:
-        for at in range(0, len(chunks), 4096):
-            some = chunks[at : at + 4096]
+        rest = []
+        for c in chunks:
+            plain = PLAIN.fullmatch(c.decode("utf-8", "replace"))
+            if plain is None:
+                rest.append(c)
+                continue
+            word, marks = plain.groups()
+            ids = self._part(word)
+            self.new[c] = ids + self._part(marks) if marks else ids
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
             for c, e in zip(some, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)):
                 self.new[c] = np.array(e.ids, "<u4").tobytes()
 
+    def _part(self, pre_token: str) -> bytes:
+        key = pre_token.encode()
+        ids = self.new.get(key) or self.old.get(key)
+        if ids is None:
+            found = piece_ids(self.tokenizer, pre_token)
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self.new[key] = ids
+        return ids
+
+    def distinct(self, chunks: list[bytes]) -> list[list[int]]:
+        """Ids of chunks that are not seen again; nothing is remembered."""
+        names = [c.decode("utf-8", "replace") for c in chunks]
+        out = [None] * len(names)
+        odd = []
+        for i, name in enumerate(names):
+            plain = PLAIN.fullmatch(name)
+            if plain is None:
+                odd.append(i)
+            else:
+                word, marks = plain.groups()
+                out[i] = piece_ids(self.tokenizer, word) + (piece_ids(self.tokenizer, marks) if marks else [])
+        for at in range(0, len(odd), 4096):
+            some = odd[at : at + 4096]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([names[i] for i in some], add_special_tokens=False)):
+                out[i] = e.ids
+        return out
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
