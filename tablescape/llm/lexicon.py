@@ -28,6 +28,14 @@ BLOCK_BYTES = 24 << 20
 TASK_TERMS = 250_000
 
 
+class Numbers(dict):
+    """Numbers new terms in the order in which they are looked up."""
+
+    def __missing__(self, term):
+        n = self[term] = len(self)
+        return n
+
+
 def blocks(docs: DataFrame, split: Callable[[str], list], flag: str | None = None, bags: bool = False) -> DataFrame:
     """The written table of blocks of ``docs`` (doc_id, text[, flag]).
 
@@ -48,7 +56,7 @@ def blocks(docs: DataFrame, split: Callable[[str], list], flag: str | None = Non
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
         task, number = TaskContext.get().partitionId(), 0
-        known: dict = {}
+        known = Numbers()
         keys, sizes, flags, codes, freqs, held = [], [], [], [], [], 0
 
         def row():
@@ -66,8 +74,6 @@ def blocks(docs: DataFrame, split: Callable[[str], list], flag: str | None = Non
             marks = batch.column(2).to_pylist() if flag else [False] * batch.num_rows
             for key, text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), marks):
                 terms = split(text) if text else []
-                for t in set(terms).difference(known):
-                    known[t] = len(known)
                 code = np.fromiter(map(known.__getitem__, terms), np.uint32, len(terms))
                 if bags:
                     code, n = np.unique(code, return_counts=True)
