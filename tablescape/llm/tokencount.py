@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablescape.llm import lexicon
 from tablescape.llm.common import arrow_schema, rows_of
+from tablescape.llm.tokenids import piece_ids
 
 #: Fixed by the tokenizer family: how byte-level BPE cuts text into pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,11 +61,9 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
         return [x.encode("utf-8", "surrogatepass") for x in pre_tokens(body, path)]
 
     def value(terms, _):
-        tokenizer, n = _tools(path)[0], np.zeros(len(terms), np.int64)
-        for at in range(0, len(terms), 4096):
-            some = tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in terms[at : at + 4096]], add_special_tokens=False)
-            n[at : at + 4096] = [len(e.ids) for e in some]
-        return n, None, None
+        tokenizer, _, _, special = _tools(path)
+        names = (t.decode("utf-8", "replace") for t in terms)
+        return np.array([1 if t in special else len(piece_ids(tokenizer, t)) for t in names], np.int64), None, None
 
     table = lexicon.blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), split, bags=True)
     id_type = docs.schema[doc_id].dataType.simpleString()
