@@ -18,18 +18,44 @@ from tablescape.llm.common import arrow_map, id_fold
 PASSAGE = 512
 #: Buckets of hashed byte pairs beside the 256 byte counts.
 PAIRS = 256
-FEATURES = 256 + PAIRS
+#: Shares of a passage's words that equal the word before, and the one before that.
+ECHOES = 2
+FEATURES = 256 + PAIRS + ECHOES
 HIDDEN, GATE = 24, 12
 #: Labelled documents that the model learns from, at most: those of the smallest hash of their id.
-SAMPLE = 4000
+SAMPLE = 10_000
 #: Passages of one document that teach, at most: evenly spread over its whole text. All passages are scored.
-TEACH = 512
+TEACH = 32
 #: Documents of this score and above are accepted.
 THRESHOLD = 0.3
 
 
+_RANDOM = np.random.default_rng(99).integers(1, 1 << 40, 256)
+_RANDOM[65:91] = _RANDOM[97:123]  # A-Z count as a-z
+
+
+def echoes(x: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` passages the shares of words equal to the first and second word before them; ``x`` are bytes, ``row`` their passages."""
+    inside = (x > 32) & (x != 127)
+    new = inside.copy()
+    new[1:] &= ~inside[:-1] | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    out = np.zeros((n, ECHOES), np.float32)
+    if not len(first):
+        return out
+    at = np.flatnonzero(inside)
+    word = np.cumsum(new)[at] - 1
+    name = np.bincount(word, weights=((_RANDOM[x[at]] * (at - first[word] + 1)) % (1 << 31)).astype(np.float64), minlength=len(first))
+    where = row[first]
+    words = np.maximum(1, np.bincount(where, minlength=n))
+    for k in range(1, ECHOES + 1):
+        same = (name[k:] == name[:-k]) & (where[k:] == where[:-k])
+        out[:, k - 1] = np.bincount(where[k:][same], minlength=n) / words
+    return out
+
+
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(features, starts): square roots of byte and hashed byte-pair shares of each passage, and each document's first passage.
+    """(features, starts): square roots of byte and hashed byte-pair shares and the echoes of each passage, and each document's first passage.
 
     A text is cut every ``PASSAGE`` bytes; an empty or null text is one passage
     without bytes. Pairs do not span passages, so any part of a text can be
@@ -40,7 +66,7 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.maximum(1, -(-sizes // PASSAGE))
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
     n = int(counts.sum())
-    out = np.zeros((n, FEATURES), np.float32)
+    out, echo = np.zeros((n, FEATURES), np.float32), np.zeros((n, ECHOES), np.float32)
     buf = np.frombuffer(b"".join(data), np.uint8)
     if len(buf):
         # one passage a row, padded: the last of each document is short
@@ -61,9 +87,12 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             pair = ((x[:-1] * 31 + x[1:] * 17) % PAIRS)[same]
             two = np.bincount(row[1:][same] * PAIRS + pair, minlength=(some.stop - at) * PAIRS).reshape(-1, PAIRS)
             out[some, :256] = one
-            out[some, 256:] = two
+            out[some, 256 : 256 + PAIRS] = two
+            echo[some] = echoes(x, row, some.stop - at)
     total = np.maximum(1, out[:, :256].sum(1, keepdims=True))
-    return np.sqrt(out / total, dtype=np.float32), starts
+    out = np.sqrt(out / total, dtype=np.float32)
+    out[:, 256 + PAIRS :] = echo
+    return out, starts
 
 
 class BagModel:
@@ -109,7 +138,7 @@ class BagModel:
         du = dh * (1 - h * h)
         return {"W": x.T @ du, "b": du.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ g, "d": np.array([g.sum()])}
 
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> "BagModel":
+    def fit(self, bags: list[np.ndarray], labels: np.ndarray, epochs: int = 20, batch: int = 64, rate: float = 0.01, decay: float = 1e-3, seed: int = 0) -> "BagModel":
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
