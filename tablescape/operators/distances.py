@@ -142,7 +142,7 @@ def merge_small_components(columns: DataFrame, edges: DataFrame, small: int = 5,
     side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in profiles.columns], *([F.col("component")] if p == "a" else []))
     few = profiles.join(comp, "node").join(sizes.where(F.col("k") < small), "component").join(main, F.col("component") == F.col("main"), "left_anti")
     to = profiles.join(comp.join(main, F.col("component") == F.col("main"), "left_semi").select("node"), "node", "left_semi")
-    pairs = side(few, "a").crossJoin(F.broadcast(side(to, "b"))).select("component", F.col("a_node").alias("src"), F.col("b_node").alias("dst"), connection_score().alias("score"))  # tables of small components by tables
+    pairs = side(few, "a").crossJoin(side(to, "b")).select("component", F.col("a_node").alias("src"), F.col("b_node").alias("dst"), connection_score().alias("score"))  # tables of small components by tables
     top = pairs.groupBy("component").agg(F.min(F.struct((-F.col("score")).alias("s"), "src", "dst")).alias("t")).where(-F.col("t.s") >= least)
     return edges.select("src", "dst", "weight").unionByName(top.select("t.src", "t.dst", (-F.col("t.s") * 0.4).alias("weight")))
 

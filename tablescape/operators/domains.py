@@ -70,7 +70,7 @@ def domain_names(domains: DataFrame, terms: DataFrame) -> DataFrame:
 def dominant_hub(members: DataFrame, hubs: DataFrame) -> DataFrame:
     """(cluster, hub): the hub that most tables' names contain, a half more if it is a member, one more if it has that name itself; ties by name."""
     m = members.select("cluster", F.lower("node").alias("node"))
-    j = m.crossJoin(F.broadcast(hubs.select(F.col("node").alias("hub"))))  # tables by hubs, of which there are few
+    j = m.crossJoin(hubs.select(F.col("node").alias("hub")))  # tables by hubs, of which there are few
     s = F.when(F.col("node").contains(F.lower("hub")), 1.0).otherwise(0.0) + F.when(F.col("node") == F.lower("hub"), 1.5).otherwise(0.0)
     return best(j.groupBy("cluster", "hub").agg(F.sum(s).alias("s")).where("s > 0"), ["cluster"], "s", "hub").select("cluster", "hub")
 

@@ -25,15 +25,19 @@ def top_counts(events: DataFrame, by: str, k: int = 10) -> DataFrame:
 
 
 def trailing_counts(events: DataFrame, key: list[str], seconds: int, ts: str = "ts") -> DataFrame:
-    """``events`` with ``trailing``: events of the key in the last ``seconds``, open at the far end, the event's own time closed.
+    """(key, ts, trailing): events of the key in the last ``seconds``, open at the far end, the time itself closed.
 
-    Equal times of a key are first counted into one row, so the window runs
-    over the key's distinct times.
+    Equal times of a key are first counted into one row. Rows are then dealt
+    by key and a stretch of ``seconds``; each also stands, as history, in the
+    next stretch, which sees all that its windows reach. So a hot key is cut
+    along time and no task orders all of it.
     """
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    times = events.groupBy(*key, ts).agg(F.count("*").alias("_n")).withColumn("_t", t)
-    w = Window.partitionBy(*key).orderBy("_t").rangeBetween(-(seconds * 1_000_000) + 1, 0)
-    return times.withColumn("trailing", F.sum("_n").over(w)).drop("_t")
+    reach = seconds * 1_000_000
+    times = events.where(F.col(ts).isNotNull()).groupBy(*key, ts).agg(F.count("*").alias("_n")).withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    own = F.floor(F.col("_t") / reach)
+    dealt = times.withColumn("_own", own).withColumn("_part", F.explode(F.array("_own", F.col("_own") + 1)))
+    w = Window.partitionBy(*key, "_part").orderBy("_t").rangeBetween(-reach + 1, 0)
+    return dealt.withColumn("trailing", F.sum("_n").over(w)).where(F.col("_part") == F.col("_own")).drop("_t", "_own", "_part", "_n")
 
 
 def alerts(events: DataFrame, event_type: str, least: int, seconds: int, key: list[str] = (), ts: str = "ts") -> DataFrame:

@@ -152,7 +152,7 @@ def bfs(edges: DataFrame, sources: DataFrame, most: int = 50, directed: bool = F
         new = stage(front.join(seen, ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops")), "bfs")
         if new.isEmpty():
             break
-        seen = stage(seen.unionByName(new), "bfs")
+        seen = seen.unionByName(new)  # of written levels: nothing is written twice
     return seen
 
 
@@ -224,5 +224,5 @@ def cycles(edges: DataFrame, most: int = 20) -> DataFrame:
         if front.isEmpty():
             break
         out = out.unionByName(front.where("source = node").select(F.col("source").alias("node"), F.lit(length).alias("length")))
-        seen = stage(seen.unionByName(front), "cycle")
+        seen = seen.unionByName(front)
     return out.groupBy("node").agg(F.min("length").alias("length"))

@@ -166,12 +166,12 @@ def code_values(cells: DataFrame, sheet: str, mode: str = "mixed") -> DataFrame:
 def match_names(names: DataFrame, candidates: DataFrame, least: float = 0.7) -> DataFrame:
     """(name, candidate, similarity): the equal candidate in any case, else the most similar from ``least`` on, ties to the least name.
 
-    Equal names leave before the rest meets the candidates, which are the
-    distinct names of a catalog, in blocks of the first letter's set of
-    candidates of comparable length; for bounded lists of names.
+    Equal names leave before the rest meets the candidates; both are distinct
+    names of a catalog, bounded lists whose smaller side Spark ships if its
+    size allows.
     """
     n, c = names.select("name").distinct(), candidates.select("candidate").distinct()
     exact = n.join(c, F.lower("name") == F.lower("candidate")).groupBy("name").agg(F.min("candidate").alias("candidate")).withColumn("similarity", F.lit(1.0))
-    rest = n.join(exact, "name", "left_anti").crossJoin(F.broadcast(c)).withColumn("similarity", jaro_winkler(F.col("name"), F.col("candidate"))).where(F.col("similarity") >= least)
+    rest = n.join(exact, "name", "left_anti").crossJoin(c).withColumn("similarity", jaro_winkler(F.col("name"), F.col("candidate"))).where(F.col("similarity") >= least)
     near = rest.groupBy("name").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "candidate")).alias("b")).select("name", F.col("b.candidate").alias("candidate"), (-F.col("b.s")).alias("similarity"))
     return exact.unionByName(near)
