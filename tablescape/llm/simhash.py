@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, text: str = "text", doc_id
     """
     found = stage(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "fp")
     classes = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "class")
-    parts = stage(connected_components(linking_edges(classes, radius)), "part")
+    parts = stage(connected_components(stage(linking_edges(classes, radius), "links")), "part")
     rooted = classes.join(parts, classes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     to = stage(rooted.join(named, "root").select("fp", "component_id"), "named")
@@ -153,14 +153,15 @@ def near_duplicates(docs: DataFrame, radius: int = 3, text: str = "text", doc_id
 def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The documents without near-duplicates: of each component one row, that of the least doc_id (nulls last), with all columns.
 
-    Of rows that share this doc_id the first as read stays.
+    Of rows that share this doc_id the first as read stays. ``docs`` is read
+    twice and should be a written table, whose rows keep their places.
     """
     own = docs.columns
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     found = stage(fingerprints(rows, keep=("doc_id", "_row")), "fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("first")
     classes = stage(found.groupBy("fp").agg(first), "class")
-    parts = stage(connected_components(linking_edges(classes, radius)), "part")
+    parts = stage(connected_components(stage(linking_edges(classes, radius), "links")), "part")
     kept = (
         classes.join(parts, classes.fp == parts.node, "left")
         .groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
