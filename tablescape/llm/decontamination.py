@@ -265,7 +265,7 @@ def _hit_words() -> F.Column:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all columns."""
+    """The documents that are not contaminated, with all columns; ``docs`` is read twice and should be a written table."""
     own = docs.columns
     rows = docs.withColumn("_tag", F.monotonically_increasing_id())
     bad = decontaminate(rows.select("_tag", "text"), items, doc_id="_tag").where((_hit_words() > 0) & (SHARE * _hit_words() >= F.col("n_words")))

@@ -125,7 +125,7 @@ def mix(docs: DataFrame, ratio: float = 1.5, most: int = 2, cycle: tuple[float,
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus as rows of ``docs``: each document whole, as often as the words it gives make its size up, rounded (0, 1 or 2 times)."""
+    """The mixed corpus as rows of ``docs``: each document whole, as often as the words it gives make its size up, rounded (0, 1 or 2 times); ``docs`` is read twice and should be a written table."""
     own = docs.columns
     rows = docs.withColumn("_tag", F.monotonically_increasing_id())
     times = mix(rows, keys=("_tag",), **how).select("_tag", F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias("_times")).where("_times > 0")
