@@ -113,14 +113,14 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     if not n:
         return state.select("node", F.lit(0.0).alias("rank"))
     links = stage(edges.groupBy("src", "dst").agg(F.count("*").alias("m")).join(state.withColumnRenamed("node", "src"), "src").select("src", "dst", (F.col("m") / F.col("share")).alias("f")), "rank-links")
-    ranks = stage(state.withColumn("rank", F.lit(1.0 / n)), "rank")
+    ranks = state.withColumn("rank", F.lit(1.0 / n))
+    loose = 0.0 if compat else state.where("share = 0").count() / n
     for _ in range(rounds):
-        loose = 0.0 if compat else ranks.where("share = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         got = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("f")).alias("got"))
         new = ranks.join(got, "node", "left").select("node", "share", F.col("rank").alias("old"), (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(loose / n))).alias("rank"))
         ranks = stage(new, "rank")
-        moved = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = ranks.drop("old")
+        moved, left = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("share") == 0, F.col("rank"))), F.lit(0.0))).first()
+        ranks, loose = ranks.drop("old"), 0.0 if compat else left
         if moved < tolerance:
             break
     return ranks.select("node", "rank")

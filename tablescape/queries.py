@@ -503,17 +503,17 @@ def cluster_transitivity(spark, sf_dir):
     return graph.transitivity(stage(part_sequence(spark, sf_dir), "parts"), m).withColumn("transitivity", F.round("transitivity", 6))
 
 
-def _rounds_sql(first: str, step: str, rounds: int, value: str) -> str:
+def _rounds_sql(first: str, step: str, rounds: int, value: str, base: str = TRADE, digits: int = 6) -> str:
     """Rounds of an iteration as chained tables."""
     ctes = [f"r0 AS MATERIALIZED ({first})"] + [f"r{k + 1} AS MATERIALIZED ({step.format(r=f'r{k}')})" for k in range(rounds)]
-    return f"WITH {TRADE}, {DEGREES}, n AS (SELECT count(*) AS n FROM nodes), {', '.join(ctes)} SELECT node, round({value}, 6) AS {value} FROM r{rounds}"
+    return f"WITH {base}, {DEGREES}, n AS (SELECT count(*) AS n FROM nodes), {', '.join(ctes)} SELECT node, round({value}, {digits}) AS {value} FROM r{rounds}"
 
 
-def _rank_sql(rounds: int, compat: bool) -> str:
+def _rank_sql(rounds: int, compat: bool, base: str = TRADE, digits: int = 6) -> str:
     share = "degree" if compat else "out_degree"
     loose = "0" if compat else "coalesce((SELECT sum(rank) FROM {r} JOIN deg USING (node) WHERE out_degree = 0), 0)"
     got = f"SELECT e.dst AS node, sum(s.rank / d.{share}) AS got FROM {{r}} s JOIN edges e ON e.src = s.node JOIN deg d ON d.node = s.node GROUP BY 1"
-    return _rounds_sql("SELECT node, CAST(1.0 AS DOUBLE) / n AS rank FROM nodes, n", f"SELECT b.node, (1 - 0.85) / n + 0.85 * (coalesce(got, 0) + {loose} / n) AS rank FROM {{r}} b LEFT JOIN ({got}) g ON b.node = g.node, n", rounds, "rank")
+    return _rounds_sql("SELECT node, CAST(1.0 AS DOUBLE) / n AS rank FROM nodes, n", f"SELECT b.node, (1 - 0.85) / n + 0.85 * (coalesce(got, 0) + {loose} / n) AS rank FROM {{r}} b LEFT JOIN ({got}) g ON b.node = g.node, n", rounds, "rank", base, digits)
 
 
 @query("pagerank_standard", _rank_sql(20, False))
@@ -526,9 +526,9 @@ def pagerank_compat(spark, sf_dir):
     return graph.pagerank(stage(trade_graph(spark, sf_dir), "trade"), rounds=10, tolerance=0.0, compat=True).withColumn("rank", F.round("rank", 6))
 
 
-@query("part_pagerank")
+@query("part_pagerank", _rank_sql(10, False, f"{PARTS}, nodes AS (SELECT DISTINCT unnest([src, dst]) AS node FROM edges)", 9))
 def part_pagerank(spark, sf_dir):
-    return graph.pagerank(stage(part_sequence(spark, sf_dir), "parts"), rounds=10)
+    return graph.pagerank(stage(part_sequence(spark, sf_dir), "parts"), rounds=10, tolerance=0.0).withColumn("rank", F.round("rank", 9))
 
 
 @query("dependency_centrality", _rounds_sql(
@@ -750,9 +750,16 @@ def community_report(spark, sf_dir):
     return validation.community_report(*_part_types(spark, sf_dir)).withColumns({"conductance": F.round("conductance", 6), "density": F.round("density", 6)})
 
 
-@query("graph_quality")
+@query("graph_quality", f"""WITH {PLACED}, m AS (SELECT sum(weight) AS m FROM pl), l AS (SELECT cs AS k, sum(weight) AS l FROM pl WHERE cs = cd GROUP BY 1), d AS (SELECT k, sum(weight) AS d FROM (SELECT cs AS k, weight FROM pl UNION ALL SELECT cd, weight FROM pl) GROUP BY 1),
+    mo AS (SELECT sum(coalesce(l, 0) / m - (d / (2 * m)) * (d / (2 * m))) AS modularity, avg((d - 2 * coalesce(l, 0)) / least(d, 2 * m - d)) AS conductance FROM d LEFT JOIN l USING (k), m),
+    co AS (SELECT sum(CASE WHEN cs = cd THEN weight ELSE 0 END) / sum(weight) AS coverage FROM pl),
+    u AS (SELECT count(*) FILTER (a.p_type = b.p_type) AS iu, count(*) FILTER (a.p_type <> b.p_type) AS xu FROM und JOIN part a ON und.a = a.p_partkey JOIN part b ON und.b = b.p_partkey),
+    s AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2) AS ip FROM (SELECT count(*) AS n FROM part GROUP BY p_type)),
+    q AS (SELECT modularity, conductance, coverage, (iu + (n * (n - 1) / 2 - ip - xu)) / (n * (n - 1) / 2) AS performance FROM mo, co, u, s)
+    SELECT round(modularity, 6) AS modularity, round(conductance, 6) AS conductance, round(coverage, 6) AS coverage, round(performance, 6) AS performance, round((0.3 * modularity + 0.2 * (1 - conductance) + 0.2 * coverage + 0.1 * performance) / 0.8, 6) AS score FROM q""")
 def graph_quality(spark, sf_dir):
-    return validation.graph_quality(*_part_types(spark, sf_dir))
+    q = validation.graph_quality(*_part_types(spark, sf_dir))
+    return q.select(*[F.round(c, 6).alias(c) for c in q.columns])
 
 
 @query("simplified_validation", """
