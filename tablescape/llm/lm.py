@@ -30,8 +30,8 @@ from tablescape.session import stage
 CHUNK = 16
 #: Width of embeddings and attention, of the hidden layer; classes; rows of the embedding and pair tables.
 WIDTH, HIDDEN, CLASSES, ROWS = 16, 32, 64, 2048
-#: One window in so many of each training document teaches the attention weights, spread over the whole text; corpus counts take every token.
-TEACH_EVERY = 10
+#: One window in so many of each training document teaches the attention weights: all of them; corpus counts take every token too.
+TEACH_EVERY = 1
 #: Windows in a training step, and steps that a block takes at least (passing over its windows again).
 STEP_WINDOWS, LEAST_STEPS = 256, 80
 #: Chunks scored at once, and words taken from a block at once.

@@ -101,6 +101,16 @@ def test_gradients_by_differences():
         assert grads[key][at] == pytest.approx((up - down) / 2e-2, rel=0.08, abs=2e-4), key
 
 
+def test_every_id_and_end_teaches():
+    vocab, _ = small_model()
+    sizes = [0, 1, 15, 16, 160, 333, 2000]
+    ids = np.random.default_rng(7).integers(0, 490, sum(sizes))
+    rows, first, target, valid = lm.teaching_windows(vocab, ids, np.cumsum(sizes), lm.TEACH_EVERY)
+    assert len(rows) == sum(n // lm.CHUNK + 1 for n in sizes) and first.sum() == len(sizes)
+    want = np.concatenate([[*d, vocab.end] for d in np.split(ids, np.cumsum(sizes)[:-1])]).astype(int)
+    assert target[valid].tolist() == vocab.klass[want].tolist()
+
+
 def test_learning_beats_counts():
     vocab, model = small_model()
     pattern = np.tile(np.arange(30), 200)  # the next id follows from the last one
