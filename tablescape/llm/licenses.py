@@ -3,12 +3,16 @@
 DataFrame functions only. A window family has a size: it takes every template
 of up to that many shingles and more than two thirds of it, and its windows,
 a quarter of the size apart, are so long that any passage of the size lies in
-one whole. A passage with the share ``CONTAINED`` of a template's shingles
-then has a Jaccard similarity of 0.39 at least with the template, and ``BANDS``
-bands of one MinHash each miss it with a probability below 0.61 ** 32 < 2e-7.
-
-Windows without any shingle of any template can contain none; they are left
-out before MinHash by a membership test of their shingles' hashes.
+one whole. Of a window only the shingles of the family's templates count. A
+text that holds a template's share ``CONTAINED`` in one window or in pieces far
+apart has windows whose places in the template add up to that share, and each
+of ``BANDS`` bands of one MinHash meets one of them with a probability of 0.28
+at least, whatever other templates stand there (0.8 if none does): all miss
+with a probability below 0.72 ** 32 < 3e-5 (1e-22). The windows retrieve
+templates only; the text's whole set of shingles decides.
+
+Windows without any shingle of the family are left out before MinHash by a
+membership test of their shingles' hashes.
 """
 
 from __future__ import annotations
@@ -63,9 +67,9 @@ def _words(text: F.Column) -> F.Column:
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED, bands: int = BANDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, matches): every document with [(template, containment, from_word)], sorted by template.
 
-    ``containment`` is the best share of the template's distinct five-word
-    shingles in one window, ``contained`` at least; ``from_word`` the first
-    window of that share. Null, empty and short texts match nothing; repeated
+    ``containment`` is the share of the template's distinct five-word shingles
+    in the whole text, ``contained`` at least; ``from_word`` the first of the
+    retrieved windows that hold most of them. Null, empty and short texts match nothing; repeated
     rows and null ids stay; extra columns are ignored; an empty table gives
     an empty result. ``templates`` is a bounded list and is broadcast.
     """
@@ -87,13 +91,17 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
     found = stage(found.select("doc_id", "row", F.when(F.col("hits").isNotNull(), F.col("words")).alias("words"), "hits"), "license-words")
 
     step = lambda s: max(1, s // 4)
-    some = found.where("hits IS NOT NULL").select("row", "hits", F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: F.array_join(F.slice("words", i + 1, SHINGLE), " ")).alias("all"))
+    at_hit = F.transform("hits", lambda i: F.struct(i.alias("at"), F.array_join(F.slice("words", i + 1, SHINGLE), " ").alias("s")))
+    some = found.where("hits IS NOT NULL").select("row", at_hit.alias("hits"))
     parts = []
     for s in sizes:
         t, length = step(s), s + step(s) - 1
+        own = known.where(F.col("size") == s).agg(F.array_distinct(F.flatten(F.collect_list("wanted"))).alias("family"))
+        mine = some.join(F.broadcast(own)).select("row", F.filter("hits", lambda h: F.array_contains("family", h["s"])).alias("hits"))
         # the windows that hold a hit: starts t apart, from the last at or before hit - length + 1 on
-        starts = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(F.greatest(F.lit(0), F.ceil((h - (length - 1)) / t)).cast("int"), F.floor(h / t).cast("int")))))
-        parts.append(some.select("row", F.lit(s).alias("size"), F.explode(starts).alias("w"), "all").select("row", "size", (F.col("w") * t).alias("from_word"), F.array_distinct(F.slice("all", F.col("w") * t + 1, length)).alias("has")))
+        starts = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(F.greatest(F.lit(0), F.ceil((h["at"] - (length - 1)) / t)).cast("int"), F.floor(h["at"] / t).cast("int")))))
+        inside = F.array_distinct(F.transform(F.filter("hits", lambda h: (h["at"] >= F.col("from_word")) & (h["at"] < F.col("from_word") + length)), lambda h: h["s"]))
+        parts.append(mine.select("row", "hits", F.explode(starts).alias("w")).select("row", "hits", (F.col("w") * t).alias("from_word")).select("row", F.lit(s).alias("size"), "from_word", inside.alias("has")))
     windows = parts[0]
     for p in parts[1:]:
         windows = windows.unionByName(p)
@@ -108,9 +116,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contained: floa
         .select("row", "from_word", "template", "has", "wanted")
     )
     share = F.size(F.array_intersect("wanted", "has")) / F.size("wanted")
-    verified = candidates.select("row", "from_word", "template", share.alias("containment")).where(F.col("containment") >= contained)
-    best = verified.groupBy("row", "template").agg(F.max(F.struct("containment", (-F.col("from_word")).alias("back"))).alias("b"))
-    lists = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("template", F.col("b.containment").alias("containment"), (-F.col("b.back")).cast("int").alias("from_word")))).alias("matches"))
+    retrieved = candidates.select("row", "from_word", "template", share.alias("share")).groupBy("row", "template").agg(F.max(F.struct("share", (-F.col("from_word")).alias("back"))).alias("b"))
+    whole = some.select("row", F.array_distinct("hits.s").alias("has"))
+    best = retrieved.join(whole, "row").join(F.broadcast(known), "template").withColumn("containment", share).where(F.col("containment") >= contained)
+    lists = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("template", "containment", (-F.col("b.back")).cast("int").alias("from_word")))).alias("matches"))
     return found.select("doc_id", "row").join(lists, "row", "left").select("doc_id", F.coalesce("matches", F.expr("cast(array() as array<struct<template: string, containment: double, from_word: int>>)")).alias("matches"))
 
 

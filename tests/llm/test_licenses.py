@@ -39,6 +39,26 @@ def test_against_brute_force(spark, docs, none):
     assert licenses.op4_licenses(none).count() == 0
 
 
+def test_inserted_words_at_every_offset(spark):
+    """Words put in the middle, or at two places, of a template that the text then still holds for the most part."""
+    rows, want = [], {}
+    for name, body in licenses.TEMPLATES.items():
+        words, wanted = re.findall(r"[^\W_]+", body.lower()), set(licenses.template_shingles(body))
+        for extra in (10, 20, 40, 400):
+            for cuts in ([len(words) // 2], [len(words) // 3, 2 * len(words) // 3]):
+                text = list(words)
+                for c in reversed(cuts):
+                    text[c:c] = [f"w{c}x{k}" for k in range(extra)]
+                for offset in range(24):
+                    full = [f"y{k}" for k in range(offset)] + text
+                    share = len(wanted & {" ".join(full[i : i + 5]) for i in range(len(full) - 4)}) / len(wanted)
+                    rows.append((len(rows), " ".join(full)))
+                    want[len(rows) - 1, name] = round(share, 9) if share >= 0.8 else None
+    got = {(r["doc_id"], m["template"]): round(m["containment"], 9) for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string").repartition(4)).collect() for m in r["matches"]}
+    assert {k: got.get(k) for k in want} == want
+    assert sum(v is not None for v in want.values()) > 800
+
+
 def test_no_python_in_the_plan(docs):
     plan = licenses.op4_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
