@@ -163,8 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BagModel:
 
     The labels chosen are those of the smallest hash of their doc_id, a sample
     that depends on the ids alone; the join ships that bounded list to the
-    documents, and their passages' features come to the driver. Labels without
-    an id or a quality are ignored; without labels the model gives 0.5.
+    documents, and their passages' features come to the driver, one row a label:
+    of repeated rows of a document those of the smallest features. Labels
+    without an id or a quality are ignored; without labels the model gives 0.5.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("float").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL")
@@ -178,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BagModel:
         bags = np.split(np.round(x * 255).astype(np.uint8), starts[1:])
         return {"doc_id": batch.column(0), "y": batch.column(1), "bag": pa.array([b[np.unique(np.linspace(0, len(b) - 1, TEACH).astype(int))].tobytes() for b in bags], pa.binary())}
 
-    rows = arrow_map(taught, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y float, bag binary", most_bytes=1 << 20).collect()
+    rows = arrow_map(taught, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y float, bag binary", most_bytes=1 << 20).groupBy("doc_id", "y").agg(F.min("bag").alias("bag")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["y"], r["bag"]))
     bags = [np.frombuffer(r["bag"], np.uint8).reshape(-1, FEATURES).astype(np.float32) / 255 for r in rows]
     return BagModel().fit(bags, np.array([r["y"] for r in rows], np.float32))

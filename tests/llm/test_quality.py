@@ -71,6 +71,15 @@ def test_held_out_accuracy_and_columns(spark):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def test_repeated_rows_of_a_document_teach_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(2, "other"), (3, "third"), (4, None)], "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)] + [(1, 1), (1, 1)], "doc_id bigint, quality int")
+    seen, fit = [], quality.BagModel.fit
+    monkeypatch.setattr(quality.BagModel, "fit", lambda self, bags, y: seen.append(len(bags)) or fit(self, bags, y))
+    quality.train(docs, labels)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 2, 3, 4))]
+
+
 def test_no_labels_and_no_documents(spark):
     docs, labels = tables(spark, 20)
     assert {r["score"] for r in quality.op10_quality(docs, labels.where("false")).collect()} == {0.5}
