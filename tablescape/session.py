@@ -27,11 +27,13 @@ def get_spark(app: str = "tablescape", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local mode, tests) a temporary folder
-    of this machine is set and used.
+    Only in local mode (tests), where none is named, a temporary folder of
+    this machine is set and used; executors elsewhere would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -43,15 +45,15 @@ def _staged(spark: SparkSession) -> list[str]:
     return spark._tablescape_staged
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def stage(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, in folders by the columns ``by``, and read it back.
 
     Cuts the lineage: a lost executor costs a read of the written table and no
     recomputation, and rows that are used twice are computed once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     _staged(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
