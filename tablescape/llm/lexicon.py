@@ -24,8 +24,8 @@ from tablescape.session import stage
 
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 24 << 20
-#: Blocks' terms that one task values, about.
-TASK_TERMS = 250_000
+#: Blocks' terms that one task values, about; blocks whose rows of one term may meet in a task; blocks that a task joins with their terms' values.
+TASK_TERMS, TERM_BLOCKS, TASK_BLOCKS = 250_000, 4096, 1
 
 
 class Numbers(dict):
@@ -36,7 +36,7 @@ class Numbers(dict):
         return n
 
 
-def blocks(docs: DataFrame, split: Callable[[str], list], flag: str | None = None, bags: bool = False) -> DataFrame:
+def blocks(docs: DataFrame, split: Callable[[bytes], list], flag: str | None = None, bags: bool = False) -> DataFrame:
     """The written table of blocks of ``docs`` (doc_id, text[, flag]).
 
     Columns: ``block`` (its name), ``doc_ids``, ``n_bytes``, ``flags`` (of the
@@ -44,8 +44,8 @@ def blocks(docs: DataFrame, split: Callable[[str], list], flag: str | None = Non
     ``codes``), ``codes`` (uint32: term numbers, zstd), ``freqs`` (uint32,
     zstd: with ``bags``, how often the document has the term; else codes are
     in the text's order), ``terms`` (binary, as ``split`` gives them) and
-    ``weights`` (how often flagged documents have the term). Null text counts
-    as empty.
+    ``weights`` (how often flagged documents have the term). ``split`` gets
+    the UTF-8 bytes of a text. Null text counts as empty.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"block string, doc_ids array<{id_type}>, n_bytes array<bigint>, flags array<boolean>, ends binary, codes binary, freqs binary, n_terms bigint, terms array<binary>, weights array<bigint>"
@@ -81,7 +81,7 @@ def blocks(docs: DataFrame, split: Callable[[str], list], flag: str | None = Non
                 codes.append(code)
                 keys.append(key)
                 flags.append(bool(mark))
-                sizes.append(len(text.encode("utf-8", "surrogatepass")) if text else 0)
+                sizes.append(len(text or b""))
                 held += sizes[-1]
                 if held >= BLOCK_BYTES:
                     yield row()
@@ -91,20 +91,34 @@ def blocks(docs: DataFrame, split: Callable[[str], list], flag: str | None = Non
         if keys:
             yield row()
 
-    return stage(docs.select("doc_id", "text", *([flag] if flag else [])).mapInArrow(run, schema), "blocks")
+    return stage(docs.select("doc_id", F.col("text").cast("binary").alias("text"), *([flag] if flag else [])).mapInArrow(run, schema), "blocks")
 
 
-def valued(table: DataFrame, value: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, list[bytes] | None, tuple[np.ndarray, np.ndarray] | None]]) -> DataFrame:
+def valued(table: DataFrame, value: Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, list[bytes] | None, tuple[np.ndarray, np.ndarray] | None]], weighed: bool = False) -> DataFrame:
     """The written table (block, at, number, body, sizes) of the terms' values, some rows a block.
 
-    ``value`` gets the distinct terms of a task, each of which no other task
-    has, with the sum of their weights, and gives a number a term, bytes a
-    term or None, and a sparse vector (int32 indices, int64 values) or None
-    that goes in a row of its own, with block null, for the whole corpus.
+    ``value`` gets distinct terms, the sums of their weights over the whole
+    corpus (if ``weighed``) and whether the term is seen here first, and gives
+    a number a term, bytes a term or None, and a sparse vector (int32 indices,
+    int64 values) or None that goes in a row of its own, with block null, for
+    the whole corpus. A term is dealt to a task by its hash, and to several if
+    there are more blocks than ``TERM_BLOCKS``: no task gets more rows of one
+    term than that, and one of these tasks sees it first.
     """
-    n = table.agg(F.sum("n_terms")).first()[0] or 0
+    n, n_blocks = table.agg(F.coalesce(F.sum("n_terms"), F.lit(0)), F.count("*")).first()
+    salts = max(1, -(-n_blocks // TERM_BLOCKS))
     # a block has a term once, so a term's rows are as many as blocks at most
     rows = table.select("block", F.posexplode(F.arrays_zip("terms", "weights")).alias("at", "t")).select("block", "at", F.col("t.terms").alias("term"), F.col("t.weights").alias("weight"))
+    salt = F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")
+    if salts == 1:
+        rows = rows.select("*", F.lit(0).alias("salt"), F.lit(True).alias("first"))
+    elif weighed:
+        rows = rows.withColumn("salt", salt)
+        totals = rows.groupBy("term").agg(F.sum("weight").alias("total"), F.min("salt").alias("least"))  # combined before the shuffle
+        rows = rows.join(totals, "term").select("block", "at", "term", F.col("total").alias("weight"), "salt", (F.col("salt") == F.col("least")).alias("first"))
+    else:
+        rows = rows.select("*", salt.alias("salt"), F.lit(True).alias("first"))
+    sums = salts == 1
     schema = "block string, at binary, number binary, body binary, sizes binary"
     wanted = arrow_schema(schema)
 
@@ -115,8 +129,15 @@ def valued(table: DataFrame, value: Callable[[list[bytes], np.ndarray], tuple[np
         whole = pa.Table.from_batches(got).combine_chunks()
         coded = pa.compute.dictionary_encode(whole.column("term")).chunk(0)
         terms, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        weight = np.bincount(code, weights=whole.column("weight").to_numpy(), minlength=len(terms)).astype(np.int64)
-        number, body, vector = value(terms, weight)
+        weights = whole.column("weight").to_numpy()
+        if sums:
+            weight = np.bincount(code, weights=weights, minlength=len(terms)).astype(np.int64)
+        else:
+            weight = np.zeros(len(terms), np.int64)
+            weight[code] = weights
+        first = np.zeros(len(terms), bool)
+        first[code[whole.column("first").to_numpy(zero_copy_only=False)]] = True
+        number, body, vector = value(terms, weight, first)
         where = pa.compute.dictionary_encode(whole.column("block")).chunk(0)
         names, where, at = where.dictionary.to_pylist(), where.indices.to_numpy(zero_copy_only=False), whole.column("at").to_numpy()
         del whole, got
@@ -133,13 +154,15 @@ def valued(table: DataFrame, value: Callable[[list[bytes], np.ndarray], tuple[np
         if vector is not None:
             yield pa.RecordBatch.from_pydict({"block": [None], "at": [vector[0].astype("<i4").tobytes()], "number": [vector[1].astype("<i8").tobytes()], "body": [b""], "sizes": [b""]}, schema=wanted)
 
-    return stage(rows.repartition(max(1, -(-n // TASK_TERMS)), "term").mapInArrow(run, schema), "values")
+    dealt = rows.repartition(max(1, -(-n // TASK_TERMS)), "term", "salt").select("block", "at", "term", "weight", "first")
+    return stage(dealt.mapInArrow(run, schema), "values")
 
 
 def with_values(table: DataFrame, values: DataFrame) -> DataFrame:
-    """Each block's row with ``parts``, the rows of its terms' values."""
-    parts = values.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("at", "number", "body", "sizes")).alias("parts"))
-    return table.drop("terms", "weights").join(parts, "block", "left")
+    """Each block's row with ``parts``, the rows of its terms' values; ``TASK_BLOCKS`` blocks a task, whatever the input."""
+    tasks = max(1, -(-table.count() // TASK_BLOCKS))
+    parts = values.where("block IS NOT NULL").repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("at", "number", "body", "sizes")).alias("parts"))
+    return table.drop("terms", "weights").repartition(tasks, "block").join(parts, "block", "left")
 
 
 def codes_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -57,10 +57,10 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     rows and null ids stay; extra columns are ignored; an empty table gives an
     empty result.
     """
-    def split(body: str) -> list[bytes]:
-        return [x.encode("utf-8", "surrogatepass") for x in pre_tokens(body, path)]
+    def split(body: bytes) -> list[bytes]:
+        return [x.encode("utf-8", "surrogatepass") for x in pre_tokens(body.decode("utf-8", "replace"), path)]
 
-    def value(terms, _):
+    def value(terms, *_):
         tokenizer, _, _, special = _tools(path)
         names = (t.decode("utf-8", "replace") for t in terms)
         return np.array([1 if t in special else len(piece_ids(tokenizer, t)) for t in names], np.int64), None, None
