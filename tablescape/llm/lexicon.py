@@ -25,7 +25,7 @@ from tablescape.session import stage
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 24 << 20
 #: Blocks' terms that one task values, about; blocks whose rows of one term may meet in a task; blocks that a task joins with their terms' values.
-TASK_TERMS, TERM_BLOCKS, TASK_BLOCKS = 250_000, 4096, 1
+TASK_TERMS, TERM_BLOCKS, TASK_BLOCKS = 250_000, 4096, 8
 
 
 class Numbers(dict):
@@ -159,8 +159,9 @@ def valued(table: DataFrame, value: Callable[[list[bytes], np.ndarray, np.ndarra
 
 
 def with_values(table: DataFrame, values: DataFrame) -> DataFrame:
-    """Each block's row with ``parts``, the rows of its terms' values; ``TASK_BLOCKS`` blocks a task, whatever the input."""
-    tasks = max(1, -(-table.count() // TASK_BLOCKS))
+    """Each block's row with ``parts``, the rows of its terms' values; a block a task, or ``TASK_BLOCKS`` if there are many."""
+    n = table.count()
+    tasks = max(1, min(n, 1024), n // TASK_BLOCKS)
     parts = values.where("block IS NOT NULL").repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("at", "number", "body", "sizes")).alias("parts"))
     return table.drop("terms", "weights").repartition(tasks, "block").join(parts, "block", "left")
 

@@ -45,8 +45,8 @@ STEP_WINDOWS, LEAST_STEPS = 512, 200
 ROUNDS = 4
 #: Words of the documents in a row of the table of ids, about.
 PIECE_WORDS = 60_000
-#: Models averaged in one task.
-FAN_IN = 32
+#: Models averaged in one task; parts of the vector of counts, each summed by a task.
+FAN_IN, SLICES = 32, 64
 #: Bounds of hidden values and of output weights: scores stay within +-40, so no exponent overflows or vanishes.
 MOST_HIDDEN, MOST_OUT = 4.0, 1.25
 
@@ -55,15 +55,15 @@ class Vocabulary:
     """Classes, rows, embeddings and counted shares of the ids, from counts over the whole training corpus.
 
     Ids of rank below ``ROWS`` - 1 have a row of their own, the others share
-    the last. ``cells`` are (places, counts) of a vector of all pair counts
-    (row of the id before, row) and, for each lag, counts (row, class that
-    stands so many places later). Within a class an id's share is its count
+    the last. ``cells`` is the vector of all pair counts (row of the id before,
+    row) and, for each lag, counts (row, class that stands so many places
+    later). Within a class an id's share is its count
     after the id before, smoothed by its count alone (Witten-Bell); so is the
     class itself, which is what the attention's scores multiply. Ids without
     an own row divide what their shared row has by their counts.
     """
 
-    def __init__(self, counts: np.ndarray, begin: int, end: int, cells: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, counts: np.ndarray, begin: int, end: int, cells: np.ndarray | None = None):
         n, own, rare = len(counts), CLASSES * 5 // 8, min(ROWS - 1, len(counts))
         self.rare = rare
         order = np.argsort(-counts, kind="stable")
@@ -79,8 +79,7 @@ class Vocabulary:
         self.begin, self.end = begin, end
         if cells is None:
             return
-        dense = np.bincount(cells[0], weights=cells[1], minlength=ROWS * ROWS + LAGS * ROWS * CLASSES)
-        pairs, later = dense[: ROWS * ROWS].reshape(ROWS, ROWS)[:, :rare], dense[ROWS * ROWS :].reshape(LAGS, ROWS, CLASSES)
+        pairs, later = cells[: ROWS * ROWS].reshape(ROWS, ROWS)[:, :rare], cells[ROWS * ROWS :].reshape(LAGS, ROWS, CLASSES).astype(np.float64)
         embedding, placed = _embedding(later)
         new = np.empty(CLASSES, np.int64)  # classes that follow the same ids share a group
         new[placed] = np.arange(CLASSES)
@@ -341,6 +340,32 @@ def cells_of(vocab: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> np.ndarray
     return np.concatenate(found)
 
 
+#: Counts in the vector of ``Vocabulary``, and in a slice of it.
+CELLS = ROWS * ROWS + LAGS * ROWS * CLASSES
+SLICE = -(-CELLS // SLICES)
+
+
+def summed(slices: DataFrame) -> np.ndarray:
+    """The vector of counts from the tasks' (slice, cells, counts): every slice is summed in a task and comes to the driver packed, ``SLICES`` rows."""
+
+    def run(batches):
+        import zstandard
+
+        sums: dict[int, np.ndarray] = {}
+        for batch in rows_of(batches):
+            for number, at, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                sums.setdefault(number, np.zeros(SLICE, np.int64))[np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
+        for number, x in sums.items():
+            yield pa.RecordBatch.from_pydict({"slice": [number], "packed": [zstandard.compress(x.tobytes())]}, schema=pa.schema([("slice", pa.int32()), ("packed", pa.binary())]))
+
+    import zstandard
+
+    out = np.zeros(SLICE * SLICES, np.float32)
+    for r in slices.repartition(SLICES, "slice").mapInArrow(run, "slice int, packed binary").collect():
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zstandard.decompress(r["packed"]), np.int64)
+    return out[:CELLS]
+
+
 class BlockIds:
     """The subword ids of a block's documents, some documents at a time."""
 
@@ -472,11 +497,11 @@ def score_documents(docs: DataFrame, path: str, training: F.Column, text: str =
     floor = float(np.log10(total + 0.5 * (distinct + 1)))
     plain = spark.sparkContext.broadcast(Vocabulary(id_counts, begin, end))
     id_type = docs.schema[doc_id].dataType.simpleString()
-    schema = f"turn int, doc_ids array<{id_type}>, flags array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, ends binary, ids binary, kind string, cells binary, counts binary"
+    schema = f"turn int, doc_ids array<{id_type}>, flags array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, ends binary, ids binary, kind string, slice int, cells binary, counts binary"
     wanted = arrow_schema(schema)
 
     def expand(batches):
-        """A row for some documents of a block with their ids and word scores, and one for all that a task's training documents count, with turn -1."""
+        """A row for some documents of a block with their ids and word scores, and one a slice for all that a task's training documents count, with turn -1."""
         turn, seen = TaskContext.get().partitionId(), None
         for batch in rows_of(batches, 1):
             row = batch.to_pylist()[0]
@@ -489,22 +514,21 @@ def score_documents(docs: DataFrame, path: str, training: F.Column, text: str =
                 if flags[a:b].any():
                     sizes = np.diff(np.concatenate([[0], ends]))
                     cells = cells_of(plain.value, ids[np.repeat(flags[a:b], sizes)], np.cumsum(sizes[flags[a:b]]))
-                    seen = np.zeros(ROWS * ROWS + LAGS * ROWS * CLASSES, np.int64) if seen is None else seen
-                    seen += np.bincount(cells, minlength=len(seen))
+                    seen = np.zeros(CELLS, np.int64) if seen is None else seen
+                    seen += np.bincount(cells, minlength=CELLS)
                 yield pa.RecordBatch.from_pydict({
                     "turn": [turn % ROUNDS], "doc_ids": [row["doc_ids"][a:b]], "flags": [row["flags"][a:b]], "n_tokens": [n[a:b]], "n_known": [known[a:b]], "base": [base[a:b]],
-                    "ends": [ends.astype("<i8").tobytes()], "ids": [ids.tobytes()], "kind": [kind], "cells": [None], "counts": [None],
+                    "ends": [ends.astype("<i8").tobytes()], "ids": [ids.tobytes()], "kind": [kind], "slice": [None], "cells": [None], "counts": [None],
                 }, schema=wanted)
                 turn += 1
-        if seen is not None:
-            at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_pydict({**{f.name: [None] for f in wanted}, "turn": [-1], "cells": [at.astype("<i4").tobytes()], "counts": [seen[at].astype("<i8").tobytes()]}, schema=wanted)
+        for number in range(SLICES if seen is not None else 0):
+            part = seen[number * SLICE : (number + 1) * SLICE]
+            at = np.flatnonzero(part)
+            yield pa.RecordBatch.from_pydict({**{f.name: [None] for f in wanted}, "turn": [-1], "slice": [number], "cells": [at.astype("<i4").tobytes()], "counts": [part[at].astype("<i8").tobytes()]}, schema=wanted)
 
     used = ["doc_ids", "flags", "ends", "codes", "freqs", "n_terms", "parts"]
     whole = stage(lexicon.with_values(table, values).select(*used).mapInArrow(expand, schema), "lm-ids", by=("turn",))
-    # a row a cell of the bounded vector at most, whatever the input
-    cells = whole.where("turn = -1").select("cells", "counts").mapInArrow(numbers, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    vocab = spark.sparkContext.broadcast(Vocabulary(id_counts, begin, end, (cells["id"].to_numpy(np.int64), cells["n"].to_numpy(np.float64))))
+    vocab = spark.sparkContext.broadcast(Vocabulary(id_counts, begin, end, summed(whole.where("turn = -1").select("slice", "cells", "counts"))))
     pieces = whole.where("turn >= 0")
     model = taught(pieces, {r["turn"]: r["count"] for r in pieces.groupBy("turn").count().collect()}, vocab).flat()  # some 2,700 weights
     out = f"doc_id {id_type}, training boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_ids bigint"
@@ -520,7 +544,7 @@ def score_documents(docs: DataFrame, path: str, training: F.Column, text: str =
                 "base_score": row["base"], "score": score_ids(net, np.frombuffer(row["ids"], row["kind"]), ends), "n_ids": np.diff(np.concatenate([[0], ends])),
             }, schema=scored)
 
-    return pieces.drop("turn", "cells", "counts").mapInArrow(score, out)
+    return pieces.drop("turn", "slice", "cells", "counts").mapInArrow(score, out)
 
 
 def op1_lm_scores(docs: DataFrame, path: str) -> DataFrame:
