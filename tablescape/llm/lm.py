@@ -345,6 +345,12 @@ CELLS = ROWS * ROWS + LAGS * ROWS * CLASSES
 SLICE = -(-CELLS // SLICES)
 
 
+def counted(seen: np.ndarray | None, cells: list[np.ndarray]) -> np.ndarray:
+    """``seen`` and the counts of ``cells``."""
+    found = np.bincount(np.concatenate(cells), minlength=CELLS)
+    return found if seen is None else np.add(seen, found, out=seen)
+
+
 def summed(slices: DataFrame) -> np.ndarray:
     """The vector of counts from the tasks' (slice, cells, counts): every slice is summed in a task and comes to the driver packed, ``SLICES`` rows."""
 
@@ -502,7 +508,7 @@ def score_documents(docs: DataFrame, path: str, training: F.Column, text: str =
 
     def expand(batches):
         """A row for some documents of a block with their ids and word scores, and one a slice for all that a task's training documents count, with turn -1."""
-        turn, seen = TaskContext.get().partitionId(), None
+        turn, seen, held = TaskContext.get().partitionId(), None, []
         for batch in rows_of(batches, 1):
             row = batch.to_pylist()[0]
             block, count, flags = BlockIds(row, kind), lexicon.numbers_of(row), np.array(row["flags"], bool)
@@ -514,13 +520,15 @@ def score_documents(docs: DataFrame, path: str, training: F.Column, text: str =
                 if flags[a:b].any():
                     sizes = np.diff(np.concatenate([[0], ends]))
                     cells = cells_of(plain.value, ids[np.repeat(flags[a:b], sizes)], np.cumsum(sizes[flags[a:b]]))
-                    seen = np.zeros(CELLS, np.int64) if seen is None else seen
-                    seen += np.bincount(cells, minlength=CELLS)
+                    held.append(cells)
+                    if sum(map(len, held)) >= CELLS:
+                        seen, held = counted(seen, held), []
                 yield pa.RecordBatch.from_pydict({
                     "turn": [turn % ROUNDS], "doc_ids": [row["doc_ids"][a:b]], "flags": [row["flags"][a:b]], "n_tokens": [n[a:b]], "n_known": [known[a:b]], "base": [base[a:b]],
                     "ends": [ends.astype("<i8").tobytes()], "ids": [ids.tobytes()], "kind": [kind], "slice": [None], "cells": [None], "counts": [None],
                 }, schema=wanted)
                 turn += 1
+        seen = counted(seen, held) if held else seen
         for number in range(SLICES if seen is not None else 0):
             part = seen[number * SLICE : (number + 1) * SLICE]
             at = np.flatnonzero(part)
