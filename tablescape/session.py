@@ -58,12 +58,17 @@ def stage(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_staged(spark: SparkSession) -> int:
-    """Delete the tables that ``stage`` wrote in this session; results read from them are void afterwards."""
+def staged_count(spark: SparkSession) -> int:
+    """How many tables of this session ``stage`` wrote that are not released."""
+    return len(_staged(spark))
+
+
+def release_staged(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables that ``stage`` wrote in this session, from number ``since`` on but for the last ``keep``; results read from them are void afterwards."""
     paths, jvm = _staged(spark), spark.sparkContext._jvm
-    for path in paths:
+    gone = paths[since : len(paths) - keep]
+    for path in gone:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    n = len(paths)
-    paths.clear()
-    return n
+    paths[since : len(paths) - keep] = []
+    return len(gone)
