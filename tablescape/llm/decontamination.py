@@ -3,7 +3,8 @@
 The index is partitioned by documents: a row of it covers some megabytes of
 text and holds, for each indexed term, the sorted positions at which it
 stands. Phrases are found within a row by intersecting the terms' position
-lists, adjusted by their offsets in the phrase, from the rarest term on.
+lists, adjusted by their offsets in the phrase, from the rarest term on; a
+benchmark's windows all at once.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from tablescape.llm.common import arrow_schema, rows_of
+from tablescape.llm.common import arrow_schema, rows_of, unused
 from tablescape.session import stage
 
 #: Fixed by the contract: a word is a run of ASCII letters and digits and of anything beyond ASCII.
@@ -30,6 +31,8 @@ PASS_WORDS = 500_000
 ROW_BYTES = 8 << 20
 #: Positions left free between documents, so that no phrase spans two.
 GAP = 64
+#: Windows, and positions of their rarest terms, that are tried at once.
+BULK_WINDOWS, BULK_PLACES = 1 << 16, 1 << 21
 
 
 def index_words(text: str | None) -> list[bytes]:
@@ -45,7 +48,7 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
 
 
 def build_index(docs: DataFrame, terms: set[bytes] | None = None, text: str = "text", doc_id: str = "doc_id", gap: int = GAP) -> DataFrame:
-    """The index as a written table: (doc_ids, n_words, starts, terms, ends, positions), a row for some megabytes of text.
+    """The index as a written table: (row, doc_ids, n_words, starts, terms, ends, positions), a row for some megabytes of text.
 
     ``terms`` restricts the postings to terms that will be asked for (a set of
     bounded size, shipped to the tasks); None indexes every term. ``ends``
@@ -53,26 +56,26 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, text: str = "t
     sorted). Null text has no words; null ids and repeated rows are kept.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_ids array<{id_type}>, n_words array<bigint>, starts binary, terms array<binary>, ends binary, positions binary"
+    schema = f"row string, doc_ids array<{id_type}>, n_words array<bigint>, starts binary, terms array<binary>, ends binary, positions binary"
     known = None if terms is None else {t: i for i, t in enumerate(sorted(terms))}
     wanted = arrow_schema(schema)
     shared = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
 
-    def entry(ids: list, sizes: list[int], codes: list[np.ndarray], names: list[bytes]) -> dict:
+    def entry(row: int, ids: list, sizes: list[int], codes: list[np.ndarray], names: list[bytes]) -> dict:
         starts = np.cumsum([0, *[n + gap for n in sizes[:-1]]]).astype(np.int64) if sizes else np.empty(0, np.int64)
         at = np.concatenate([np.flatnonzero(c >= 0) + s for c, s in zip(codes, starts)] or [np.empty(0, np.int64)])
         code = np.concatenate([c[c >= 0] for c in codes] or [np.empty(0, np.int32)])
         order = np.argsort(code, kind="stable")
         used, counts = np.unique(code, return_counts=True)
         return {
-            "doc_ids": ids, "n_words": sizes, "starts": starts.astype("<i8").tobytes(), "terms": [names[i] for i in used],
+            "row": f"{TaskContext.get().partitionId()}-{row}", "doc_ids": ids, "n_words": sizes, "starts": starts.astype("<i8").tobytes(), "terms": [names[i] for i in used],
             "ends": np.cumsum(counts).astype("<i8").tobytes(), "positions": at[order].astype("<i4").tobytes(),
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = shared.value if shared is not None else {}
         names = sorted(lookup) if shared is not None else []
-        ids, sizes, codes, held = [], [], [], 0
+        ids, sizes, codes, held, row = [], [], [], 0, 0
         for batch in rows_of(batches, ROW_BYTES // 4):
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = index_words(body)
@@ -89,12 +92,12 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, text: str = "t
                 codes.append(code)
                 held += len(body or "")
             if held >= ROW_BYTES:
-                yield pa.RecordBatch.from_pylist([entry(ids, sizes, codes, names)], schema=wanted)
-                ids, sizes, codes, held = [], [], [], 0
+                yield pa.RecordBatch.from_pylist([entry(row, ids, sizes, codes, names)], schema=wanted)
+                ids, sizes, codes, held, row = [], [], [], 0, row + 1
                 if shared is None:
                     lookup, names = {}, []
         if ids:
-            yield pa.RecordBatch.from_pylist([entry(ids, sizes, codes, names)], schema=wanted)
+            yield pa.RecordBatch.from_pylist([entry(row, ids, sizes, codes, names)], schema=wanted)
 
     return stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema), "index")
 
@@ -121,6 +124,47 @@ class Postings:
             found = found[have[np.minimum(np.searchsorted(have, want), len(have) - 1)] == want]
         return found
 
+    def all_of(self, asked: "Phrases") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers of phrases, positions) of all occurrences of all phrases.
+
+        A phrase is tried at the places of its term with the shortest list
+        here, if all its terms are here; what stands at the places of the
+        others, from the next shortest list on, decides.
+        """
+        none = len(asked.code)  # pads short phrases: fits everywhere
+        count, start = np.zeros(none + 1, np.int64), np.zeros(none + 1, np.int64)
+        code = np.fromiter((asked.code.get(t, -1) for t in self._span), np.int32, len(self._span))
+        spans = np.array(list(self._span.values()), np.int64).reshape(-1, 2)
+        here = code >= 0
+        count[code[here]], start[code[here]] = (spans[:, 1] - spans[:, 0])[here], spans[here, 0]
+        count[none] = 1 << 40
+        term_at = np.full(int(self._at.max(initial=0)) + asked.codes.shape[1] + 1, -1, np.int32)
+        term_at[self._at] = np.repeat(code, spans[:, 1] - spans[:, 0])
+        for first in range(0, len(asked.codes), BULK_WINDOWS):
+            codes = asked.codes[first : first + BULK_WINDOWS]
+            sizes = count[codes]
+            codes, sizes, number = (x[sizes.min(1, initial=1 << 40) > 0] for x in (codes, sizes, first + np.arange(len(codes))))
+            order = np.argsort(sizes, axis=1, kind="stable")
+            rarest = order[:, 0] if len(order) else order.reshape(-1)
+            key = codes[np.arange(len(codes)), rarest]
+            past = np.cumsum(count[key])
+            a = 0
+            while a < len(codes):
+                b = max(a + 1, int(np.searchsorted(past, (past[a - 1] if a else 0) + BULK_PLACES, "right")))
+                n = count[key[a:b]]
+                p = np.repeat(np.arange(a, b), n)
+                at = self._at[np.repeat(start[key[a:b]] - np.cumsum(n) + n, n) + np.arange(n.sum())].astype(np.int64) - rarest[p]
+                for k in range(1, codes.shape[1] + 1):
+                    keep = at >= 0 if k == 1 else (term_at[at + which] == want) | (want == none)
+                    p, at = p[keep], at[keep]
+                    if not len(p) or k == codes.shape[1]:
+                        break
+                    which = order[p, k]
+                    want = codes[p, which]
+                if len(p):
+                    yield number[p], at
+                a = b
+
     def near(self, words: tuple[bytes, ...], slop: int) -> np.ndarray:
         """Positions of the rarest term around which every word stands within ``slop`` words of its place in the phrase."""
         lists = sorted(((self.of(w), i) for i, w in enumerate(words)), key=lambda x: len(x[0]))
@@ -135,18 +179,32 @@ class Postings:
         return found
 
 
+class Phrases:
+    """Phrases to look for in bulk: their terms as numbers, a row a phrase, and the ids of the items that have them."""
+
+    def __init__(self, found: dict[tuple[bytes, ...], list], window: int):
+        self.code = {t: i for i, t in enumerate(sorted({w for x in found for w in x}))}
+        self.codes = np.full((len(found), window), len(self.code), np.int32)
+        for i, words in enumerate(found):
+            self.codes[i, : len(words)] = [self.code[w] for w in words]
+        self.length = np.array([len(x) for x in found], np.int64)
+        self.items = [sorted({str(i) for i in ids if i is not None}) for ids in found.values()]
+
+
 def _passes(items: DataFrame, text: str, item_id: str, window: int) -> Iterator[dict[tuple[bytes, ...], list]]:
-    """Windows with the ids of their items, ``PASS_WORDS`` words of items at a time."""
+    """Windows with the ids of their items, about ``PASS_WORDS`` words of items at a time; a longer item is divided."""
     found: dict[tuple[bytes, ...], list] = {}
     held = 0
-    for row in items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("i IS NOT NULL").toLocalIterator():
+    for row in items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).toLocalIterator():
         words = index_words(row["t"])
-        for w in windows(words, window):
-            found.setdefault(w, []).append(row["i"])
-        held += len(words)
-        if held >= PASS_WORDS:
-            yield found
-            found, held = {}, 0
+        for at in range(0, len(words), PASS_WORDS):
+            part = words[at : at + PASS_WORDS + window - 1]  # windows that begin in these words
+            for w in windows(part, window) if at == 0 or len(part) >= window else []:
+                found.setdefault(w, []).append(row["i"])
+            held += len(part)
+            if held >= PASS_WORDS:
+                yield found
+                found, held = {}, 0
     yield found
 
 
@@ -156,42 +214,52 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     ``hits`` are [from, past) spans of words, merged; ``items`` the distinct
     ids, as strings, sorted. A window is ``window`` consecutive words of an
     item, or the whole of a shorter one. Null and empty texts have no words;
-    items without an id take no part; repeated items count once and repeated
-    documents each. Extra columns are ignored. Empty tables: no document, or
-    no hit. Each pass ships ``PASS_WORDS`` words of items to the tasks at
-    most; documents are never gathered or shuffled.
+    items without an id give hits, but no name; repeated items count once and
+    repeated documents each. Extra columns are ignored. Empty tables: no
+    document, or no hit. Each pass ships about ``PASS_WORDS`` words of items
+    to the tasks and is written before the next; documents are never gathered
+    or shuffled.
     """
     spark = docs.sparkSession
     passes = _passes(items, item_text, item_id, window)
     found = next(passes)
     more = next(passes, None)
     index = build_index(docs, {w for x in found for w in x} if more is None else None, text, doc_id, gap=window + 1)
-    index = index.withColumns({"spans": F.lit(b""), "matches": F.expr("cast(array() as array<struct<doc: int, item: string>>)")})
+    if more is None:
+        return _by_document(_search(index, spark.sparkContext.broadcast(Phrases(found, window)), index.columns[:4]))
+    done = []
     while found is not None:
-        index = _search(index, spark.sparkContext.broadcast(found))
+        shared = spark.sparkContext.broadcast(Phrases(found, window))
+        done.append(stage(_search(index, shared, ["row"]), "hits"))
+        shared.destroy()
         found, more = more, next(passes, None)
-    return _by_document(index)
+    hits = done[0]
+    for d in done[1:]:
+        hits = hits.unionByName(d)
+    hits = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"))
+    return _by_document(index.select("row", "doc_ids", "n_words", "starts").join(hits, "row"))
 
 
-def _search(index: DataFrame, phrases) -> DataFrame:
-    """``index`` with the spans and items of ``phrases`` (broadcast: words -> item ids) added to each row's."""
-    schema = index.schema
-    wanted = to_arrow_schema(schema)
+def _search(index: DataFrame, phrases, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns of ``index`` rows with the spans and matches (document of the row, item) of ``phrases`` (broadcast)."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema.fields if f.name in keep)
+    schema = f"{fields}, spans array<binary>, matches array<struct<doc: int, item: string>>"
+    wanted = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 1):
-            row = batch.to_pylist()[0]
-            postings = Postings(row["terms"], row["ends"], row["positions"])
+            row, asked = batch.to_pylist()[0], phrases.value
             starts = np.frombuffer(row["starts"], "<i8")
-            spans, matches = [np.frombuffer(row["spans"], "<i8").reshape(-1, 2)], {(m["doc"], m["item"]) for m in row["matches"]}
-            for words, ids in phrases.value.items():
-                at = postings.phrase(words).astype(np.int64)
-                if len(at):
-                    spans.append(np.stack([at, at + len(words)], 1))
-                    matches.update((int(d), str(i)) for d in np.unique(np.searchsorted(starts, at, "right") - 1) for i in ids)
-            row["spans"] = merged(np.concatenate(spans)).astype("<i8").tobytes()
-            row["matches"] = [{"doc": d, "item": i} for d, i in sorted(matches)]
-            yield pa.RecordBatch.from_pylist([row], schema=wanted)
+            spans, matches = [np.empty((0, 2), np.int64)], set()
+            for number, at in Postings(row["terms"], row["ends"], row["positions"]).all_of(asked):
+                spans.append(merged(np.stack([at, at + asked.length[number]], 1)))
+                doc = np.searchsorted(starts, at, "right") - 1
+                for d, p in np.unique(np.stack([doc, number], 1), axis=0).tolist():
+                    matches.update((d, i) for i in asked.items[p])
+            out = {k: row[k] for k in keep}
+            out["spans"] = [merged(np.concatenate(spans)).astype("<i8").tobytes()]
+            out["matches"] = [{"doc": d, "item": i} for d, i in sorted(matches)]
+            yield pa.RecordBatch.from_pylist([out], schema=wanted)
 
     return index.mapInArrow(run, schema)
 
@@ -215,12 +283,14 @@ def _by_document(index: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 1):
             row = batch.to_pylist()[0]
-            starts, spans = np.frombuffer(row["starts"], "<i8"), np.frombuffer(row["spans"], "<i8").reshape(-1, 2)
+            starts, spans = np.frombuffer(row["starts"], "<i8"), merged(np.frombuffer(b"".join(row["spans"]), "<i8").reshape(-1, 2))
             out = [{"doc_id": i, "n_words": n, "hits": [], "items": []} for i, n in zip(row["doc_ids"], row["n_words"])]
             for (a, b), d in zip(spans.tolist(), (np.searchsorted(starts, spans[:, 0], "right") - 1).tolist()):
                 out[d]["hits"].append({"from": a - int(starts[d]), "past": b - int(starts[d])})
             for m in row["matches"]:
                 out[m["doc"]]["items"].append(m["item"])
+            for x in out:
+                x["items"].sort()
             for at in range(0, len(out), 10_000):
                 yield pa.RecordBatch.from_pylist(out[at : at + 10_000], schema=wanted)
 
@@ -233,6 +303,8 @@ def search(index: DataFrame, phrases: dict[str, str], slop: int = 0) -> DataFram
     kind ``phrase``: word for word from word ``at`` on. kind ``proximity``
     (``slop`` above 0): every word within ``slop`` words of its place, seen
     from the phrase's rarest word there; exact matches are not listed again.
+    Phrases without words match nothing; repeated documents match each; an
+    empty index gives an empty result.
     """
     id_type = index.schema["doc_ids"].dataType.elementType.simpleString()
     schema = f"doc_id {id_type}, phrase string, at bigint, kind string"
@@ -265,11 +337,16 @@ def _hit_words() -> F.Column:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all columns; ``docs`` is read twice and should be a written table."""
-    own = docs.columns
-    rows = docs.withColumn("_tag", F.monotonically_increasing_id())
-    bad = decontaminate(rows.select("_tag", "text"), items, doc_id="_tag").where((_hit_words() > 0) & (SHARE * _hit_words() >= F.col("n_words")))
-    return rows.join(bad.select(F.col("doc_id").alias("_tag")), "_tag", "left_anti").select(*own)
+    """The documents that are not contaminated, with all columns, whatever their names.
+
+    Null and empty texts are clean; repeated rows share their fate; null ids
+    stay; empty tables: no document, or all documents. ``docs`` is read twice
+    and should be a written table, whose rows keep their places.
+    """
+    own, tag = docs.columns, unused(docs, "row_tag")
+    rows = docs.withColumn(tag, F.monotonically_increasing_id())
+    bad = decontaminate(rows.select(tag, "text"), items, doc_id=tag).where((_hit_words() > 0) & (SHARE * _hit_words() >= F.col("n_words")))
+    return rows.join(bad.select(F.col("doc_id").alias(tag)), tag, "left_anti").select(*own)
 
 
 def op7_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

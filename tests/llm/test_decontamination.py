@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from tablescape.llm import decontamination as dc
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -15,7 +17,7 @@ def brute(docs, items):
     wins = []
     for i, t in items:
         w = words(t)
-        if i is not None and w:
+        if w:
             wins += [(w[a : a + 13], i) for a in range(max(1, len(w) - 12))]
     out = []
     for d, t in docs:
@@ -24,7 +26,7 @@ def brute(docs, items):
             for a in range(len(w) - len(win) + 1):
                 if w[a : a + len(win)] == win:
                     hit |= set(range(a, a + len(win)))
-                    ids.add(str(i))
+                    ids |= {str(i)} - {"None"}
         sha = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
         out.append((str(d), len(w), len(hit), len(ids), sha, bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out)
@@ -54,6 +56,25 @@ def test_against_brute_force_in_one_pass_and_in_many(spark, monkeypatch):
     assert got(dc.op7_decontaminate(d, b)) == want
 
 
+def test_bulk_search_is_the_search_one_by_one():
+    rng = random.Random(4)
+    text = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(4000)]
+    at = {}
+    for i, w in enumerate(text):
+        at.setdefault(w, []).append(i)
+    terms = sorted(at)
+    postings = dc.Postings(terms, np.cumsum([len(at[t]) for t in terms]).astype("<i8").tobytes(), np.concatenate([at[t] for t in terms]).astype("<i4").tobytes())
+    asked = {tuple(text[i : i + n]): [i] for i, n in ((rng.randrange(3980), rng.choice([1, 2, 5, 13])) for _ in range(200))}
+    asked[(b"a", b"zz")] = [1]
+    asked[tuple(text[-5:])] = [2]
+    got = {}
+    for number, places in postings.all_of(dc.Phrases(asked, 13)):
+        for p, x in zip(number.tolist(), places.tolist()):
+            got.setdefault(p, []).append(x)
+    for p, words in enumerate(asked):
+        assert sorted(got.get(p, [])) == postings.phrase(words).tolist(), words
+
+
 def test_empty_tables(spark):
     docs, items, d, b = tables(spark)
     assert dc.op7_decontaminate(d.where("false"), b).count() == 0
