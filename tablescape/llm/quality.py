@@ -11,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tablescape.llm.common import arrow_map, id_fold
+from tablescape.llm.common import arrow_map, id_fold, unused
+from tablescape.session import stage
 
 #: Bytes of a passage.
 PASSAGE = 512
@@ -22,10 +24,8 @@ PAIRS = 256
 ECHOES = 2
 FEATURES = 256 + PAIRS + ECHOES
 HIDDEN, GATE = 24, 12
-#: Labelled documents that the model learns from, at most: those of the smallest hash of their id.
-SAMPLE = 10_000
-#: Passages of one document that teach, at most: evenly spread over its whole text. All passages are scored.
-TEACH = 32
+#: Labelled documents that the model learns from, at most: those of the smallest hash of their id; and passages of them, all together: whole documents in that order while they fit.
+SAMPLE, MOST_PASSAGES = 10_000, 120_000
 #: Documents of this score and above are accepted.
 THRESHOLD = 0.3
 
@@ -139,6 +139,7 @@ class BagModel:
         return {"W": x.T @ du, "b": du.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ g, "d": np.array([g.sum()])}
 
     def fit(self, bags: list[np.ndarray], labels: np.ndarray, epochs: int = 20, batch: int = 64, rate: float = 0.01, decay: float = 1e-3, seed: int = 0) -> "BagModel":
+        """``bags`` are rounded features, 0 to 255, a row a passage."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
@@ -147,7 +148,7 @@ class BagModel:
             order = rng.permutation(len(bags))
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
-                x = np.concatenate([bags[i] for i in some])
+                x = np.concatenate([bags[i] for i in some]).astype(np.float32) / np.float32(255)
                 starts = np.concatenate([[0], np.cumsum([len(bags[i]) for i in some])[:-1]])
                 step += 1
                 lr = rate * 0.5 * (1 + np.cos(np.pi * step / steps))
@@ -158,14 +159,17 @@ class BagModel:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BagModel:
-    """A model fitted on ``sample`` labelled documents at most, none of them held out.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_passages: int = MOST_PASSAGES) -> BagModel:
+    """A model fitted on ``sample`` labelled documents at most, none of them held out, with all their passages.
 
     The labels chosen are those of the smallest hash of their doc_id, a sample
     that depends on the ids alone; the join ships that bounded list to the
-    documents, and their passages' features come to the driver, one row a label:
-    of repeated rows of a document those of the smallest features. Labels
-    without an id or a quality are ignored; without labels the model gives 0.5.
+    documents. Of these documents the first in hash order teach whose passages
+    are ``most_passages`` in all at most (the very first always), whole texts
+    each: no text is cut. Their features come to the driver, a row a label: of
+    repeated rows of a document those of the smallest features. Labels without
+    an id or a quality are ignored; without labels or documents the model is
+    its starting one; extra columns are ignored.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("float").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL")
@@ -177,16 +181,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BagModel:
     def make(batch):
         x, starts = passages(batch.column(2).to_pylist())
         bags = np.split(np.round(x * 255).astype(np.uint8), starts[1:])
-        return {"doc_id": batch.column(0), "y": batch.column(1), "bag": pa.array([b[np.unique(np.linspace(0, len(b) - 1, TEACH).astype(int))].tobytes() for b in bags], pa.binary())}
+        return {"doc_id": batch.column(0), "y": batch.column(1), "bag": pa.array([b.tobytes() for b in bags], pa.binary())}
 
-    rows = arrow_map(taught, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y float, bag binary", most_bytes=1 << 20).groupBy("doc_id", "y").agg(F.min("bag").alias("bag")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["y"], r["bag"]))
-    bags = [np.frombuffer(r["bag"], np.uint8).reshape(-1, FEATURES).astype(np.float32) / 255 for r in rows]
-    return BagModel().fit(bags, np.array([r["y"] for r in rows], np.float32))
+    rows = arrow_map(taught, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y float, bag binary", most_bytes=1 << 20)
+    rows = stage(rows.groupBy("doc_id", "y").agg(F.min("bag").alias("bag")), "bags")
+    # ``sample`` rows of an id and a number at most
+    sizes = rows.select("doc_id", "y", (F.length("bag") / FEATURES).cast("bigint").alias("n"), F.xxhash64("doc_id").alias("at"))
+    order = Window.orderBy("at", "doc_id", "y")
+    fit = sizes.select("doc_id", "y", F.sum("n").over(order).alias("until"), F.row_number().over(order).alias("rank")).where((F.col("until") <= most_passages) | (F.col("rank") == 1))
+    found = rows.join(F.broadcast(fit.select("doc_id", "y")), ["doc_id", "y"]).collect()
+    found.sort(key=lambda r: (r["doc_id"], r["y"]))
+    bags = [np.frombuffer(r["bag"], np.uint8).reshape(-1, FEATURES) for r in found]
+    return BagModel().fit(bags, np.array([r["y"] for r in found], np.float32))
 
 
 def scored(docs: DataFrame, model: BagModel, column: str = "score") -> DataFrame:
-    """``docs`` with all its columns and ``column``: the model's score of the whole text, 0 to 1; null counts as empty."""
+    """``docs`` with all its columns and ``column``: the model's score of the whole text, 0 to 1.
+
+    Null text counts as empty; repeated rows and null ids each keep their row;
+    an empty table gives an empty result. ``column`` must be a new name.
+    """
     own = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 60 kB, whatever the input
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{column}` double"])
@@ -199,8 +213,13 @@ def scored(docs: DataFrame, model: BagModel, column: str = "score") -> DataFrame
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with all columns."""
-    return scored(docs, train(docs, labels), "_quality").where(F.col("_quality") >= THRESHOLD).drop("_quality")
+    """The documents that the classifier accepts, with all columns, whatever their names.
+
+    Null and empty texts are scored as empty ones; repeated rows share their
+    fate; an empty table gives an empty result.
+    """
+    column = unused(docs, "quality_score")
+    return scored(docs, train(docs, labels), column).where(F.col(column) >= THRESHOLD).drop(column)
 
 
 def op10_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

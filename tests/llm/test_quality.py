@@ -80,6 +80,20 @@ def test_repeated_rows_of_a_document_teach_once(spark, monkeypatch):
     assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 2, 3, 4))]
 
 
+def test_all_passages_of_the_chosen_documents_teach(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{i} " * 4000) for i in range(40)], "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    whole = {i: len(quality.passages([f"{i} " * 4000])[0]) for i in range(40)}
+    seen = []
+    monkeypatch.setattr(quality.BagModel, "fit", lambda self, bags, y: seen.append([len(b) for b in bags]) or self)
+    quality.train(docs, labels)
+    assert sorted(seen[0]) == sorted(whole[i] for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 0)
+    quality.train(docs, labels, most_passages=200)
+    assert 0 < sum(seen[1]) <= 200 and set(seen[1]) <= set(whole.values())
+    quality.train(docs, labels, most_passages=1)
+    assert len(seen[2]) == 1 and seen[2][0] in whole.values()
+
+
 def test_no_labels_and_no_documents(spark):
     docs, labels = tables(spark, 20)
     assert {r["score"] for r in quality.op10_quality(docs, labels.where("false")).collect()} == {0.5}
