@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablescape.llm.common import unused
 from tablescape.session import stage
 
 #: Words in a block.
 BLOCK = 64
-#: Documents in a shard of a source, about: what one task orders at once.
-SHARD_DOCS = 2048
+#: Documents in a shard of a source, about: what one task orders at once; shards, or groups of them, that one task apportions.
+SHARD_DOCS, FAN = 2048, 1024
 
 
 def sainte_lague(weights: list[float], seats: int, most: list[int]) -> list[int]:
@@ -83,7 +84,9 @@ def mix(docs: DataFrame, ratio: float = 1.5, most: int = 2, cycle: tuple[float,
     their own; an empty table gives an empty result.
 
     A source is dealt to shards of ``SHARD_DOCS`` documents about, so a hot
-    source is many groups. The driver sees one row a source.
+    source is many groups; ``FAN`` shards make a group, ``FAN`` groups the next
+    one, and the blocks go down this tree, so no task apportions more than
+    ``FAN`` at once. The driver sees one row a source.
     """
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
     rows = stage(docs.select(*keys, F.col(source).alias("_source"), words.alias("size"), F.monotonically_increasing_id().alias("_row")), "words")
@@ -106,15 +109,24 @@ def mix(docs: DataFrame, ratio: float = 1.5, most: int = 2, cycle: tuple[float,
         "dealt",
     )
 
-    def per_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_shard")
-        words = [int(x) for x in pdf["words"]]
-        got = sainte_lague([float(x) for x in words], int(pdf["quota"].iloc[0]), [most * x // block for x in words])
-        return pdf.assign(blocks=got)[["_source", "_shard", "blocks"]]
-
-    shards = dealt.groupBy("_source", "_shard").agg(F.sum("size").alias("words"), F.max("quota").alias("quota"))
-    quotas = shards.groupBy("_source").applyInPandas(per_shard, "_source string, _shard int, blocks bigint")
-    quotas = stage(shards.alias("s").join(quotas.alias("q"), F.expr("s._source <=> q._source AND s._shard = q._shard")).select(F.col("s._source").alias("_q_source"), F.col("s._shard").alias("_q_shard"), "words", "blocks"), "quotas")
+    shards = dealt.groupBy("_source", F.col("_shard").alias("node")).agg(F.sum("size").alias("words"), F.max("quota").alias("quota"))
+    levels = [stage(shards.withColumn("most", F.floor(most * F.col("words") / block)), "shards")]
+    n = max((-(-r["docs"] // SHARD_DOCS) for r in per), default=1)
+    while n > FAN:
+        n = -(-n // FAN)
+        levels.append(levels[-1].groupBy("_source", F.floor(F.col("node") / FAN).cast("int").alias("node")).agg(F.sum("words").alias("words"), F.max("quota").alias("quota"), F.sum("most").alias("most")))
+
+    def divided(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        return pdf.assign(blocks=sainte_lague([float(x) for x in pdf["words"]], int(pdf["quota"].iloc[0]), [int(x) for x in pdf["most"]]))[["_source", "node", "words", "blocks"]]
+
+    schema = "_source string, node int, words bigint, blocks bigint"
+    quotas = levels[-1].groupBy("_source").applyInPandas(divided, schema)
+    for level in levels[-2::-1]:
+        above = quotas.select(F.col("_source").alias("_up"), F.col("node").alias("up"), F.col("blocks").alias("given"))
+        inner = level.join(above, F.expr("_source <=> _up AND floor(node / {fan}) = up".replace("{fan}", str(FAN)))).withColumn("quota", F.col("given"))
+        quotas = inner.groupBy("_source", "up").applyInPandas(divided, schema)
+    quotas = stage(quotas.select(F.col("_source").alias("_q_source"), F.col("node").alias("_q_shard"), "words", "blocks"), "quotas")
     before = Window.partitionBy("_source", "_shard").orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, -1)
     tape = dealt.withColumn("_from", F.coalesce(F.sum("size").over(before), F.lit(0)))
     tape = tape.join(quotas, F.expr("_source <=> _q_source AND _shard = _q_shard"))
@@ -125,11 +137,19 @@ def mix(docs: DataFrame, ratio: float = 1.5, most: int = 2, cycle: tuple[float,
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus as rows of ``docs``: each document whole, as often as the words it gives make its size up, rounded (0, 1 or 2 times); ``docs`` is read twice and should be a written table."""
-    own = docs.columns
-    rows = docs.withColumn("_tag", F.monotonically_increasing_id())
-    times = mix(rows, keys=("_tag",), **how).select("_tag", F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias("_times")).where("_times > 0")
-    return rows.join(times, "_tag").withColumn("_copy", F.explode(F.expr("sequence(1, _times)"))).select(*own)
+    """The mixed corpus as rows of ``docs``: each document whole, as often as the words it gives make its size up, rounded (0, 1 or 2 times).
+
+    All columns stay, whatever their names. Rows without words (null and empty
+    texts) are not taken; repeated rows are rows of their own; an empty table
+    gives an empty result. ``docs`` is read twice and should be a written
+    table, whose rows keep their places.
+    """
+    own, tag = docs.columns, unused(docs, "row_tag")
+    times, copy = unused(docs, "row_times"), unused(docs, "row_copy")
+    rows = docs.withColumn(tag, F.monotonically_increasing_id())
+    plain = rows.select(F.col(tag).alias("tag"), F.col(how.pop("text", "text")).alias("text"), F.col(how.pop("source", "source")).alias("source"))
+    found = mix(plain, keys=("tag",), **how).select(F.col("tag").alias(tag), F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias(times)).where(F.col(times) > 0)
+    return rows.join(found, tag).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*own)
 
 
 def op6_mix(docs: DataFrame) -> DataFrame:

@@ -46,7 +46,8 @@ def test_targets():
 
 
 def test_mix(docs, none, monkeypatch):
-    monkeypatch.setattr(mixing, "SHARD_DOCS", 7)
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 3)
+    monkeypatch.setattr(mixing, "FAN", 2)  # several levels of groups
     got = mixing.mix(docs, block=8).collect()
     assert sorted(map(str, [r["doc_id"] for r in got])) == sorted(map(str, [r["doc_id"] for r in docs.collect()]))
     size = {r["doc_id"]: len((r["text"] or "").encode().split()) for r in docs.collect() if r["doc_id"] is not None}
