@@ -10,6 +10,7 @@ in order hold the documents in ascending doc_id order, nulls first.
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
 import struct
@@ -24,8 +25,8 @@ from pyspark.sql.window import Window
 from tablescape.llm.common import arrow_map, arrow_schema, rows_of
 from tablescape.session import stage
 
-#: Ids in a block, about.
-BLOCK_IDS = 1 << 18
+#: Ids in a block, about; documents in a part of the file, about; sampled ids for each bound between parts.
+BLOCK_IDS, PART_DOCS, PART_IDS = 1 << 18, 2048, 16
 #: Chunks that a task's memory of encoded chunks holds in each of two generations.
 MEMORY = 500_000
 
@@ -171,28 +172,28 @@ def vocabulary_width(path: str) -> int:
 def write_packed(docs: DataFrame, path: str, end_id: int | None = 1, text: str = "text", doc_id: str = "doc_id", block_ids: int = BLOCK_IDS) -> tuple[DataFrame, int]:
     """Encode every whole text and write the packed blocks; (the written table, bits an id).
 
-    Null and empty texts give the end id alone. Documents are dealt to
-    partitions by ranges of doc_id (bounds from the id column alone, so texts
-    are encoded once), sorted there and packed. Repeated ids stand side by
-    side.
+    Null and empty texts give the end id alone. Documents are dealt to parts
+    of about ``PART_DOCS`` by ranges of doc_id, of any type that Spark sorts
+    (bounds from a sample of the id column alone, so texts are encoded once),
+    sorted there and packed. Repeated ids stand side by side, null ids first;
+    extra columns are ignored; an empty table gives an empty file.
     """
-    width = max(vocabulary_width(path), int(end_id or 0).bit_length())
+    width = max(vocabulary_width(path), int(end_id or 0).bit_length(), 1)
     id_type = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    ids = base.select("doc_id")
-    parts = max(1, -(-ids.count() // 2048))
-    # equal shares of the ids, by a small sketch; shares need not be exact
-    parts = min(parts, 16384)
-    bounds = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    total = base.count()
+    parts = max(1, -(-total // PART_DOCS))
+    # the smallest ``PART_IDS`` ids a part by hash, whatever the rows: bounds are their quantiles, shares need not be exact
+    some = base.select("doc_id").where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(min(1.0, PART_IDS * parts / max(1, total)) * (1 << 30))))
+    held = sorted(r[0] for r in some.distinct().collect()) if parts > 1 else []
+    bounds = sorted({held[i * len(held) // parts] for i in range(1, parts)}) if held else []
 
     def encode(batch):
         enc = encoder(path)
-        keys = batch.column(0).to_pylist()
-        packed = [pack(np.frombuffer(enc.encode(t) + tail, "<u4"), width) for t in batch.column(1).to_pylist()]
-        sizes = [len(p) * 8 // width for p in packed] if width >= 8 else None
-        part = [0 if k is None else int(np.searchsorted(bounds, k, "right")) for k in keys]
-        return {"part": pa.array(part, pa.int32()), "doc_id": batch.column(0), "n": pa.array(sizes, pa.int64()), "packed": pa.array(packed, pa.binary())}
+        ids = [np.frombuffer(enc.encode(t) + tail, "<u4") for t in batch.column(1).to_pylist()]
+        part = [0 if k is None else bisect.bisect_right(bounds, k) for k in batch.column(0).to_pylist()]
+        return {"part": pa.array(part, pa.int32()), "doc_id": batch.column(0), "n": pa.array([len(x) for x in ids], pa.int64()), "packed": pa.array([pack(x, width) for x in ids], pa.binary())}
 
     encoded = arrow_map(base, encode, f"part int, doc_id {id_type}, n bigint, packed binary", most_bytes=2 << 20)
     dealt = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
@@ -226,7 +227,7 @@ def read_packed(blocks: DataFrame) -> DataFrame:
     Only the blocks' counts are summed across partitions; payloads are
     unpacked where they are read.
     """
-    # one row a partition of the file: at most 16384
+    # one row a part of the file: a number for each ``PART_DOCS`` documents
     before = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_part_start"))
     inner = blocks.select("part", "number", F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     starts = stage(inner.join(before, "part").select("part", "number", (F.col("_start") + F.col("_part_start")).alias("block_start")), "starts")

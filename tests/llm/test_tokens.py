@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablescape.llm import lexicon, tokencount, tokenids
@@ -62,6 +63,30 @@ def test_packing_round_trip(width):
         assert (tokenids.unpack(body, width, a, b) == ids[a:b]).all()
 
 
+def test_ids_of_any_type_in_order(spark, monkeypatch):
+    monkeypatch.setattr(tokenids, "PART_DOCS", 20)
+    rows = [(f"id {i * 37 % 500:05d}", f"text {i} and more", i) for i in range(500)] + [(None, "no id", 0), ("id 00001", "again", 1)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, n int").repartition(3)
+    for key in ("doc_id", "n"):
+        docs = df.select(F.col(key).alias("doc_id"), "text") if key == "doc_id" else df.select(F.to_date(F.lit("2020-01-01")).alias("d"), "n", "text").select(F.date_add("d", F.col("n")).alias("doc_id"), "text")
+        got = tokenids.op9_token_ids(docs, WORD).orderBy("start").collect()
+        keys = [r["doc_id"] for r in got]
+        assert len(got) == len(rows) and keys == sorted(keys, key=lambda k: (k is not None, k or keys[-1]))
+        assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])[:-1]]).tolist()
+
+
+def test_small_vocabulary(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"a": 0, "b": 1, "c": 2, "[UNK]": 3, "end": 4}, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "small.json")
+    t.save(path)
+    blocks, width = tokenids.write_packed(spark.createDataFrame([(1, "a b c"), (2, None), (3, "c zz")], "doc_id int, text string"), path, end_id=4)
+    assert width == 3
+    assert {r["doc_id"]: r["ids"] for r in tokenids.documents_of(blocks).collect()} == {1: [0, 1, 2, 4], 2: [4], 3: [2, 3, 4]}
+
+
 def want_ids(text):
     return [*Tokenizer.from_file(WORD).encode(text or "", add_special_tokens=False).ids, 1]
 
