@@ -173,14 +173,22 @@ def _placed(docs: DataFrame, plan, text: str, doc_id: str, carry: tuple[str, ...
     A group is the rows of equal text (by SHA-256; null is a group of its own)
     and is never divided. Size is the text's UTF-8 bytes plus 1; null counts
     as empty. Slots are gapless from 0 in each shard. Repeated rows and null
-    ids each keep a slot. Extra columns are ignored; an empty table gives an
-    empty result.
+    ids each keep a slot. ``carry`` columns come along; one that shares its
+    name with a column of the result gets an underscore after it. Other
+    columns are ignored; an empty table gives an empty result.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    result = ["doc_id", "size", "text_crc32", "shard", "slot"]
+    named, held = [], [f"carried_{i}" for i in range(len(carry))]
+    for c in carry:
+        name = c
+        while name.lower() in {x.lower() for x in [*result, *named]}:
+            name += "_"
+        named.append(name)
     base = stage(
         docs.select(
             F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
-            F.coalesce(F.unhex(F.sha2(F.col(text), 256)), F.lit(b"")).alias("key"), F.monotonically_increasing_id().alias("row"), *carry,
+            F.coalesce(F.unhex(F.sha2(F.col(text), 256)), F.lit(b"")).alias("key"), F.monotonically_increasing_id().alias("row"), *[F.col(c).alias(h) for c, h in zip(carry, held)],
         ),
         "sizes",
     )
@@ -205,8 +213,8 @@ def _placed(docs: DataFrame, plan, text: str, doc_id: str, carry: tuple[str, ...
         .select("key", F.expr("filter(runs, r -> r.past > rank)[0].shard").alias("shard")),
         "shard_of",
     )
-    placed = stage(base.join(to, "key").select("doc_id", "size", "text_crc32", "shard", "row", *carry), "placed")
-    return ranked(placed, ["shard"], ["doc_id", "row"]).select("doc_id", "size", "text_crc32", "shard", F.col("rank").alias("slot"), *carry)
+    placed = stage(base.join(to, "key").select("doc_id", "size", "text_crc32", "shard", "row", *held), "placed")
+    return ranked(placed, ["shard"], ["doc_id", "row"]).select("doc_id", "size", "text_crc32", "shard", F.col("rank").alias("slot"), *[F.col(h).alias(c) for h, c in zip(held, named)])
 
 
 def op8_shard(docs: DataFrame) -> DataFrame:

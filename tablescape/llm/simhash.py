@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescape.llm.common import arrow_map, ascii_words
+from tablescape.llm.common import arrow_map, ascii_words, unused
 from tablescape.operators.components import connected_components
 from tablescape.session import stage
 
@@ -33,16 +33,12 @@ def fingerprint_of(words: list[bytes]) -> int:
     if not words:
         return 0
     h = xxhash.xxh64_intdigest
-    if len(words) < 3:
-        got = [h(b" ".join(words), 42)]
-    else:
-        got = [h(b"%b %b %b" % x, 42) for x in zip(words, words[1:], words[2:])]
-    bits = np.zeros(64, np.int64)
-    all_ = np.array(got, np.uint64)
-    for at in range(0, len(all_), 1 << 16):
-        part = all_[at : at + (1 << 16)].view(np.uint8)
-        bits += np.unpackbits(part, bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(got), bitorder="little").view(np.uint64)[0])
+    shingles = (b"%b %b %b" % x for x in zip(words, words[1:], words[2:])) if len(words) > 2 else iter([b" ".join(words)])
+    bits, n = np.zeros(64, np.int64), 0
+    while got := [h(x, 42) for x in itertools.islice(shingles, 1 << 16)]:  # bounded memory however long the text
+        bits += np.unpackbits(np.array(got, np.uint64).view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+        n += len(got)
+    return int(np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -153,20 +149,22 @@ def near_duplicates(docs: DataFrame, radius: int = 3, text: str = "text", doc_id
 def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The documents without near-duplicates: of each component one row, that of the least doc_id (nulls last), with all columns.
 
-    Of rows that share this doc_id the first as read stays. ``docs`` is read
-    twice and should be a written table, whose rows keep their places.
+    Of rows that share this doc_id the first as read stays. Null text counts
+    as empty, all empty texts are one group; columns of any name stay; an
+    empty table gives an empty result. ``docs`` is read twice and should be a
+    written table, whose rows keep their places.
     """
-    own = docs.columns
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = stage(fingerprints(rows, keep=("doc_id", "_row")), "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("first")
+    own, tag = docs.columns, unused(docs, "row_tag")
+    rows = docs.withColumn(tag, F.monotonically_increasing_id())
+    found = stage(fingerprints(rows.select("doc_id", "text", F.col(tag).alias("row")), keep=("doc_id", "row")), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
     classes = stage(found.groupBy("fp").agg(first), "class")
     parts = stage(connected_components(stage(linking_edges(classes, radius), "links")), "part")
     kept = (
         classes.join(parts, classes.fp == parts.node, "left")
-        .groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+        .groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(tag))
     )
-    return rows.join(kept, "_row", "left_semi").select(*own)
+    return rows.join(kept, tag, "left_semi").select(*own)
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tablescape.llm import decontamination, mixing, quality, simhash
 
@@ -91,6 +93,26 @@ def test_stages(spark, tmp_path):
     assert whole.count() == docs.count() and "slot" in whole.columns
 
 
+def test_columns_of_any_name_stay(spark, tmp_path):
+    sf = str(tmp_path)
+    write(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ["_tag", "_row", "_copy", "_times", "_quality", "quality_score", "row_tag", "row_times", "row_copy", "key", "fp", "part", "size", "slot", "shard"]
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n + " of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    docs.write.parquet(f"{sf}/wide")
+    docs = spark.read.parquet(f"{sf}/wide")
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, sf)
+        if name == "shard":
+            assert set(names) <= {c.rstrip("_") for c in out.columns}
+            out = out.select("doc_id", *[F.col(n + "_" * (n in ("size", "slot", "shard"))).alias(n) for n in names])
+        else:
+            assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in names)
+
+
 def test_empty_tables(spark, tmp_path):
     sf = str(tmp_path)
     write(spark, f"{sf}/full")

@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tablescape.llm import sharding
 
 
@@ -65,5 +67,21 @@ def test_near_equal_bytes(spark):
     df = spark.createDataFrame([(i, "x" * int(rng.paretovariate(1.2) * 30)) for i in range(3000)], "doc_id bigint, text string")
     load = [r["b"] for r in sharding.op8_shard(df).groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "b").collect()]
     assert len(load) == 8 and max(load) <= 1.01 * min(load)
-    few = sharding.pack_documents(df, 20000).groupBy("shard").agg({"size": "sum"}).collect()
-    assert all(r[1] <= 20000 or True for r in few) and len(few) >= sum(load) // 20000
+    groups = defaultdict(int)
+    for r in df.collect():
+        groups[zlib.crc32(r["text"].encode())] += len(r["text"]) + 1
+    packed = defaultdict(lambda: defaultdict(int))
+    for r in sharding.pack_documents(df, 20000).collect():
+        packed[r["shard"]][r["text_crc32"]] += r["size"]
+    assert sum(len(g) for g in packed.values()) == len(groups)  # none divided
+    assert all(sum(g.values()) <= 20000 or len(g) == 1 for g in packed.values())
+    rest = sum(s for s in groups.values() if s <= 20000)
+    assert len(packed) <= 1.1 * rest / 20000 + 1 + sum(s > 20000 for s in groups.values())
+
+
+def test_carried_columns_keep_apart(docs):
+    names = ["text", "size", "rank", "key", "slot", "row", "SHARD"]
+    df = docs.select("doc_id", "text", "size", "rank", *[F.lit(n).alias(n) for n in names[3:]])
+    got = sharding.shard_documents(df, 3, carry=tuple(names))
+    assert got.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "text", "size_", "rank", "key", "slot_", "row", "SHARD_"]
+    assert got.where("size_ = 's' AND key = 'key' AND slot_ = 'slot' AND row = 'row' AND SHARD_ = 'SHARD'").count() == df.where("size = 's'").count()
