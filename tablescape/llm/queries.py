@@ -36,18 +36,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _license_sql() -> str:
-    shingles = {n: licenses.template_shingles(b) for n, b in licenses.TEMPLATES.items()}
-    sizes = licenses.family_sizes([len(x) for x in shingles.values()])
-    values = ", ".join(f"('{n}', {sizes[len(x)]}, {max(1, sizes[len(x)] // 4)}, [{', '.join(repr(w) for w in x)}])" for n, x in shingles.items())
+    """Containment of every template's shingles in the whole text."""
+    values = ", ".join(f"('{n}', [{', '.join(repr(w) for w in licenses.template_shingles(b))}])" for n, b in licenses.TEMPLATES.items())
     return f"""
-        WITH t(template, size, step, wanted) AS (VALUES {values}),
+        WITH t(template, wanted) AS (VALUES {values}),
         d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
         s AS (SELECT id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) AS s FROM d),
-        c AS (SELECT * FROM s, t WHERE len(list_intersect(wanted, s)) > 0),
-        m AS (SELECT id, template, max(len(list_intersect(wanted, s[a + 1 : a + size + step - 1])) / len(wanted)) AS best FROM (SELECT *, unnest(range(0, len(s), step)) AS a FROM c) GROUP BY ALL),
+        m AS (SELECT id, template, len(list_intersect(wanted, s)) / len(wanted) AS best FROM s, t),
         g AS (SELECT id, string_agg(template, ',' ORDER BY template) AS licenses, count(*) AS n, max(best) AS best FROM m WHERE best >= 0.8 GROUP BY id)
         SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n, 0) AS n_licenses, coalesce(best, 0.0) AS best FROM d LEFT JOIN g USING (id)
-    """.replace("\\\\", "\\")
+    """
 
 
 #: SQL of the operators that SQL can express over whole tables.

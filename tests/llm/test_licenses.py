@@ -5,18 +5,11 @@ from tablescape.llm import licenses
 
 
 def brute(text):
-    """Per template the best share of its shingles in any run of words as long as a window, at every place."""
+    """Per template the share of its shingles in the whole text."""
     words = re.findall(r"[^\W_]+", (text or "").lower())
-    shingles = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)]
-    out = {}
-    for name, body in licenses.TEMPLATES.items():
-        want = licenses.template_shingles(body)
-        size = licenses.family_sizes([len(licenses.template_shingles(b)) for b in licenses.TEMPLATES.values()])[len(want)]
-        step = max(1, size // 4)
-        best = max((len(set(want) & set(shingles[a : a + size + step - 1])) / len(want) for a in range(0, max(1, len(shingles)), step)), default=0)
-        if best >= 0.8:
-            out[name] = best
-    return out
+    shingles = {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
+    shares = {n: len(w & shingles) / len(w) for n, b in licenses.TEMPLATES.items() for w in [set(licenses.template_shingles(b))]}
+    return {n: s for n, s in shares.items() if s >= 0.8}
 
 
 def test_against_brute_force(spark, docs, none):
