@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablescape.operators import graph
+from tablescape.operators import graph, patterns
 from tablescape.operators.weights import dependency_weight
 from tablescape.session import stage
 
@@ -116,17 +116,44 @@ def dependency_score(edges: DataFrame) -> DataFrame:
     return direct.unionByName(indirect).groupBy("src", "dst").agg(F.sum("s").alias("s")).join(out, "src").select("src", "dst", (F.col("s") / F.col("od")).alias("score"))
 
 
-def dependency_domains(edges: DataFrame, hubs: DataFrame, cohesion: float = 0.6, most: int = 15) -> DataFrame:
-    """(cluster, members, cohesion, coupling, score): each hub with its direct dependents; kept from ``cohesion`` on and up to ``most`` members. Score .7 cohesion + .3 (1 - coupling)."""
-    m = edges.join(hubs.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("cluster"), F.col("src").alias("node")).unionByName(hubs.select(F.col("node").alias("cluster"), "node")).distinct()
-    e = edges.select("src", "dst").distinct()
-    touch = e.join(m.select(F.col("node").alias("src"), F.col("cluster").alias("cs")), "src").select("src", "dst", F.col("cs").alias("cluster")).unionByName(e.join(m.select(F.col("node").alias("dst"), F.col("cluster").alias("cd")), "dst").select("src", "dst", F.col("cd").alias("cluster")))
-    # an edge inside a cluster touches it twice
-    per = touch.groupBy("cluster", "src", "dst").agg(F.count("*").alias("ends")).groupBy("cluster").agg(F.count_if(F.col("ends") == 2).alias("inside"), F.count_if(F.col("ends") == 1).alias("across"))
-    g = m.groupBy("cluster").agg(F.array_sort(F.collect_set("node")).alias("members")).join(per, "cluster", "left").na.fill(0, ["inside", "across"])
-    total = F.col("inside") + F.col("across")
-    share = F.when(total > 0, F.col("inside") / total).otherwise(F.lit(0.0))
-    return g.select("cluster", "members", share.alias("cohesion"), (1 - share).alias("coupling")).withColumn("score", 0.7 * F.col("cohesion") + 0.3 * (1 - F.col("coupling"))).where((F.col("cohesion") >= cohesion) & (F.size("members") <= most))
+def dependency_domains(edges: DataFrame, nodes: DataFrame, cohesion: float = 0.6, most: int = 15) -> DataFrame:
+    """(cluster, core, supporting, lookup, n, n_consumers, cohesion, coupling, score): a domain for each hub.
+
+    ``nodes`` as ``hubs.dependency_hubs`` gives them. Core nodes are those that
+    the hub depends on by composition or core business; supporting ones those
+    that core nodes depend on and that matter (importance .6 or centrality
+    1.5); lookup ones the references that the hub depends on. Consumers
+    depend on the hub and stay out, junctions apart. Cohesion is the share of
+    linked pairs among the members, coupling that of linked pairs of members
+    and consumers; kept from ``cohesion`` on and up to ``most`` members. Score
+    .7 cohesion + .3 (1 - coupling). Self-loops count nothing.
+    """
+    e = stage(edges.where("src <> dst").select("src", "dst").distinct(), "dependencies")
+    kind = nodes.select("node", "node_type", "importance", "centrality", "is_hub")
+    kind = stage(kind, "dependency-nodes")
+    h = kind.where("is_hub").select(F.col("node").alias("cluster"))
+    of = lambda c: kind.select(F.col("node").alias(c), F.col("node_type").alias(f"{c}_type"), "importance", "centrality")
+    needs = e.join(h.withColumnRenamed("cluster", "src"), "src", "left_semi").join(of("dst"), "dst")
+    is_core = (patterns.relationship_kind(F.col("src"), F.col("dst")) == "composition") | (patterns.business_nature(F.col("src"), F.col("dst")) == "core")
+    core = stage(needs.where((F.col("dst_type") != "reference") & is_core).select(F.col("src").alias("cluster"), F.col("dst").alias("node")), "core")
+    lookup = needs.where("dst_type = 'reference'").select(F.col("src").alias("cluster"), F.col("dst").alias("node"))
+    beyond = core.withColumnRenamed("node", "src").join(e, "src").join(of("dst"), "dst").where("(importance >= 0.6 OR centrality >= 1.5) AND dst_type <> 'reference' AND dst <> cluster")
+    supporting = beyond.select("cluster", F.col("dst").alias("node")).distinct().join(core, ["cluster", "node"], "left_anti")
+    part = lambda df, name: df.select("cluster", "node", F.lit(name).alias("part"))
+    members = stage(part(h.withColumn("node", F.col("cluster")), "hub").unionByName(part(core, "core")).unionByName(part(supporting, "supporting")).unionByName(part(lookup, "lookup")), "domain-members")
+    consumers = stage(e.join(h.withColumnRenamed("cluster", "dst"), "dst", "left_semi").join(of("src"), "src").where("src_type <> 'junction'").select(F.col("dst").alias("cluster"), F.col("src").alias("node")), "consumers")
+    # only domains of a size that is kept go on, so lists are short
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") <= most)
+    kept = members.join(sizes, "cluster")
+    near = e.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("other"))).distinct()
+    legs = stage(kept.select("cluster", "node").join(near, "node").select("cluster", "node", "other"), "legs")
+    inside = legs.join(kept.select("cluster", F.col("node").alias("other")), ["cluster", "other"]).groupBy("cluster").agg((F.count("*") / 2).alias("inside"))
+    across = legs.join(consumers.withColumnRenamed("node", "other"), ["cluster", "other"]).groupBy("cluster").agg(F.count("*").alias("across"))
+    lists = kept.groupBy("cluster").agg(F.max("n").alias("n"), *[F.array_sort(F.collect_list(F.when(F.col("part") == p, F.col("node")))).alias(p) for p in ("core", "supporting", "lookup")])
+    j = lists.join(consumers.groupBy("cluster").agg(F.count("*").alias("n_consumers")), "cluster", "left").join(inside, "cluster", "left").join(across, "cluster", "left").na.fill(0, ["n_consumers", "inside", "across"])
+    n, k = F.col("n"), F.col("n_consumers")
+    j = j.withColumn("cohesion", F.when(n <= 1, 1.0).otherwise(F.col("inside") / (n * (n - 1) / 2))).withColumn("coupling", F.when(k == 0, 0.0).otherwise(F.col("across") / (n * k)))
+    return j.where(F.col("cohesion") >= cohesion).select("cluster", "core", "supporting", "lookup", "n", "n_consumers", "cohesion", "coupling", (0.7 * F.col("cohesion") + 0.3 * (1 - F.col("coupling"))).alias("score"))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -204,7 +231,7 @@ def gap_curve(points: DataFrame, vector: str, ks: list[int], references: int = 3
 
 
 def spectral(edges: DataFrame, k: int, rounds: int = 20) -> DataFrame:
-    """(node, cluster) by power iteration on the normalised affinities of (src, dst, weight); nodes are numbered by name."""
+    """(node, cluster) by power iteration on the normalised affinities of (src, dst, weight); nodes are numbered by a 64-bit hash of their name."""
     near = both_ways(edges).where("node < other")
     names = graph.nodes_of(near.select(F.col("node").alias("src"), F.col("other").alias("dst")))
     ids = stage(names.select("node", F.xxhash64("node").alias("id")), "spectral")

@@ -143,7 +143,10 @@ def dependency_centrality(edges: DataFrame, nodes: DataFrame | None = None, roun
 
 
 def bfs(edges: DataFrame, sources: DataFrame, most: int = 50, directed: bool = False) -> DataFrame:
-    """(source, node, hops): hop counts from every source (``sources``: source), level by level; unreached nodes have no row."""
+    """(source, node, hops): hop counts from every source (``sources``: source), level by level; unreached nodes have no row.
+
+    Raises if there are nodes more than ``most`` hops away.
+    """
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).distinct() if directed else neighbours(edges)
     step = stage(step, "bfs-steps")
     seen = stage(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops")).distinct(), "bfs")
@@ -153,6 +156,8 @@ def bfs(edges: DataFrame, sources: DataFrame, most: int = 50, directed: bool = F
         if new.isEmpty():
             break
         seen = seen.unionByName(new)  # of written levels: nothing is written twice
+    else:
+        raise ValueError(f"paths of {most} hops or more: give a larger most")
     return seen
 
 
@@ -197,6 +202,8 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, sources: DataF
             break
         levels.append(new)
         seen = seen.unionByName(new.select("source", "node"))
+    else:
+        raise ValueError(f"paths of {most} hops or more: give a larger most")
     carried, total = None, None
     for at in range(len(levels) - 1, 0, -1):
         own = levels[at]
@@ -213,7 +220,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, sources: DataF
 
 
 def cycles(edges: DataFrame, most: int = 20) -> DataFrame:
-    """(node, length): nodes on a directed cycle with the length of their shortest one, up to ``most``."""
+    """(node, length): nodes on a directed cycle with the length of their shortest one; raises if paths are longer than ``most``."""
     e = stage(edges.select("src", "dst").distinct(), "cycle-edges")
     front = e.select(F.col("src").alias("source"), F.col("dst").alias("node"))
     out = front.where("source = node").select(F.col("source").alias("node"), F.lit(1).alias("length"))
@@ -225,4 +232,6 @@ def cycles(edges: DataFrame, most: int = 20) -> DataFrame:
             break
         out = out.unionByName(front.where("source = node").select(F.col("source").alias("node"), F.lit(length).alias("length")))
         seen = seen.unionByName(front)
+    else:
+        raise ValueError(f"paths of {most} edges or more: give a larger most")
     return out.groupBy("node").agg(F.min("length").alias("length"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablescape.operators import graph
+from tablescape.operators import graph, patterns
 
 # By number of nodes below: degree percentile, least degree, betweenness percentile, rank percentile.
 SIZES = [(20, 0.90, 2, 0.80, 0.85), (100, 0.85, 3, 0.85, 0.88), (None, 0.98, 5, 0.95, 0.90)]
@@ -30,6 +30,27 @@ def sigma_hubs(degrees: DataFrame, sigmas: float = 2.5, least: int = 5) -> DataF
     return degrees.crossJoin(F.broadcast(limit)).where("degree >= limit").select("node", "degree")
 
 
+def dependency_hubs(edges: DataFrame, nodes: DataFrame | None = None, threshold: int = 5, rounds: int = 100, tolerance: float = 1e-3) -> DataFrame:
+    """(node, degree, importance, centrality, is_hub, is_root, node_type) of a graph of dependencies.
+
+    A hub has ``threshold`` edges, or a name of importance .8 and three edges,
+    or a centrality of 2; a root has a name of importance .7 and two edges
+    in. Hubs are of type hub, the others of ``patterns.node_types``.
+    """
+    d = graph.degrees(edges, nodes)
+    c = graph.dependency_centrality(edges, nodes, rounds, tolerance)
+    x = d.join(patterns.node_types(d, 1 << 30), "node").join(c, "node").withColumn("importance", patterns.importance(F.col("node").cast("string")))
+    hub = (F.col("degree") >= threshold) | ((F.col("importance") >= 0.8) & (F.col("degree") >= 3)) | (F.col("centrality") >= 2)
+    root = (F.col("importance") >= 0.7) & (F.col("in_degree") >= 2)
+    return x.select("node", "degree", "importance", "centrality", hub.alias("is_hub"), root.alias("is_root"), F.when(hub, "hub").otherwise(F.col("node_type")).alias("node_type"))
+
+
+def extreme_edges(edges: DataFrame, k: int = 5) -> DataFrame:
+    """(kind, src, dst, weight): the ``k`` strongest and the ``k`` weakest edges, ties by name."""
+    top = lambda kind, order: edges.orderBy(order, "src", "dst").limit(k).select(F.lit(kind).alias("kind"), "src", "dst", "weight")
+    return top("strongest", F.desc("weight")).unionByName(top("weakest", F.asc("weight")))
+
+
 def hub_type(columns: DataFrame, connections: DataFrame) -> DataFrame:
     """(node, hub_type, hub_score, is_hub) by the highest of the lookup, junction, master and audit scores, ties in this order.
 

@@ -113,6 +113,15 @@ def node_types(degrees: DataFrame, hub_threshold: int = 5) -> DataFrame:
     return degrees.select("node", kind.alias("node_type"))
 
 
+def class_features(columns: DataFrame, rels: DataFrame) -> DataFrame:
+    """(node, n_columns, n_fk, time_share, numeric_share, degree_share) of a catalog's tables; degrees are shares of the greatest."""
+    d = rels.select(F.explode(F.array("source_table", "target_table")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    kind = lambda *k: F.avg(F.col("type_class").isin(*k).cast("double"))
+    c = columns.groupBy(F.col("table_name").alias("node")).agg(F.count("*").alias("n_columns"), F.count_if("is_fk").alias("n_fk"), kind("datetime").alias("time_share"), kind("integer", "numeric").alias("numeric_share"))
+    most = d.agg(F.coalesce(F.max("degree"), F.lit(1)).alias("most"))  # one row
+    return c.join(d, "node", "left").crossJoin(F.broadcast(most)).select("node", "n_columns", "n_fk", "time_share", "numeric_share", (F.coalesce("degree", F.lit(0)) / F.col("most")).alias("degree_share"))
+
+
 def structural_class(features: DataFrame) -> DataFrame:
     """(node, class) from (node, n_columns, n_fk, time_share, numeric_share, degree_share): JUNCTION, HUB, TEMPORAL, REFERENCE, METRICS, ISOLATED, ENTITY."""
     f = F.col

@@ -40,7 +40,7 @@ TRADE = """
         WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
     named AS (SELECT a.n_name AS src, b.n_name AS dst, cents FROM flow JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey),
     edges AS (SELECT src, dst, cents, round(cents / max(cents) OVER (PARTITION BY src), 6) AS weight FROM named
-        QUALIFY row_number() OVER (PARTITION BY src ORDER BY cents DESC, dst) <= 3),
+        QUALIFY cents * count(*) OVER (PARTITION BY src) >= sum(cents) OVER (PARTITION BY src)),
     nodes AS (SELECT DISTINCT unnest([src, dst]) AS node FROM edges)"""
 PARTS = """
     seq AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem),
@@ -636,12 +636,6 @@ def structural_domains(spark, sf_dir):
     return d.withColumns({"core": F.array_join("core", ","), "hubs": F.array_join("hubs", ",")})
 
 
-@query("dependency_domains")
-def dependency_domains(spark, sf_dir):
-    e = stage(trade_graph(spark, sf_dir), "trade")
-    return clustering.dependency_domains(e, _top_nodes(e), cohesion=0.0).withColumn("members", F.array_join("members", ","))
-
-
 @query("dependency_scores", f"""WITH {TRADE}, od AS (SELECT src, count(*) AS n FROM edges GROUP BY 1), s AS (SELECT src, dst, 1.0 AS s FROM edges UNION ALL SELECT a.src, b.dst, 0.5 FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst)
     SELECT s.src, dst, round(sum(s) / max(n), 6) AS score FROM s JOIN od ON s.src = od.src GROUP BY 1, 2""")
 def dependency_scores(spark, sf_dir):
@@ -820,3 +814,6 @@ def size_buckets(spark, sf_dir):
 @query("clustering_suitability", f"WITH {TRADE}, e AS (SELECT count(*) AS e, round(avg(weight), 6) AS mean, round(var_pop(weight), 6) AS variance FROM edges), n AS (SELECT count(*) AS n FROM nodes) SELECT n, e, mean, variance, e / n >= greatest(1, 0.5 * ln(n)) AND mean >= 0.3 AND variance >= 0.01 AS suitable FROM n, e")
 def clustering_suitability(spark, sf_dir):
     return clustering.suitable(stage(trade_graph(spark, sf_dir), "trade")).withColumns({"mean": F.round("mean", 6), "variance": F.round("variance", 6)})
+
+
+from tablescape import catalog_queries  # noqa: E402, F401  registers its queries

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablescape.functions.types import type_class
+from tablescape.session import stage
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 # The declared foreign keys (source table, source column, target table, target column).
@@ -95,6 +96,29 @@ def discover_keys(tables: dict[str, DataFrame], least: float = 1.0) -> DataFrame
     )
 
 
+# What the tables and columns of the derived catalog are called (# is the order's key), and their types with their classes.
+TABLE_WORDS = ["user#", "status#", "order_log#", "payment#", "config#", "profile#", "category#", "base#item", "tmp_#", "sys_#", "audit#", "invoice#", "product#", "map_#_ref", "customer#s", "metadata#", "template#", "a#types"]
+COLUMN_WORDS = ["createdAt", "updated_at", "parent_id", "name", "code", "value", "user_ref", "amount", "description", "label", "modifiedBy", "type", "created_by", "total", "note", "createdBy"]
+TYPES, CLASSES = ["varchar", "bigint", "decimal", "timestamp", "boolean"], ["string", "integer", "numeric", "datetime", "boolean"]
+
+
+def order_catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A catalog that grows with the data: ``columns``, a table an order and a column a line, and ``rels`` from lines to the customer's order before, or their own."""
+    c = F.col
+    pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at % len(words) + 1).cast("int"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").withColumn("ordinal", F.row_number().over(w))
+    columns = stage(li.select(
+        c("l_orderkey").alias("k"), F.replace(pick(TABLE_WORDS, c("l_orderkey")), F.lit("#"), c("l_orderkey").cast("string")).alias("table_name"), "ordinal", F.concat_ws("_", pick(COLUMN_WORDS, c("l_partkey") + c("ordinal")), "ordinal").alias("column_name"),
+        pick(TYPES, c("l_suppkey")).alias("column_type"), pick(CLASSES, c("l_suppkey")).alias("type_class"), (c("ordinal") == 1).alias("is_pk"), ((c("ordinal") > 1) & (c("l_partkey") % 3 == 0)).alias("is_fk"),
+        (c("l_suppkey") % 7 == 0).alias("is_unique"), (c("l_quantity") > 25).alias("is_nullable"), (c("l_suppkey") % 11 == 0).alias("own"),
+    ), "catalog")
+    before = read(spark, sf_dir, "orders").select(c("o_orderkey").alias("k"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("p"))
+    keys = columns.where("ordinal = 1").select(c("k").alias("t"), c("table_name").alias("target_table"), c("column_name").alias("target_column"))
+    rels = columns.where("is_fk").join(before, "k").withColumn("t", F.when(c("own"), c("k")).otherwise(c("p"))).join(keys, "t")
+    return columns.drop("own"), stage(rels.select(c("table_name").alias("source_table"), c("column_name").alias("source_column"), "target_table", "target_column", c("is_nullable").alias("nullable")), "rels")
+
+
 def part_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, weight): a part to the part on the next line of the same order, and how often; self-loops go."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
@@ -108,8 +132,8 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), "weight")
 
 
-def trade_graph(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
-    """(src, dst, cents, weight): a customer's nation to its ``most`` largest supplying nations but itself.
+def trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, cents, weight): a customer's nation to the other nations that supply it with more than its mean.
 
     ``cents`` is the revenue, ``weight`` its share of the largest of that
     source. Line items are summed by order and supplier's nation before they
@@ -124,5 +148,5 @@ def trade_graph(spark: SparkSession, sf_dir: str, most: int = 3) -> DataFrame:
     flow = by.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).where("c_nationkey <> s_nationkey").groupBy("c_nationkey", "s_nationkey").agg(F.sum("cents").alias("cents"))
     named = flow.join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("src")), "c_nationkey").join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("dst")), "s_nationkey").select("src", "dst", "cents")
     w = Window.partitionBy("src")
-    top = named.withColumn("at", F.row_number().over(w.orderBy(F.desc("cents"), "dst"))).where(F.col("at") <= most)
-    return top.withColumn("weight", F.round(F.col("cents") / F.max("cents").over(w), 6)).select("src", "dst", "cents", "weight")
+    some = named.withColumns({"weight": F.round(F.col("cents") / F.max("cents").over(w), 6), "above": F.col("cents") * F.count("*").over(w) >= F.sum("cents").over(w)})
+    return some.where("above").select("src", "dst", "cents", "weight")
