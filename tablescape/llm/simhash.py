@@ -5,6 +5,11 @@ counts. A tile holds fingerprints whose four 16-bit quarters have the same
 population counts; two fingerprints that differ in ``radius`` bits have
 population counts that differ by ``radius`` in sum at most, so only tiles that
 near are paired. Nothing that could link is skipped.
+
+Fingerprints of shingles move several bits when a few words change. Copies
+with changed words are therefore also sought by a second fingerprint, that of
+the single words, which moves less: tiles are then keyed by it, and a link
+holds if both fingerprints are near (``NEAR``).
 """
 
 from __future__ import annotations
@@ -24,16 +29,19 @@ from tablescape.session import stage
 TILE = 1024
 #: Tiles of one cell that meet the same partner in one join key.
 SALT = 8
+#: Bits by which the fingerprints of words and of shingles may differ in copies with changed words.
+NEAR = (3, 9)
 
 
-def fingerprint_of(words: list[bytes]) -> int:
-    """64-bit SimHash of the 3-word shingles of ``words``; fewer words are one shingle, none give zero."""
+def fingerprint_of(words: list[bytes], width: int = 3) -> int:
+    """64-bit SimHash of the shingles of ``width`` words; fewer words are one shingle, none give zero."""
     import xxhash
 
     if not words:
         return 0
     h = xxhash.xxh64_intdigest
-    shingles = (b"%b %b %b" % x for x in zip(words, words[1:], words[2:])) if len(words) > 2 else iter([b" ".join(words)])
+    join = b" ".join([b"%b"] * width)
+    shingles = (join % x for x in zip(*(words[i:] for i in range(width)))) if len(words) >= width else iter([b" ".join(words)])
     bits, n = np.zeros(64, np.int64), 0
     while got := [h(x, 42) for x in itertools.islice(shingles, 1 << 16)]:  # bounded memory however long the text
         bits += np.unpackbits(np.array(got, np.uint64).view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
@@ -41,15 +49,19 @@ def fingerprint_of(words: list[bytes]) -> int:
     return int(np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and ``fp`` (long, the fingerprint's bits). Null text counts as empty: fingerprint zero."""
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: bool = False) -> DataFrame:
+    """The ``keep`` columns and ``fp`` (long, the fingerprint's bits), with ``words`` also ``words``, that of single words. Null text counts as empty: fingerprints zero."""
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "fp bigint"])
+    widths = {"fp": 3, "words": 1} if words else {"fp": 3}
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{n} bigint" for n in widths)])
 
     def make(batch):
-        texts = batch.column(len(keep)).to_pylist()
-        fps = np.array([fingerprint_of(ascii_words(x)) for x in texts], np.uint64).view(np.int64)
-        return {**{f.name: batch.column(i) for i, f in enumerate(fields)}, "fp": pa.array(fps)}
+        got = []
+        for whole in batch.column(len(keep)).to_pylist():
+            split = ascii_words(whole)
+            got.append([fingerprint_of(split, w) for w in widths.values()])
+        fps = np.array(got, np.uint64).reshape(-1, len(widths)).view(np.int64)
+        return {**{f.name: batch.column(i) for i, f in enumerate(fields)}, **{n: pa.array(fps[:, i]) for i, n in enumerate(widths)}}
 
     return arrow_map(docs.select(*keep, text), make, schema)
 
@@ -64,11 +76,18 @@ def _near_offsets(radius: int) -> list[tuple[int, ...]]:
     return [x for x in itertools.product(span, repeat=4) if sum(map(abs, x)) <= radius and x >= (0, 0, 0, 0)]
 
 
-def spanning_edges(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the links between ``a`` and ``b`` connect: from each component's first member to the others."""
+def spanning_edges(a: np.ndarray, b: np.ndarray, radius: int, words: tuple[np.ndarray, np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the links between ``a`` and ``b`` connect: from each component's first member to the others.
+
+    With ``words`` (their other fingerprints and the radius of these) a link must hold in both.
+    """
     near = np.empty((len(a), len(b)), bool)
+    first, second, most = words or (a, b, radius)
     for at in range(0, len(a), 256):
-        near[at : at + 256] = np.bitwise_count(a[at : at + 256, None] ^ b[None, :]) <= radius
+        near[at : at + 256] = np.bitwise_count(first[at : at + 256, None] ^ second[None, :]) <= most
+    if words:
+        i, j = np.nonzero(near)
+        near[i, j] = np.bitwise_count(a[i] ^ b[j]) <= radius
     rows, src, dst = near.any(1), [], []
     for i in np.flatnonzero(rows):
         if not rows[i]:
@@ -91,75 +110,97 @@ def spanning_edges(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarra
     return np.concatenate(src or [none]), np.concatenate(dst or [none])
 
 
-def linking_edges(fps: DataFrame, radius: int = 3) -> DataFrame:
+def linking_edges(fps: DataFrame, radius: int = 3, words_radius: int | None = None) -> DataFrame:
     """(src, dst): edges over the distinct ``fp`` of ``fps`` with the components of all links within ``radius`` bits.
 
+    With ``words_radius`` the rows also have ``words``, another fingerprint,
+    which keys the tiles and must be within ``words_radius`` bits too.
+
     A tile pair gives a spanning forest of its links, not every link, so a
     dense group of n fingerprints gives edges in proportion to n for each tile
     pair. A tile pair is one row of the join; tiles of a full cell are salted.
     """
     spark = fps.sparkSession
     q = ["q0", "q1", "q2", "q3"]
-    cells = stage(fps.select("fp").distinct().select("fp", *[c.alias(n) for c, n in zip(_quarters(F.col("fp")), q)]), "cells")
+    both = words_radius is not None
+    by, most = ("words", words_radius) if both else ("fp", radius)
+    cols = ["fp", "words"] if both else ["fp"]
+    cells = stage(fps.select(*cols).distinct().select(*cols, *[c.alias(n) for c, n in zip(_quarters(F.col(by)), q)]), "cells")
     # at most 17^4 cells whatever the input's size: safe to broadcast
     sizes = cells.groupBy(*q).agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
     tiles = stage(
         cells.join(F.broadcast(sizes), q)
-        .withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64(*cols), F.col("chunks")).cast("int"))
         .groupBy(*q, "chunks", "chunk")
-        .agg(F.collect_list("fp").alias("fps")),
+        .agg(F.collect_list(F.struct(*cols) if both else "fp").alias("fps")),
         "tiles",
     )
-    offsets = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(q, x)]) for x in _near_offsets(radius)])
+    offsets = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(q, x)]) for x in _near_offsets(most)])
     left = tiles.select(F.explode(offsets).alias("d"), *q, F.col("chunk").alias("chunk_a"), F.col("fps").alias("a")).select(
         *[(F.col(n) + F.col(f"d.{n}")).alias(n) for n in q], F.expr("d.q0 = 0 AND d.q1 = 0 AND d.q2 = 0 AND d.q3 = 0").alias("own"), "chunk_a", "a"
     ).join(F.broadcast(sizes), q).withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("chunks") / SALT)).cast("int")).drop("chunks")
     right = tiles.select(*q, F.col("chunk").alias("chunk_b"), F.col("fps").alias("b"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("chunks") / SALT).cast("int") - 1)).alias("salt"))
     pairs = left.join(right, [*q, "salt"]).where("NOT own OR chunk_a <= chunk_b").select("a", "b")
 
+    def lists(column):
+        parts = column.values.flatten() if both else [column.values]
+        return [x.to_numpy(zero_copy_only=False).view(np.uint64) for x in parts], column.offsets.to_numpy()
+
     def make(batch):
-        a, b = batch.column(0), batch.column(1)
-        av, ao = a.values.to_numpy(zero_copy_only=False).view(np.uint64), a.offsets.to_numpy()
-        bv, bo = b.values.to_numpy(zero_copy_only=False).view(np.uint64), b.offsets.to_numpy()
-        got = [spanning_edges(av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]], radius) for i in range(batch.num_rows)]
+        (a, ao), (b, bo) = lists(batch.column(0)), lists(batch.column(1))
+        got = []
+        for i in range(batch.num_rows):
+            at, to = slice(ao[i], ao[i + 1]), slice(bo[i], bo[i + 1])
+            got.append(spanning_edges(a[0][at], b[0][to], radius, (a[1][at], b[1][to], words_radius) if both else None))
         return {k: pa.array(np.concatenate([g[j] for g in got]).view(np.int64)) for j, k in enumerate(("src", "dst"))}
 
     return arrow_map(pairs, make, "src bigint, dst bigint", most_bytes=16 << 20).where("src <> dst").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def _parts(found: DataFrame, classes: DataFrame, radius: int, near: tuple[int, int] | None) -> DataFrame:
+    """(node, component): the components of the fingerprints in ``classes``, by links within ``radius`` bits and by those of ``near``."""
+    edges = linking_edges(classes, radius)
+    if near:
+        edges = edges.unionByName(linking_edges(found, near[1], near[0])).distinct()
+    return stage(connected_components(stage(edges, "links")), "part")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, text: str = "text", doc_id: str = "doc_id", near: tuple[int, int] | None = None) -> DataFrame:
     """(doc_id, fp, component_id): every document with its fingerprint and the least doc_id its links reach.
 
     Documents link if their fingerprints differ in ``radius`` bits at most;
     equal fingerprints are one class, so copies are never expanded into pairs.
+    With ``near`` they also link if the fingerprints of their words differ in
+    ``near[0]`` bits and those of their shingles in ``near[1]`` bits at most.
     Null text counts as empty (fingerprint zero, linked like any other);
     repeated rows stay; a null doc_id is carried and never the least unless
     its component has no other. Extra columns are ignored. An empty table gives
     an empty result.
     """
-    found = stage(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "fp")
+    found = stage(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=bool(near)), "fp")
     classes = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "class")
-    parts = stage(connected_components(stage(linking_edges(classes, radius), "links")), "part")
+    parts = _parts(found, classes, radius, near)
     rooted = classes.join(parts, classes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     to = stage(rooted.join(named, "root").select("fp", "component_id"), "named")
     return found.join(to, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = 3, near: tuple[int, int] | None = NEAR) -> DataFrame:
     """The documents without near-duplicates: of each component one row, that of the least doc_id (nulls last), with all columns.
 
-    Of rows that share this doc_id the first as read stays. Null text counts
-    as empty, all empty texts are one group; columns of any name stay; an
-    empty table gives an empty result. ``docs`` is read twice and should be a
-    written table, whose rows keep their places.
+    Links are those of ``near_duplicates``. Of rows that share this doc_id the
+    first as read stays. Null text counts as empty, all empty texts are one
+    group; columns of any name stay; an empty table gives an empty result.
+    ``docs`` is read twice and should be a written table, whose rows keep
+    their places.
     """
     own, tag = docs.columns, unused(docs, "row_tag")
     rows = docs.withColumn(tag, F.monotonically_increasing_id())
-    found = stage(fingerprints(rows.select("doc_id", "text", F.col(tag).alias("row")), keep=("doc_id", "row")), "fp")
+    found = stage(fingerprints(rows.select("doc_id", "text", F.col(tag).alias("row")), keep=("doc_id", "row"), words=bool(near)), "fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
     classes = stage(found.groupBy("fp").agg(first), "class")
-    parts = stage(connected_components(stage(linking_edges(classes, radius), "links")), "part")
+    parts = _parts(found, classes, radius, near)
     kept = (
         classes.join(parts, classes.fp == parts.node, "left")
         .groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(tag))

@@ -53,7 +53,8 @@ def test_stages(spark, tmp_path):
         if name == "near_dedup":
             fps = {}
             for r in before:
-                fps.setdefault(simhash.fingerprint_of((r["text"] or "").encode().lower().split()), []).append(r["doc_id"])
+                words = (r["text"] or "").encode().lower().split()
+                fps.setdefault((simhash.fingerprint_of(words), simhash.fingerprint_of(words, 1)), []).append(r["doc_id"])
             keys = list(fps)
             root = {k: k for k in keys}
 
@@ -64,7 +65,8 @@ def test_stages(spark, tmp_path):
 
             for i, a in enumerate(keys):
                 for b in keys[:i]:
-                    if (a ^ b).bit_count() <= 3:
+                    bits, of_words = ((x ^ y).bit_count() for x, y in zip(a, b))
+                    if bits <= 3 or (bits <= 9 and of_words <= 3):
                         root[find(a)] = find(b)
             groups = {}
             for k in keys:

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -6,11 +7,11 @@ import xxhash
 from tablescape.llm import simhash
 
 
-def brute_fp(text):
+def brute_fp(text, k=3):
     w = (text or "").encode().lower().split()
     if not w:
         return 0
-    sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [b" ".join(w)]
+    sh = [b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or [b" ".join(w)]
     h = [xxhash.xxh64(s, seed=42).intdigest() for s in sh]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -75,7 +76,45 @@ def test_random_fingerprints_in_many_tiles(spark, monkeypatch):
 def test_keep_first(docs, none):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
-    near = simhash.near_duplicates(docs).collect()
+    near = simhash.near_duplicates(docs, near=simhash.NEAR).collect()
     assert kept.count() == len({r["component_id"] for r in near})
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({r["component_id"] for r in near if r["component_id"] is not None})
     assert simhash.keep_first(none).count() == 0
+
+
+def test_copies_with_changed_words_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 16)
+    monkeypatch.setattr(simhash, "SALT", 2)
+    rng = random.Random(5)
+    # frequent and rare words, as in prose
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    texts, pairs = [], []
+    for i in range(150):
+        words = rng.choices(vocabulary, weights, k=rng.randrange(150, 500))
+        texts.append(" ".join(words))
+        if i % 3 == 0:
+            for at in rng.sample(range(len(words)), len(words) // 70):
+                words[at] = rng.choice(vocabulary)
+            pairs.append((len(texts) - 1, len(texts)))
+            texts.append(" ".join(words))
+    fps = [(brute_fp(t), brute_fp(t, 1)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (s, w) in enumerate(fps):
+        for j in range(i):
+            bits = (s ^ fps[j][0]).bit_count()
+            if bits <= 3 or (bits <= simhash.NEAR[1] and (w ^ fps[j][1]).bit_count() <= simhash.NEAR[0]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, near=simhash.NEAR).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert len(set(got.values())) >= 150
+    narrow = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert sum(narrow[a] == narrow[b] for a, b in pairs) < sum(got[a] == got[b] for a, b in pairs)
