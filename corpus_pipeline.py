@@ -28,10 +28,11 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group of near-duplicates, that of the least doc_id, nulls last.
 
-    SimHash fingerprints of 3-word shingles within 3 bits, as in the operator:
-    exact copies all go, of copies with changed words those that few changes
-    leave within 3 bits. Null and empty texts are one group; an empty table
-    stays empty. All columns stay, whatever their names.
+    SimHash fingerprints of 3-word shingles within 3 bits link, as in
+    op3_simhash, and so do those within 9 bits if the fingerprints of the single
+    words are within 3: most copies that share 0.8 of their five-word shingles.
+    Null and empty texts are one group; an empty table stays empty. All columns
+    stay, whatever their names.
     """
     return simhash.keep_first(docs)
 
