@@ -1,16 +1,20 @@
 """Cluster validation: of vectors by sums, of graphs by edges, and of two clusterings by their contingency table.
 
 Vector indices use squared Euclidean distance where that turns means over
-pairs into sums by dimension, so no pair of rows is made.
+pairs into sums by dimension, so no pair of rows is made. The exact ones by
+plain distances (``silhouette_exact``, ``dunn_exact``) compare tile with tile.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescape.functions.vectors import euclidean
 from tablescape.operators.similarity import _sums
+from tablescape.session import stage
 
 
 def centroids(points: DataFrame, cluster: str, vector: str) -> DataFrame:
@@ -80,6 +84,89 @@ def dunn(points: DataFrame, cluster: str, vector: str) -> DataFrame:
     return near.crossJoin(wide).select((F.col("least") / F.col("diameter")).alias("dunn"))  # one row each
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of ``a`` and ``b``; those that the product's rounding could blur are taken from differences."""
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    scale = aa[:, None] + bb[None, :]
+    d = scale - 2 * (a @ b.T)
+    for at in range(0, len(a), 128):
+        i, j = np.nonzero(d[at : at + 128] <= 1e-6 * scale[at : at + 128])
+        for k in range(0, len(i), 4096):
+            x, y = i[k : k + 4096] + at, j[k : k + 4096]
+            d[x, y] = ((a[x] - b[y]) ** 2).sum(1)
+    return np.sqrt(np.maximum(d, 0))
+
+
+def distance_profiles(points: DataFrame, id_: str, cluster: str, vector: str, tile: int = 1024) -> DataFrame:
+    """(id, cluster, other, total, n, least, most): sum, count, least and greatest Euclidean distance from each point to the other points of each cluster.
+
+    Points are packed in tiles by a hash of the id; a pair of tiles is one row
+    of a join and gives a row a point and cluster, never one a pair, summed
+    before and after the shuffle. The work is quadratic in the points, as the
+    index demands. Ids are distinct longs; clusters come back as strings, a
+    null cluster (noise) counts as one more; rows whose vector is null or holds
+    a null go. An empty table gives an empty result.
+    """
+    p = points.select(F.col(id_).cast("long").alias("id"), F.col(cluster).cast("string").alias("cluster"), F.col(vector).cast("array<double>").alias("x"))
+    p = p.where("id IS NOT NULL AND x IS NOT NULL AND size(x) > 0 AND NOT exists(x, v -> v IS NULL)")
+    n = max(1, -(-p.count() // tile))
+    tiles = p.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("t")).agg(F.collect_list(F.struct("id", "cluster", "x")).alias("r"))  # about ``tile`` rows a group
+    tiles = stage(tiles.select("t", F.col("r.id").alias("ids"), F.col("r.cluster").alias("cs"), F.flatten("r.x").alias("xs")), "tiles")
+    left = tiles.select(F.explode(F.sequence("t", F.lit(n - 1))).alias("t"), F.col("t").alias("ta"), F.col("ids").alias("ia"), F.col("cs").alias("ca"), F.col("xs").alias("xa"))
+    pairs = left.join(tiles, "t").select("ta", "t", "ia", "ca", "xa", "ids", "cs", "xs")
+    names = ["id", "cluster", "other", "total", "n", "least", "most"]
+
+    def groups(cs):
+        coded = cs.dictionary_encode(null_encoding="encode")
+        codes = coded.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        return order, starts, coded.dictionary, codes
+
+    def towards(ids, cs, d, others, own):
+        order, starts, dictionary, codes = groups(others)
+        count = np.repeat(np.diff(np.append(starts, len(order)))[None, :], len(ids), 0)
+        inner = d[:, order]
+        total, most = np.add.reduceat(inner, starts, 1), np.maximum.reduceat(inner, starts, 1)
+        if own:  # a point is no neighbour of itself
+            count[np.arange(len(ids)), codes] -= 1
+            far = d.copy()
+            np.fill_diagonal(far, np.inf)
+            inner = far[:, order]
+        least = np.minimum.reduceat(inner, starts, 1)
+        i, k = np.nonzero(count)
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), cs.take(pa.array(i)), dictionary.take(pa.array(k)), pa.array(total[i, k]), pa.array(count[i, k].astype(np.int64)), pa.array(least[i, k]), pa.array(most[i, k])], names)
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ta, tb = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                ia, ca, xa, ib, cb, xb = (batch.column(i)[r].values for i in range(2, 8))
+                ia, xa, ib, xb = (v.to_numpy(zero_copy_only=False) for v in (ia, xa, ib, xb))
+                d = _distances(xa.reshape(len(ia), -1), xb.reshape(len(ib), -1))
+                yield towards(ia, ca, d, cb, ta == tb)
+                if ta != tb:
+                    yield towards(ib, cb, d.T, ca, False)
+
+    found = pairs.mapInArrow(run, "id bigint, cluster string, other string, total double, n bigint, least double, most double")
+    return found.groupBy("id", "cluster", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def silhouette_exact(profiles: DataFrame) -> DataFrame:
+    """(id, cluster, silhouette) of ``distance_profiles``: by plain distances; points alone in their cluster have none, nor has a single cluster."""
+    own = F.col("cluster").eqNullSafe(F.col("other"))
+    mean = F.col("total") / F.col("n")
+    ab = profiles.groupBy("id", "cluster").agg(F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    return ab.select("id", "cluster", F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(F.lit(0.0)).alias("silhouette"))
+
+
+def dunn_exact(profiles: DataFrame) -> DataFrame:
+    """One row of ``distance_profiles``: the least distance of points of two clusters over the greatest within one; 0 without either or where the latter is 0."""
+    own = F.col("cluster").eqNullSafe(F.col("other"))
+    one = profiles.agg(F.min(F.when(~own, F.col("least"))).alias("least"), F.max(F.when(own, F.col("most"))).alias("most"))
+    return one.select(F.coalesce(F.when(F.col("most") > 0, F.col("least") / F.col("most")), F.lit(0.0)).alias("dunn"))
+
+
 def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: adjusted Rand index and normalised mutual information (by the root of the entropies) of two labellings; rows with a null label take no part."""
     t = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))

@@ -714,6 +714,23 @@ def dunn_index(spark, sf_dir):
     return validation.dunn(read(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("dunn", F.round("dunn", 6))
 
 
+FAR = "far AS (SELECT a.vec_id AS id, CAST(a.label AS VARCHAR) AS cluster, CAST(b.label AS VARCHAR) AS other, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
+
+
+@query("silhouette_exact", f"""WITH {FAR}, m AS (SELECT id, cluster, other, avg(d) AS d FROM far GROUP BY ALL),
+    ab AS (SELECT id, cluster, max(d) FILTER (cluster = other) AS a, min(d) FILTER (cluster <> other) AS b FROM m GROUP BY ALL)
+    SELECT id, cluster, round((b - a) / greatest(a, b), 5) AS silhouette FROM ab WHERE a IS NOT NULL AND b IS NOT NULL""")
+def silhouette_exact(spark, sf_dir):
+    p = validation.distance_profiles(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    return validation.silhouette_exact(p).withColumn("silhouette", F.round("silhouette", 5))
+
+
+@query("dunn_exact", f"WITH {FAR} SELECT round(min(d) FILTER (cluster <> other) / max(d) FILTER (cluster = other), 6) AS dunn FROM far")
+def dunn_exact(spark, sf_dir):
+    p = validation.distance_profiles(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    return validation.dunn_exact(p).withColumn("dunn", F.round("dunn", 6))
+
+
 @query("ari_nmi", """
     WITH t AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY 1, 2), ra AS (SELECT a, sum(n) AS n FROM t GROUP BY 1), rb AS (SELECT b, sum(n) AS n FROM t GROUP BY 1), tot AS (SELECT sum(n) AS n FROM t),
     s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS st, (SELECT sum(n * (n - 1) / 2) FROM ra) AS sa, (SELECT sum(n * (n - 1) / 2) FROM rb) AS sb, (SELECT n * (n - 1) / 2 FROM tot) AS c,

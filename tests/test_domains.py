@@ -1,5 +1,8 @@
 """Distances, adaptive density clustering, domain naming and scorecards on a small catalog of three areas."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +92,29 @@ def test_catalog_lookups(spark, catalog):
     assert one["q"] == pytest.approx(1) and one["v"]["valid"]
 
 
+def test_exact_validation_in_tiles(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([0.0, 1.0, 2.5]) + (i % 3), rng.random() * (i % 4)], [0, 1, 2, None][i % 4]) for i in range(60)] + [(90, [9.0, 9.0], 7), (91, None, 1), (92, [1.0, None], 1)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int").withColumn("cluster", F.lit("x"))
+    p = validation.distance_profiles(df, "id", "label", "v", tile=16)
+    pts = [r for r in rows if r[0] < 91]
+    want, least, most = {}, math.inf, 0
+    for i, x, c in pts:
+        by = {}
+        for j, y, o in pts:
+            if i != j:
+                by.setdefault(o, []).append(math.dist(x, y))
+                least, most = (least, max(most, math.dist(x, y))) if c == o else (min(least, math.dist(x, y)), most)
+        if c in by:
+            a, b = sum(by[c]) / len(by[c]), min(sum(v) / len(v) for o, v in by.items() if o != c)
+            want[i] = (b - a) / max(a, b)
+    got = {r["id"]: r["silhouette"] for r in validation.silhouette_exact(p).collect()}
+    assert got == pytest.approx(want) and 90 not in got
+    assert validation.dunn_exact(p).first()["dunn"] == pytest.approx(least / most)
+    none = validation.distance_profiles(df.where("false"), "id", "label", "v")
+    assert validation.silhouette_exact(none).count() == 0 and validation.dunn_exact(none).first()["dunn"] == 0
+
+
 def test_vector_clustering(spark):
     rows = [(i, [float(i % 3) * 5 + (i * 7 % 5) * 0.1, float(i % 3)], i % 3) for i in range(45)]
     df = spark.createDataFrame(rows, "id long, v array<double>, label int")
