@@ -188,6 +188,20 @@ def _jaro_winkler(a: str, b: str, floored: bool) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+def counted_characters(c: Column) -> Column:
+    """The characters of a name in lower case, each with its count so far: two names share as many of these as characters, repeats included."""
+    chars = F.filter(F.split(F.lower(c), ""), lambda x: x != "")
+    return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x)).cast("string")))
+
+
+def jaro_winkler_bound(a: Column, b: Column, shared: Column) -> Column:
+    """What ``jaro_winkler`` can give at most for names that share so many characters; built-in expressions, for a filter before it."""
+    x, y = F.lower(a), F.lower(b)
+    jaro = (shared / F.length(x) + shared / F.length(y) + 1) / 3
+    prefix = sum((F.when((F.length(x) >= n) & (F.substring(x, 1, n) == F.substring(y, 1, n)), 1).otherwise(0) for n in range(1, 5)), F.lit(0))
+    return F.when(shared == 0, F.lit(0.0)).otherwise(jaro + prefix * 0.1 * (1 - jaro))
+
+
 def jaro_winkler(a: Column, b: Column, compat: bool = False) -> Column:
     """Case-insensitive Jaro-Winkler similarity; ``compat`` keeps half transpositions. Null for null."""
 

@@ -160,7 +160,23 @@ def infer_keys(columns: DataFrame) -> DataFrame:
     c = columns.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"), stem.alias("stem")).where(F.lower("source_column") != F.col("stem")).where("stem <> ''")
     names = t.select("target_table", F.explode(F.array_distinct(F.array(F.lower("target_table"), F.regexp_replace(F.lower("target_table"), "s$", "")))).alias("stem"))
     j = c.join(names, "stem").where("source_table <> target_table")
-    return j.groupBy("source_table", "source_column").agg(F.min("target_table").alias("target_table"))
+    return j.groupBy("source_table", "source_column").agg(F.min(F.struct((-F.length("target_table")).alias("l"), "target_table")).alias("t")).select("source_table", "source_column", "t.target_table")
+
+
+def key_columns(links: DataFrame, columns: DataFrame) -> DataFrame:
+    """(source_table, target_table, source_column): the column of the source that is named ``<target>Id``, else its first foreign key whose name contains the target's, else an empty string.
+
+    Names are compared in any case, the first column by ordinal wins; repeated
+    links are one; links with a null end have an empty column; a source without
+    columns too. An empty table gives an empty result.
+    """
+    pairs = links.select("source_table", "target_table").distinct()
+    low, to = F.lower("column_name"), F.lower("target_table")
+    rank = F.when(low == F.concat(to, F.lit("id")), 0).when(F.col("is_fk") & F.contains(low, to), 1)
+    c = columns.select(F.col("table_name").alias("source_table"), "column_name", "ordinal", "is_fk")
+    found = pairs.join(c, "source_table").withColumn("rank", rank).where("rank IS NOT NULL")
+    best = found.groupBy("source_table", "target_table").agg(F.min(F.struct("rank", "ordinal", "column_name")).alias("b"))
+    return pairs.join(best, ["source_table", "target_table"], "left").select("source_table", "target_table", F.coalesce("b.column_name", F.lit("")).alias("source_column"))
 
 
 def junction_flag(columns: DataFrame) -> DataFrame:

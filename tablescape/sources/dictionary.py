@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablescape.functions.text import is_inactive, is_truthy, jaro_winkler, normalize_header
+from tablescape.functions.text import counted_characters, is_inactive, is_truthy, jaro_winkler, jaro_winkler_bound, normalize_header
 
 # The ordered synonyms of a dictionary's headers.
 SYNONYMS = {
@@ -168,10 +168,15 @@ def match_names(names: DataFrame, candidates: DataFrame, least: float = 0.7) ->
 
     Equal names leave before the rest meets the candidates; both are distinct
     names of a catalog, bounded lists whose smaller side Spark ships if its
-    size allows.
+    size allows. Every name may be near every candidate at such a ``least``, so
+    all meet, but only pairs whose shared characters and prefix allow it reach
+    the similarity itself.
     """
     n, c = names.select("name").distinct(), candidates.select("candidate").distinct()
     exact = n.join(c, F.lower("name") == F.lower("candidate")).groupBy("name").agg(F.min("candidate").alias("candidate")).withColumn("similarity", F.lit(1.0))
-    rest = n.join(exact, "name", "left_anti").crossJoin(c).withColumn("similarity", jaro_winkler(F.col("name"), F.col("candidate"))).where(F.col("similarity") >= least)
+    left = n.join(exact, "name", "left_anti").withColumn("cn", counted_characters(F.col("name")))
+    bound = jaro_winkler_bound(F.col("name"), F.col("candidate"), F.size(F.array_intersect("cn", "cc")))
+    met = left.join(c.withColumn("cc", counted_characters(F.col("candidate"))), bound >= least - 1e-9).select("name", "candidate")
+    rest = met.withColumn("similarity", jaro_winkler(F.col("name"), F.col("candidate"))).where(F.col("similarity") >= least)
     near = rest.groupBy("name").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "candidate")).alias("b")).select("name", F.col("b.candidate").alias("candidate"), (-F.col("b.s")).alias("similarity"))
     return exact.unionByName(near)

@@ -149,6 +149,11 @@ def test_match_names_and_sinks(spark, tmp_path):
     n, c = spark.createDataFrame([("custmer",), ("ORDERS",), ("zzz",)], "name string"), spark.createDataFrame([("Customer",), ("Orders",), ("Order",)], "candidate string")
     got = {r["name"]: r["candidate"] for r in dictionary.match_names(n, c).collect()}
     assert got == {"custmer": "Customer", "ORDERS": "Orders"}
+    words = ["Account", "accuont", "a", "", "Ledger", "ledgers", "aab", "baa", "naïve", "NAIVE", "\U0001f600x", "x\U0001f600"]
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    shared = F.size(F.array_intersect(text.counted_characters(F.col("a")), text.counted_characters(F.col("b"))))
+    for r in pairs.select("a", "b", text.jaro_winkler(F.col("a"), F.col("b")).alias("s"), text.jaro_winkler_bound(F.col("a"), F.col("b"), shared).alias("most")).collect():
+        assert r["s"] <= r["most"] + 1e-12 or r["a"] == r["b"] == "", r
     path = str(tmp_path / "projects")
     sinks.replace_project(spark.range(3), path, "p1")
     sinks.replace_project(spark.range(5), path, "p2")

@@ -75,6 +75,12 @@ def test_catalog_lookups(spark, catalog):
     c, e = catalog
     rels = e.select(F.col("src").alias("source_table"), F.concat("dst", F.lit("_id")).alias("source_column"), F.col("dst").alias("target_table"), F.lit("id").alias("target_column"))
     assert {(r["source_table"], r["target_table"]) for r in domains.infer_keys(c).collect()} == {(r["src"], r["dst"]) for r in e.collect() if r["weight"] == 0.9}
+    long = spark.createDataFrame([("order", "id"), ("orders", "id"), ("line", "order_id"), ("line", "orders_id")], "table_name string, column_name string")
+    assert {(r["source_column"], r["target_table"]) for r in domains.infer_keys(long).collect()} == {("order_id", "orders"), ("orders_id", "orders")}
+    cols = [("line", 1, "customerid_fk", True), ("line", 2, "CustomerId", False), ("line", 3, "theOrder", True), ("line", 4, "order2", True), ("line", 5, "item", False)]
+    cols = spark.createDataFrame(cols, "table_name string, ordinal int, column_name string, is_fk boolean")
+    links = spark.createDataFrame([("line", t) for t in ("Customer", "Order", "item", "x", "x", None)] + [("none", "Order")], "source_table string, target_table string")
+    assert {tuple(r) for r in domains.key_columns(links, cols).collect()} == {("line", "Customer", "CustomerId"), ("line", "Order", "theOrder"), ("line", "item", ""), ("line", "x", ""), ("line", None, ""), ("none", "Order", "")}
     st = {r["table_name"]: r for r in domains.table_statistics(c, rels).collect()}
     assert st["customer"]["n_rels"] == 4 and st["customer"]["size"] == "small"
     assert "account" in domains.table_text(c, rels).where("table_name = 'account'").first()["text"]
