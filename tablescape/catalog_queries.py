@@ -54,6 +54,16 @@ def schema_patterns(spark, sf_dir):
     return patterns.schema_patterns(*order_catalog(spark, sf_dir))
 
 
+@query("key_columns", f"""WITH {CATALOG}, links AS (SELECT DISTINCT table_name AS source_table, regexp_extract(column_name, '^[A-Za-z]+') AS target_table FROM cols),
+    hits AS (SELECT source_table, target_table, column_name, row_number() OVER (PARTITION BY source_table, target_table ORDER BY CASE WHEN lower(column_name) = lower(target_table) || 'id' THEN 0 ELSE 1 END, ordinal) AS r
+        FROM links JOIN cols ON source_table = table_name WHERE lower(column_name) = lower(target_table) || 'id' OR is_fk AND contains(lower(column_name), lower(target_table)))
+    SELECT source_table, target_table, coalesce(column_name, '') AS source_column FROM links LEFT JOIN hits USING (source_table, target_table) WHERE r IS NULL OR r = 1""")
+def key_columns(spark, sf_dir):
+    columns = order_catalog(spark, sf_dir)[0]
+    links = columns.select(F.col("table_name").alias("source_table"), F.regexp_extract("column_name", "^[A-Za-z]+", 0).alias("target_table"))
+    return domains.key_columns(links, columns)
+
+
 @query("table_types", f"WITH {CATALOG}, {FEATURES} SELECT table_name, CASE WHEN n_fk >= 2 AND n_non_key <= 2 THEN 'junction' WHEN n_columns <= 4 AND has_unique THEN 'lookup' WHEN n_columns <= 5 AND n_fk = 0 THEN 'reference' ELSE 'entity' END AS table_type FROM f")
 def table_types(spark, sf_dir):
     return patterns.table_types(*order_catalog(spark, sf_dir))
