@@ -62,15 +62,24 @@ def scatter(points: DataFrame, cluster: str, vector: str) -> DataFrame:
     return t.select("n", "k", "within", "between", (F.col("between") / (F.col("within") + F.col("between"))).alias("explained"), F.when((F.col("k") > 1) & (F.col("n") > F.col("k")) & (F.col("within") > 0), F.col("between") / (F.col("k") - 1) / (F.col("within") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
 
 
-def davies_bouldin(points: DataFrame, cluster: str, vector: str) -> DataFrame:
-    """One row: the mean over clusters of the worst (s_i + s_j) / d_ij, s the root mean squared distance to the centroid."""
+def davies_bouldin(points: DataFrame, cluster: str, vector: str, id_: str | None = None) -> DataFrame:
+    """One row: the mean over clusters of the worst (s_i + s_j) / d_ij, s the root mean squared distance to the centroid.
+
+    With ``id_``, a column that tells rows apart, s is the mean distance
+    instead. Clusters whose centroids coincide are not compared.
+    """
     c = centroids(points, cluster, vector)
-    p = points.select(F.col(cluster).alias("cluster"), F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "x"))
-    s = p.join(c, ["cluster", "dim"]).groupBy("cluster", "n").agg(F.sqrt(F.sum((F.col("x") - F.col("c")) ** 2) / F.max("n")).alias("s")).select("cluster", "s")
+    rows = [F.col(id_).alias("row")] if id_ else []
+    p = points.select(F.col(cluster).alias("cluster"), *rows, F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "x"))
+    off = F.sum((F.col("x") - F.col("c")) ** 2)
+    if id_:
+        s = p.join(c, ["cluster", "dim"]).groupBy("cluster", "row").agg(F.sqrt(off).alias("r")).groupBy("cluster").agg(F.avg("r").alias("s"))
+    else:
+        s = p.join(c, ["cluster", "dim"]).groupBy("cluster", "n").agg(F.sqrt(off / F.max("n")).alias("s")).select("cluster", "s")
     a, b = c.select(F.col("cluster").alias("i"), "dim", F.col("c").alias("ci")), c.select(F.col("cluster").alias("j"), "dim", F.col("c").alias("cj"))
     d = a.join(b, "dim").where("i <> j").groupBy("i", "j").agg(F.sqrt(F.sum((F.col("ci") - F.col("cj")) ** 2)).alias("d"))  # clusters by clusters
     r = d.join(s.select(F.col("cluster").alias("i"), F.col("s").alias("si")), "i").join(s.select(F.col("cluster").alias("j"), F.col("s").alias("sj")), "j")
-    return r.groupBy("i").agg(F.max((F.col("si") + F.col("sj")) / F.col("d")).alias("worst")).agg(F.avg("worst").alias("davies_bouldin"))
+    return r.groupBy("i").agg(F.max(F.when(F.col("d") > 0, (F.col("si") + F.col("sj")) / F.col("d")).otherwise(F.lit(0.0))).alias("worst")).agg(F.avg("worst").alias("davies_bouldin"))
 
 
 def dunn(points: DataFrame, cluster: str, vector: str) -> DataFrame:

@@ -708,6 +708,13 @@ def davies_bouldin(spark, sf_dir):
     return validation.davies_bouldin(read(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("davies_bouldin", F.round("davies_bouldin", 6))
 
 
+@query("davies_bouldin_mean", f"""WITH {POINTS}, s AS (SELECT cluster, avg(r) AS s FROM (SELECT p.cluster, vec_id, sqrt(sum((x - c) * (x - c))) AS r FROM p JOIN c ON p.cluster = c.cluster AND p.dim = c.dim GROUP BY ALL) GROUP BY 1),
+    d AS (SELECT a.cluster AS i, b.cluster AS j, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS d FROM c a JOIN c b ON a.dim = b.dim AND a.cluster <> b.cluster GROUP BY 1, 2)
+    SELECT round(avg(w), 6) AS davies_bouldin FROM (SELECT i, max((x.s + y.s) / d) AS w FROM d JOIN s x ON i = x.cluster JOIN s y ON j = y.cluster GROUP BY 1)""")
+def davies_bouldin_mean(spark, sf_dir):
+    return validation.davies_bouldin(read(spark, sf_dir, "embeddings"), "label", "embedding", "vec_id").withColumn("davies_bouldin", F.round("davies_bouldin", 6))
+
+
 @query("dunn_index", f"""WITH {POINTS}, r AS (SELECT 2 * max(r) AS diameter FROM (SELECT vec_id, sqrt(sum((x - c) * (x - c))) AS r FROM p JOIN c ON p.cluster = c.cluster AND p.dim = c.dim GROUP BY 1)),
     d AS (SELECT min(d) AS least FROM (SELECT sqrt(sum((a.c - b.c) * (a.c - b.c))) AS d FROM c a JOIN c b ON a.dim = b.dim AND a.cluster < b.cluster GROUP BY a.cluster, b.cluster)) SELECT round(least / diameter, 6) AS dunn FROM r, d""")
 def dunn_index(spark, sf_dir):
