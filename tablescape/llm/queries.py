@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescape.llm import decontamination, licenses, lm, mixing, quality, sharding, simhash, tokencount, tokenids, topk
+from tablescape.llm import ann, decontamination, dsir, fim, licenses, lm, mixing, quality, sharding, simhash, tokencount, tokenids, topk
 from tablescape.llm.common import table
 
 
@@ -28,6 +28,9 @@ ALL = {
     "op8_sharding": lambda s, d: sharding.op8_shard(table(s, d, "documents")),
     "op9_token_ids": lambda s, d: tokenids.op9_token_ids(table(s, d, "documents"), vocabulary("word_bpe_49k.json")),
     "op10_quality": lambda s, d: quality.op10_quality(table(s, d, "documents"), table(s, d, "labels")),
+    "op11_resampling": lambda s, d: dsir.op11_resample(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op12_nearest": lambda s, d: ann.op12_nearest(table(s, d, "embeddings")),
+    "op13_fill_in_middle": lambda s, d: fim.op13_fill_in_middle(table(s, d, "documents")),
 }
 
 
@@ -82,6 +85,17 @@ SQL = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
     """.replace("\\", "\\"[:1]),
+    "op13_fill_in_middle": """
+        WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        g AS (SELECT row, doc_id, text, CAST(length(text) AS BIGINT) AS n, list_transform(range(0, 4), lambda i: CAST('0x' || substr(h, CAST(1 + 8 * i AS BIGINT), 8) AS BIGINT)) AS h FROM t),
+        f AS (SELECT *, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+              least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM g),
+        p AS (SELECT *, substr(text, 1, a) AS pre, substr(text, a + 1, b - a) AS mid, substr(text, b + 1) AS suf FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
 
 
