@@ -23,7 +23,7 @@ SHARD = 16384
 QUERY_TILE = 1024
 #: Neighbours of a node in the upper layers; the lowest has twice as many.
 LINKS = 16
-#: Nodes that a walk keeps while it builds, and while it answers (the documented measure of recall; see README).
+#: Nodes that a walk keeps while it builds, and while it answers: what recall hangs on. Vectors of very different lengths need more (three times as many in the tests).
 BUILD_WIDTH, SEARCH_WIDTH = 96, 256
 #: Nodes inserted at once, at most; nodes whose links go on in one step of a walk.
 BATCH, AHEAD = 512, 4
@@ -32,11 +32,14 @@ FAN_IN = 16
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
-    """Vectors as float32, scaled and with one more component that makes all of one length: then the nearest by distance is the one of the largest inner product."""
+    """Vectors scaled and with one more component that makes all of one length: then the nearest by distance is the one of the largest inner product.
+
+    In doubles: in single precision near copies cannot be told apart.
+    """
     scale = float(np.abs(x).max(initial=0)) or 1.0
     y = x / scale
     norm = (y * y).sum(1)
-    return np.concatenate([y, np.sqrt(np.maximum(norm.max(initial=0) - norm, 0))[:, None]], 1).astype(np.float32)
+    return np.concatenate([y, np.sqrt(np.maximum(norm.max(initial=0) - norm, 0))[:, None]], 1)
 
 
 def walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, width: int, ahead: int = AHEAD) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +51,7 @@ def walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, wid
     n, m = len(q), len(x)
     seen = np.zeros((n, m + 1), bool)
     seen[:, m] = True  # what -1 stands for
-    ids, best, done = np.full((n, width), -1, np.int32), np.full((n, width), -np.inf, np.float32), np.zeros((n, width), bool)
+    ids, best, done = np.full((n, width), -1, np.int32), np.full((n, width), -np.inf), np.zeros((n, width), bool)
     ids[:, 0], best[:, 0] = start, np.einsum("ij,ij->i", x[start], q)
     seen[np.arange(n), start] = True
     active = np.arange(n)
@@ -86,7 +89,7 @@ def spread(x: np.ndarray, node: np.ndarray, near: np.ndarray, most: int) -> np.n
     order = np.lexsort((near, -own), axis=1)
     near, own = np.take_along_axis(near, order, 1), np.take_along_axis(own, order, 1)
     among = np.matmul(x[near], x[near].transpose(0, 2, 1))
-    closest, taken, count = np.full(near.shape, -np.inf, np.float32), np.zeros(near.shape, bool), np.zeros(len(near), int)
+    closest, taken, count = np.full(near.shape, -np.inf), np.zeros(near.shape, bool), np.zeros(len(near), int)
     for j in range(near.shape[1]):
         ok = (near[:, j] >= 0) & (count < most) & (own[:, j] > closest[:, j])
         taken[:, j] = ok
@@ -243,7 +246,7 @@ class Shard:
     def nearest(self, q_ids: np.ndarray, q: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, id, product in doubles): each query's k best of what the walk finds, ties to the smaller id; its own id is no candidate."""
         q_unit = q / np.maximum(np.abs(q).max(1, keepdims=True, initial=0), np.finfo(float).tiny)
-        found = found_by(self.lifted, self.layers, np.concatenate([q_unit, np.zeros((len(q), 1))], 1).astype(np.float32), max(2 * (k + 1), width))
+        found = found_by(self.lifted, self.layers, np.concatenate([q_unit, np.zeros((len(q), 1))], 1), max(2 * (k + 1), width))
         (table, there), least, out = self.entries(k + 1), self.ids[self.classes[:-1]], []
         for at in range(0, len(q), 128):
             f = found[at : at + 128]
