@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescape.session import stage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,6 +24,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def identified(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` with a column ``tag`` that tells rows apart, equal ones too, and names them alike at every read, however a scan is split.
+
+    A row that is read from a file as it stands is named by the file and its
+    place there. Rows of any other table are numbered and written once.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        at = df.metadataColumn("_metadata")
+        return df.withColumn(tag, F.struct(at["file_path"].alias("file"), at["row_index"].alias("row")))
+    return stage(df.withColumn(tag, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))), "tagged")
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; bytes.lower() and bytes.split() know ASCII only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescape.llm.common import arrow_schema, rows_of, unused
+from tablescape.llm.common import arrow_schema, identified, rows_of, unused
 from tablescape.session import stage
 
 #: Fixed by the contract: a word is a run of ASCII letters and digits and of anything beyond ASCII.
@@ -340,11 +340,11 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all columns, whatever their names.
 
     Null and empty texts are clean; repeated rows share their fate; null ids
-    stay; empty tables: no document, or all documents. ``docs`` is read twice
-    and should be a written table, whose rows keep their places.
+    stay; empty tables: no document, or all documents. ``docs`` is read twice;
+    its rows are known again by their place in a file (``identified``).
     """
     own, tag = docs.columns, unused(docs, "row_tag")
-    rows = docs.withColumn(tag, F.monotonically_increasing_id())
+    rows = identified(docs, tag)
     bad = decontaminate(rows.select(tag, "text"), items, doc_id=tag).where((_hit_words() > 0) & (SHARE * _hit_words() >= F.col("n_words")))
     return rows.join(bad.select(F.col("doc_id").alias(tag)), tag, "left_anti").select(*own)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablescape.llm.common import unused
+from tablescape.llm.common import identified, unused
 from tablescape.session import stage
 
 #: Words in a block.
@@ -70,7 +70,7 @@ def cyclic_weights(n: int, cycle: tuple[float, ...] = (5, 2, 1)) -> list[float]:
     return [cycle[i % len(cycle)] for i in range(n)]
 
 
-def mix(docs: DataFrame, ratio: float = 1.5, most: int = 2, cycle: tuple[float, ...] = (5, 2, 1), seed: int = 11, block: int = BLOCK, text: str = "text", source: str = "source", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def mix(docs: DataFrame, ratio: float = 1.5, most: int = 2, cycle: tuple[float, ...] = (5, 2, 1), seed: int = 11, block: int = BLOCK, text: str = "text", source: str = "source", keys: tuple[str, ...] = ("doc_id",), order: tuple[str, ...] = ()) -> DataFrame:
     """(*keys, size, source_size, target, taken): every row of ``docs`` and how many of its words the mix takes.
 
     Size is the number of words ``[^\\x20\\x09-\\x0D]+`` (null: 0). Sources in
@@ -83,13 +83,23 @@ def mix(docs: DataFrame, ratio: float = 1.5, most: int = 2, cycle: tuple[float,
     its size gives all. Rows without words take 0; repeated rows are rows of
     their own; an empty table gives an empty result.
 
+    Shard and order hang on the row's content alone (keys, source, text, and
+    its number among equal rows), so any partitioning of the same rows gives
+    the same result. Where ``keys`` tell rows apart but say nothing of their
+    content, name columns that do in ``order``: these, source and text count.
+
     A source is dealt to shards of ``SHARD_DOCS`` documents about, so a hot
     source is many groups; ``FAN`` shards make a group, ``FAN`` groups the next
     one, and the blocks go down this tree, so no task apportions more than
     ``FAN`` at once. The driver sees one row a source.
     """
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
-    rows = stage(docs.select(*keys, F.col(source).alias("_source"), words.alias("size"), F.monotonically_increasing_id().alias("_row")), "words")
+    rows = docs.select(*keys, F.col(source).alias("_source"), words.alias("size"), F.xxhash64(*(order or keys), source, text, F.lit(seed)).alias("_content"))
+    if not order:  # equal rows are counted, which is combined before the shuffle, and dealt out again with their numbers
+        rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    else:
+        rows = rows.withColumn("_n", F.lit(1))
+    rows = stage(rows, "words")
     per = rows.groupBy("_source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()
     per.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))  # Python orders by code point
     sizes = [r["words"] for r in per]
@@ -102,7 +112,7 @@ def mix(docs: DataFrame, ratio: float = 1.5, most: int = 2, cycle: tuple[float,
         [(r["_source"], s, float(g), w, q, max(1, -(-r["docs"] // SHARD_DOCS))) for r, s, g, w, q in zip(per, sizes, goal, whole, quota)],
         "_source string, source_size bigint, target double, whole boolean, quota bigint, shards int",
     )
-    at = F.xxhash64(*[F.col(k) for k in keys], "_row", F.lit(seed))
+    at = F.xxhash64("_content", "_n")
     plan_side = plan.select(F.col("_source").alias("_plan_source"), "source_size", "target", "whole", "quota", "shards")
     dealt = stage(
         rows.withColumn("_at", at).join(plan_side, F.col("_source").eqNullSafe(F.col("_plan_source"))).drop("_plan_source").withColumn("_shard", F.pmod("_at", F.col("shards")).cast("int")),
@@ -127,7 +137,7 @@ def mix(docs: DataFrame, ratio: float = 1.5, most: int = 2, cycle: tuple[float,
         inner = level.join(above, F.expr("_source <=> _up AND floor(node / {fan}) = up".replace("{fan}", str(FAN)))).withColumn("quota", F.col("given"))
         quotas = inner.groupBy("_source", "up").applyInPandas(divided, schema)
     quotas = stage(quotas.select(F.col("_source").alias("_q_source"), F.col("node").alias("_q_shard"), "words", "blocks"), "quotas")
-    before = Window.partitionBy("_source", "_shard").orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_source", "_shard").orderBy("_at", *keys, "size", "_content", "_n").rowsBetween(Window.unboundedPreceding, -1)
     tape = dealt.withColumn("_from", F.coalesce(F.sum("size").over(before), F.lit(0)))
     tape = tape.join(quotas, F.expr("_source <=> _q_source AND _shard = _q_shard"))
     takes = F.col("blocks") * block
@@ -141,14 +151,16 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     All columns stay, whatever their names. Rows without words (null and empty
     texts) are not taken; repeated rows are rows of their own; an empty table
-    gives an empty result. ``docs`` is read twice and should be a written
-    table, whose rows keep their places.
+    gives an empty result. ``docs`` is read twice; its rows are known again by
+    their place in a file (``identified``). The order hangs on all columns and
+    the place in the file, which parts equal rows.
     """
     own, tag = docs.columns, unused(docs, "row_tag")
     times, copy = unused(docs, "row_times"), unused(docs, "row_copy")
-    rows = docs.withColumn(tag, F.monotonically_increasing_id())
-    plain = rows.select(F.col(tag).alias("tag"), F.col(how.pop("text", "text")).alias("text"), F.col(how.pop("source", "source")).alias("source"))
-    found = mix(plain, keys=("tag",), **how).select(F.col("tag").alias(tag), F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias(times)).where(F.col(times) > 0)
+    rows = identified(docs, tag)
+    content = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))])
+    plain = rows.select(F.col(tag).alias("tag"), content.alias("content"), F.col(f"{tag}.row").alias("place"), F.col(how.pop("text", "text")).alias("text"), F.col(how.pop("source", "source")).alias("source"))
+    found = mix(plain, keys=("tag",), order=("content", "place"), **how).select(F.col("tag").alias(tag), F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias(times)).where(F.col(times) > 0)
     return rows.join(found, tag).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*own)
 
 

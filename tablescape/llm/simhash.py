@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescape.llm.common import arrow_map, ascii_words, unused
+from tablescape.llm.common import arrow_map, ascii_words, identified, unused
 from tablescape.operators.components import connected_components
 from tablescape.session import stage
 
@@ -190,13 +190,13 @@ def keep_first(docs: DataFrame, radius: int = 3, near: tuple[int, int] | None =
     """The documents without near-duplicates: of each component one row, that of the least doc_id (nulls last), with all columns.
 
     Links are those of ``near_duplicates``. Of rows that share this doc_id the
-    first as read stays. Null text counts as empty, all empty texts are one
-    group; columns of any name stay; an empty table gives an empty result.
-    ``docs`` is read twice and should be a written table, whose rows keep
-    their places.
+    first stays, by file and place in it. Null text counts as empty, all empty
+    texts are one group; columns of any name stay; an empty table gives an
+    empty result. ``docs`` is read twice; its rows are known again by their
+    place in a file (``identified``), however the two scans are split.
     """
     own, tag = docs.columns, unused(docs, "row_tag")
-    rows = docs.withColumn(tag, F.monotonically_increasing_id())
+    rows = identified(docs, tag)
     found = stage(fingerprints(rows.select("doc_id", "text", F.col(tag).alias("row")), keep=("doc_id", "row"), words=bool(near)), "fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
     classes = stage(found.groupBy("fp").agg(first), "class")
