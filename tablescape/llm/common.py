@@ -27,13 +27,16 @@ def unused(df: DataFrame, name: str) -> str:
 def identified(df: DataFrame, tag: str) -> DataFrame:
     """``df`` with a column ``tag`` that tells rows apart, equal ones too, and names them alike at every read, however a scan is split.
 
-    A row that is read from a file as it stands is named by the file and its
-    place there. Rows of any other table are numbered and written once.
+    A row that is read from a file as it stands is named by the file (128 bits
+    of digests of its path) and its place there. Rows of any other table are
+    numbered and written once.
     """
     if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
         at = df.metadataColumn("_metadata")
-        return df.withColumn(tag, F.struct(at["file_path"].alias("file"), at["row_index"].alias("row")))
-    return stage(df.withColumn(tag, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))), "tagged")
+        path = at["file_path"]
+        return df.withColumn(tag, F.struct(F.xxhash64(path).alias("file"), F.xxhash64(F.reverse(path), F.length(path)).alias("also"), at["row_index"].alias("row")))
+    none = F.lit(0).cast("bigint")
+    return stage(df.withColumn(tag, F.struct(none.alias("file"), none.alias("also"), F.monotonically_increasing_id().alias("row"))), "tagged")
 
 
 def ascii_words(text: str | None) -> list[bytes]:
