@@ -74,3 +74,35 @@ def coherence(vectors: DataFrame, id_: str, cluster: str, vector: str) -> DataFr
     x = F.col("mean_similarity")
     action = F.when(x.isNull(), "accept").when(x < F.col("m") - F.col("d"), "split").when(x < F.col("m"), "refine").when(x > F.col("m") + F.col("d"), "merge").otherwise("accept")
     return c.crossJoin(F.broadcast(all_)).select("cluster", "n", "mean_similarity", action.alias("action"))  # one row
+
+
+def greedy_groups(pairs: DataFrame, nodes: DataFrame, least: int = 2, max_rounds: int = 200) -> DataFrame:
+    """(node, leader): the groups that nodes form when, in ascending order, each that is in none founds one and takes all later ones like it that are in none.
+
+    ``pairs`` (a, b) are alike, in either order; ``nodes`` (node) may have more
+    nodes. Groups of less than ``least`` go. Founders are the first independent
+    set in that order: in a round all nodes found a group that have no earlier
+    neighbour left that could, so many decide at once; a node joins the first
+    founder that is before it and like it. Rounds are as many as the longest
+    chain of such waits; more than ``max_rounds`` raise an error.
+    """
+    p = pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).distinct()
+    known = nodes.select("node").where("node IS NOT NULL").distinct()
+    all_ = stage(p.join(known.select(F.col("node").alias("early")), "early", "left_semi").join(known.select(F.col("node").alias("late")), "late", "left_semi"), "alike")
+    open_, left, leaders = stage(known, "open"), all_, known.where("false")
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            break
+        new = stage(open_.join(left.select(F.col("late").alias("node")), "node", "left_anti"), "leaders")
+        leaders = leaders.unionByName(new)
+        taken = left.join(new.select(F.col("node").alias("early")), "early", "left_semi").select(F.col("late").alias("node"))
+        open_ = stage(open_.join(new, "node", "left_anti").join(taken, "node", "left_anti"), "open")
+        still = left.join(open_.select(F.col("node").alias("early")), "early", "left_semi").join(open_.select(F.col("node").alias("late")), "late", "left_semi")
+        left = stage(still, "alike")
+    else:
+        raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
+    leaders = stage(leaders.unionByName(open_), "leaders")
+    joined = all_.join(leaders.select(F.col("node").alias("early")), "early", "left_semi").join(leaders.select(F.col("node").alias("late")), "late", "left_anti")
+    groups = joined.groupBy(F.col("late").alias("node")).agg(F.min("early").alias("leader")).unionByName(leaders.select("node", F.col("node").alias("leader")))
+    large = groups.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return groups.join(large.select("leader"), "leader", "left_semi").select("node", "leader")
