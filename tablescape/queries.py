@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablescape.functions import stats, text, vectors
-from tablescape.operators import clustering, events, graph, hubs, patterns, similarity, validation, weights
+from tablescape.operators import cascade, clustering, events, gap, graph, hubs, linkage, louvain, patterns, reach, similarity, spectral, validation, weights
 from tablescape.plans import spec as plans
 from tablescape.session import stage
 from tablescape.sources import catalog, mermaid
@@ -292,17 +292,41 @@ def event_properties(spark, sf_dir):
     return p.groupBy("event_type").agg(F.sum("p.k").alias("k"), F.count_distinct("p.k").alias("kinds"))
 
 
-@query("penalty_rate_limit")
+# The state of each key as its events come, a step a row.
+_STEPS = "e AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1000000 AS t, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query("penalty_rate_limit", f"""
+    WITH RECURSIVE {_STEPS}, s AS (
+        SELECT key, event_id, CAST(NULL AS DOUBLE) AS t, CAST(0 AS BIGINT) AS n, CAST(-1 AS DOUBLE) AS start, 0 AS count, 0 AS violations, CAST(0 AS DOUBLE) AS last, CAST(1 AS DOUBLE) AS factor, true AS admitted, 0 AS effective FROM e WHERE n = 1
+        UNION ALL
+        SELECT key, event_id, t, n, win, CASE WHEN ok THEN had + 1 ELSE had END, CASE WHEN ok THEN violations ELSE worse END, CASE WHEN ok THEN last ELSE t END, CASE WHEN ok THEN factor ELSE least(3.0, 1 + worse * CAST(0.5 AS DOUBLE)) END, ok, effective
+        FROM (SELECT *, had < effective AS ok, greatest(0, violations - CASE WHEN last <> 0 AND t - last > 172800 THEN 1 ELSE 0 END) + 1 AS worse
+              FROM (SELECT e.key, e.event_id, e.t, e.n, floor(e.t / 86400) * 86400 AS win, CASE WHEN floor(e.t / 86400) * 86400 = s.start THEN s.count ELSE 0 END AS had,
+                           greatest(1, CAST(floor(3 / s.factor) AS INTEGER)) AS effective, s.violations, s.last, s.factor FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1)))
+    SELECT key, event_id, t, admitted, CAST(effective AS BIGINT) AS effective, CAST(violations AS BIGINT) AS violations FROM s WHERE n > 0""")
 def penalty_rate_limit(spark, sf_dir):
     return limits.fold(read(spark, sf_dir, "events"), limits.Penalty(limit=3, window=86400.0, decay=172800.0), "user_id")
 
 
-@query("token_bucket")
+@query("token_bucket", f"""
+    WITH RECURSIVE {_STEPS}, s AS (
+        SELECT key, event_id, t, n, CAST(3 AS DOUBLE) AS had FROM e WHERE n = 1
+        UNION ALL
+        SELECT e.key, e.event_id, e.t, e.n, least(CAST(3 AS DOUBLE), CASE WHEN had >= 1 THEN had - 1 ELSE had END + greatest(CAST(0 AS DOUBLE), e.t - s.t) * (CAST(1 AS DOUBLE) / 20000)) FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1)
+    SELECT key, event_id, t, had >= 1 AS admitted, CASE WHEN had >= 1 THEN had - 1 ELSE had END AS tokens, CASE WHEN had >= 1 THEN CAST(0 AS DOUBLE) ELSE (1 - had) / (CAST(1 AS DOUBLE) / 20000) END AS wait FROM s""")
 def token_bucket(spark, sf_dir):
     return limits.fold(read(spark, sf_dir, "events"), limits.Bucket(capacity=3.0, rate=1 / 20000), "user_id")
 
 
-@query("circuit_breaker")
+@query("circuit_breaker", f"""
+    WITH RECURSIVE {_STEPS}, s AS (
+        SELECT key, event_id, CAST(NULL AS DOUBLE) AS t, CAST(0 AS BIGINT) AS n, 'CLOSED' AS state, 0 AS run, CAST(0 AS DOUBLE) AS opened, true AS admitted FROM e WHERE n = 1
+        UNION ALL
+        SELECT key, event_id, t, n, CASE WHEN NOT free THEN 'OPEN' WHEN NOT fails THEN 'CLOSED' WHEN state = 'OPEN' OR run + 1 >= 2 THEN 'OPEN' ELSE 'CLOSED' END,
+               CASE WHEN NOT free THEN run WHEN NOT fails THEN 0 ELSE run + 1 END, CASE WHEN NOT free THEN opened WHEN fails AND (state = 'OPEN' OR run + 1 >= 2) THEN t ELSE 0 END, free
+        FROM (SELECT e.key, e.event_id, e.t, e.n, s.state, s.run, s.opened, e.event_type = 'error' AS fails, NOT (s.state = 'OPEN' AND e.t - s.opened < 86400) AS free FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1))
+    SELECT key, event_id, t, state, admitted FROM s WHERE n > 0""")
 def circuit_breaker(spark, sf_dir):
     return limits.fold(read(spark, sf_dir, "events"), limits.Breaker(failures=2, rest=86400.0), "user_id", F.when(F.col("event_type") == "error", -1.0).otherwise(1.0))
 
@@ -656,7 +680,55 @@ def label_propagation(spark, sf_dir):
 
 @query("spectral_clusters")
 def spectral_clusters(spark, sf_dir):
-    return clustering.spectral(stage(trade_graph(spark, sf_dir), "trade"), 4)
+    return spectral.spectral_clusters(stage(part_sequence(spark, sf_dir), "parts"), 4, blocks=8, tolerance=0.05)
+
+
+@query("louvain_parts")
+def louvain_parts(spark, sf_dir):
+    return louvain.louvain(stage(part_sequence(spark, sf_dir), "parts"), least_gain=1e-3, most_rounds=12, most_levels=4)
+
+
+@query("linkage_parts")
+def linkage_parts(spark, sf_dir):
+    """Merges of parts that follow each other, each of which must have followed all of the other's."""
+    return linkage.average_linkage(linkage.inverse_weights(stage(part_sequence(spark, sf_dir), "parts"))).select("a", "b", "height", "n")
+
+
+@query("neighbour_distances", """
+    WITH d AS (SELECT a.vec_id AS node, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+    SELECT node, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY distance) AS r FROM d) WHERE r = 5""")
+def neighbour_distances(spark, sf_dir):
+    return reach.neighbour_distances(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5).withColumn("distance", F.round("distance", 6))
+
+
+@query("gap_embeddings")
+def gap_embeddings(spark, sf_dir):
+    return gap.gap_curve(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", [1, 2, 4, 6, 8, 10, 12])
+
+
+def _alike(spark, sf_dir, least):
+    return stage(similarity.similar_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", least), "pairs")
+
+
+@query("greedy_similar", """
+    WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.4),
+    v AS (SELECT vec_id AS node, row_number() OVER (ORDER BY vec_id) AS i, list(b) FILTER (WHERE b IS NOT NULL) AS near FROM embeddings LEFT JOIN p ON a = vec_id GROUP BY vec_id),
+    s AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS leader, CAST([] AS BIGINT[]) AS got, CAST([] AS BIGINT[]) AS taken
+        UNION ALL
+        SELECT i, CASE WHEN open THEN node END, CASE WHEN open THEN new ELSE CAST([] AS BIGINT[]) END, CASE WHEN open THEN list_concat(taken, new) ELSE taken END
+        FROM (SELECT v.i, node, taken, NOT list_contains(taken, node) AS open, list_append(list_filter(coalesce(near, CAST([] AS BIGINT[])), lambda x: NOT list_contains(taken, x)), node) AS new FROM s JOIN v ON v.i = s.i + 1))
+    SELECT unnest(got) AS node, leader FROM s WHERE len(got) >= 2""")
+def greedy_similar(spark, sf_dir):
+    return similarity.greedy_groups(_alike(spark, sf_dir, 0.4), read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node")))
+
+
+@query("cascade_embeddings")
+def cascade_embeddings(spark, sf_dir):
+    """Clusters of the vectors by the cascade, over pairs from a cosine of .3 on; edges are those from .4 on."""
+    p = _alike(spark, sf_dir, 0.3)
+    pairs = stage(p.select("a", "b", (1 - F.col("similarity")).alias("distance")), "distances")
+    edges = stage(p.where("similarity >= 0.4").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("similarity").alias("weight")), "edges")
+    return cascade.cascade(pairs, edges, read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node")))[0].withColumn("cluster", F.col("cluster").cast("string"))
 
 
 @query("similar_pairs", """
@@ -793,6 +865,18 @@ def structural_constraints(spark, sf_dir):
     return validation.constraints(e, m, graph.nodes_of(e)).withColumn("cross_share", F.round("cross_share", 6))
 
 
+def _dbscan_sql(name: str, least: float) -> str:
+    """CTEs that end in ``name`` (node, cluster, role): DBSCAN over cosine similarities from ``least`` on, with 4 partners."""
+    return f"""
+    {name}_p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= {least}),
+    {name}_c AS (SELECT a AS node FROM {name}_p GROUP BY a HAVING count(*) >= 4),
+    {name}_r AS (SELECT node, node AS cluster FROM {name}_c UNION SELECT b, cluster FROM {name}_r JOIN {name}_p ON node = a JOIN {name}_c c ON c.node = b),
+    {name}_k AS (SELECT node, min(cluster) AS cluster FROM {name}_r GROUP BY node),
+    {name}_b AS (SELECT b AS node, min(cluster) AS cluster FROM {name}_p JOIN {name}_k ON node = a WHERE b NOT IN (SELECT node FROM {name}_c) GROUP BY b),
+    {name} AS (SELECT v.vec_id AS node, coalesce(k.cluster, b.cluster) AS cluster, CASE WHEN k.node IS NOT NULL THEN 'core' WHEN b.node IS NOT NULL THEN 'border' ELSE 'noise' END AS role
+        FROM embeddings v LEFT JOIN {name}_k k ON v.vec_id = k.node LEFT JOIN {name}_b b ON v.vec_id = b.node)"""
+
+
 def _three(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     nodes = v.select(F.col("vec_id").alias("node"))
@@ -804,13 +888,16 @@ def _three(spark, sf_dir):
     return stage(out, "three")
 
 
-@query("dbscan_embeddings")
+@query("dbscan_embeddings", f"WITH RECURSIVE {_dbscan_sql('meso', 0.5)} SELECT * FROM meso")
 def dbscan_embeddings(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings")
     return clustering.dbscan(stage(similarity.similar_pairs(v, "vec_id", "embedding", 0.5), "pairs"), v.select(F.col("vec_id").alias("node")), 4)
 
 
-@query("dbscan_consensus")
+@query("dbscan_consensus", f"""
+    WITH RECURSIVE {_dbscan_sql('macro', 0.4)}, {_dbscan_sql('meso', 0.5)}, {_dbscan_sql('micro', 0.6)},
+    p AS (SELECT node, 'macro=' || coalesce(CAST(a.cluster AS VARCHAR), '-') || '|meso=' || coalesce(CAST(b.cluster AS VARCHAR), '-') || '|micro=' || coalesce(CAST(c.cluster AS VARCHAR), '-') AS pattern FROM macro a JOIN meso b USING (node) JOIN micro c USING (node))
+    SELECT pattern, count(*) AS n, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS nodes FROM p GROUP BY pattern HAVING count(*) >= 2""")
 def dbscan_consensus(spark, sf_dir):
     return clustering.consensus(_three(spark, sf_dir)).select("pattern", "n", F.array_join("nodes", ",").alias("nodes"))
 
