@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 from tablescape.llm.common import arrow_map, arrow_schema, rows_of
 from tablescape.session import stage
 
-#: Ids in a block, about; documents in a part of the file, about; sampled ids for each bound between parts.
-BLOCK_IDS, PART_DOCS, PART_IDS = 1 << 18, 2048, 16
+#: Ids in a block, about; documents in a part of the file, about; sampled ids for each bound between parts; parts at most, beyond which they grow.
+BLOCK_IDS, PART_DOCS, PART_IDS, MOST_PARTS = 1 << 18, 2048, 16, 1 << 16
 #: Chunks that a task's memory of encoded chunks holds in each of two generations.
 MEMORY = 500_000
 
@@ -174,7 +174,9 @@ def write_packed(docs: DataFrame, path: str, end_id: int | None = 1, text: str =
 
     Null and empty texts give the end id alone. Documents are dealt to parts
     of about ``PART_DOCS`` by ranges of doc_id, of any type that Spark sorts
-    (bounds from a sample of the id column alone, so texts are encoded once),
+    (bounds from a sample of the id column alone, so texts are encoded once;
+    about ``PART_IDS`` times ``MOST_PARTS`` ids at most come to the driver,
+    however many documents there are, as parts grow from there on),
     sorted there and packed. Repeated ids stand side by side, null ids first;
     extra columns are ignored; an empty table gives an empty file.
     """
@@ -183,7 +185,7 @@ def write_packed(docs: DataFrame, path: str, end_id: int | None = 1, text: str =
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     total = base.count()
-    parts = max(1, -(-total // PART_DOCS))
+    parts = max(1, min(MOST_PARTS, -(-total // PART_DOCS)))
     # the smallest ``PART_IDS`` ids a part by hash, whatever the rows: bounds are their quantiles, shares need not be exact
     some = base.select("doc_id").where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(min(1.0, PART_IDS * parts / max(1, total)) * (1 << 30))))
     held = sorted(r[0] for r in some.distinct().collect()) if parts > 1 else []

@@ -115,3 +115,14 @@ def test_token_ids_round_trip(spark, docs, none):
     full = {r["doc_id"]: r["ids"] for r in tokenids.documents_of(blocks).where("doc_id >= 1990").collect()}
     assert all(full[i] == want_ids(x) for i, x in rows if i is not None and i >= 1990)
     assert tokenids.op9_token_ids(none, WORD).count() == 0
+
+
+def test_ids_at_the_driver_are_bounded(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id as doc_id", "concat('word ', id) as text").repartition(5)
+    plain = sorted(map(str, tokenids.op9_token_ids(df, WORD).collect()))
+    for most in (1, 4, 50):
+        monkeypatch.setattr(tokenids, "PART_DOCS", 10)
+        monkeypatch.setattr(tokenids, "MOST_PARTS", most)
+        blocks, _ = tokenids.write_packed(df, WORD)
+        assert blocks.select("part").distinct().count() <= most
+        assert sorted(map(str, tokenids.read_packed(blocks).collect())) == plain
