@@ -50,10 +50,17 @@ def sanitize_filename(c: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1F]', "_"), r"^\.+", ""), 1, 255)
 
 
+# What is redacted in a message, and what stands in its place.
+REDACTIONS = [
+    (r"/Users/[^/]+/[^\s]+", "[REDACTED_PATH]"), (r"/home/[^/]+/[^\s]+", "[REDACTED_PATH]"), (r"C:\\[^\s]+", "[REDACTED_PATH]"),
+    (r"at [^\s]+ \([^)]+\)", "at [REDACTED_FUNCTION]"),
+]
+
+
 def redact_error(c: Column) -> Column:
     """A message fit for users: sensitive ones are replaced whole, paths and stack frames redacted, 200 characters at most."""
     out = c
-    for pattern, to in [(r"/Users/[^/]+/[^\s]+", "[REDACTED_PATH]"), (r"/home/[^/]+/[^\s]+", "[REDACTED_PATH]"), (r"C:\\[^\s]+", "[REDACTED_PATH]"), (r"at [^\s]+ \([^)]+\)", "at [REDACTED_FUNCTION]")]:
+    for pattern, to in REDACTIONS:
         out = F.regexp_replace(out, pattern, to)
     out = F.substring(out, 1, 200)
     return (

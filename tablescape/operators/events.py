@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablescape.session import stage
+
 # The presets (requests, seconds) of the limiters.
 PRESETS = {"login": (20, 900), "api": (100, 3600), "upload": (25, 3600), "read": (150, 3600), "write": (50, 3600), "project": (75, 3600), "organization": (100, 3600), "chat": (60, 60)}
 
@@ -74,10 +76,37 @@ def purge(events: DataFrame, as_of: Column, days: int, ts: str = "ts") -> DataFr
     return retention(events, as_of, days, ts).where("kept").drop("kept")
 
 
+#: Rows of a key that one task orders; a larger key is cut into blocks of so many.
+BLOCK = 1 << 16
+
+
 def rolling_mean(events: DataFrame, key: str, value: str, order: list[str], rows: int = 100) -> DataFrame:
-    """``events`` with ``rolling``: the mean of the key's last ``rows`` values."""
+    """``events`` with ``rolling``: the mean of the key's last ``rows`` values, in ``order``.
+
+    A key of more than ``BLOCK`` events is ranked over ranges of (key, order),
+    which are written and may lie in one key, and cut into blocks of ranks;
+    each block takes the last rows of the block before with it. Null keys are
+    one key.
+    """
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(-(rows - 1), 0)
-    return events.withColumn("rolling", F.avg(value).over(w))
+    large = events.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK)
+    if large.isEmpty():
+        return events.withColumn("rolling", F.avg(value).over(w))
+    same, own, size = F.col(key).eqNullSafe(F.col("_key")), events.columns, max(BLOCK, rows)
+    few = events.join(large, same, "left_anti").withColumn("rolling", F.avg(value).over(w))
+    many = events.join(large, same, "left_semi")
+    dealt = stage(many.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(F.col(key).alias("_key"), "_range").agg(F.count("*").alias("_c"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a range
+    at = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_range", key).orderBy(*order)) - 1)
+    ranked = at.join(before.withColumnRenamed("_range", "_of"), same & (F.col("_range") == F.col("_of"))).withColumn("_at", F.col("_at") + F.col("_before")).select(*own, "_at")
+    block = F.floor(F.col("_at") / size)
+    late = F.col("_at") % size >= size - (rows - 1)
+    copies = F.when(late, F.array(block, block + 1)).otherwise(F.array(block))
+    cut = ranked.withColumn("_block", F.explode(copies))
+    mean = F.avg(value).over(Window.partitionBy(key, "_block").orderBy("_at").rowsBetween(-(rows - 1), 0))
+    whole = cut.withColumn("rolling", mean).where(F.floor(F.col("_at") / size) == F.col("_block")).select(*own, "rolling")
+    return few.unionByName(whole)
 
 
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts") -> DataFrame:

@@ -405,7 +405,12 @@ def string_hashes(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", text.string_hash(F.col("c_name")).alias("hash"))
 
 
-@query("hash_embeddings")
+@query("hash_embeddings", r"""
+    WITH n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, list_filter(regexp_split_to_array(lower(p_name), '\W+'), lambda x: length(x) > 2) AS w FROM n),
+    e AS (SELECT p_name, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+    h AS (SELECT p_name, abs(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(word, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda h, x: (((h * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296) - 2147483648)) % 64 AS dim, CAST(1 AS DOUBLE) / i AS x FROM e),
+    s AS (SELECT p_name, dim, sum(x) AS x FROM h GROUP BY 1, 2)
+    SELECT p_name, CAST(dim AS INTEGER) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY p_name)), 6) AS x FROM s""")
 def hash_embeddings(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_name").distinct()
     return p.select("p_name", F.explode(F.transform(text.hash_embedding(F.col("p_name"), 64), lambda x, i: F.struct(i.alias("dim"), F.round(x, 6).alias("x")))).alias("e")).select("p_name", "e.dim", "e.x").where("x <> 0")

@@ -51,7 +51,6 @@ def partition(pdf, clusters=None):
 
 #: What must hold of the results of queries that SQL does not express; their values are tested with their operators.
 INVARIANTS = {
-    "hash_embeddings": lambda p: len(p) > 0 and p.iloc[:, 0].is_unique and p.iloc[:, -1].map(lambda v: len(v) == 384 and abs(sum(x * x for x in v) - (1 if any(v) else 0)) < 1e-6).all(),
     "hub_detection": lambda p: p["node"].is_unique,
     "hub_seeded_assignment": lambda p: partition(p) and (p[p.stage == 0].node == p[p.stage == 0].cluster).all() and set(p.cluster.dropna()) <= set(p[p.stage == 0].node),
     "consolidated_domains": partition,

@@ -90,3 +90,21 @@ def test_specifications(spark):
     assert set(d.tables) == {"region", "lineitem", "supplier", "nation"} and len(d.joins) == 3
     with pytest.raises(ValueError):
         plans.execute(plans.QuerySpec(["a", "b"]), {"a": df, "b": df})
+
+
+def test_rolling_mean_of_large_keys_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "hot" if i % 3 else None if i % 7 == 0 else f"k{i % 5}", float(rng.randrange(100)) if i % 11 else None, rng.randrange(300)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "event_id int, k string, v double, t int").repartition(7)
+    want = {}
+    for key in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == key), key=lambda r: (r[3], r[0]))
+        for j, r in enumerate(own):
+            last = [x[2] for x in own[max(0, j - 19) : j + 1] if x[2] is not None]
+            want[r[0]] = sum(last) / len(last) if last else None
+    for block in (1 << 16, 90, 10, 1):
+        monkeypatch.setattr(events, "BLOCK", block)
+        got = events.rolling_mean(df, "k", "v", ["t", "event_id"], rows=20)
+        assert got.columns == [*df.columns, "rolling"]
+        assert {r["event_id"]: r["rolling"] for r in got.collect()} == pytest.approx(want)
+    assert events.rolling_mean(df.where("false"), "k", "v", ["t"]).count() == 0
