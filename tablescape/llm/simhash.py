@@ -9,7 +9,8 @@ near are paired. Nothing that could link is skipped.
 Fingerprints of shingles move several bits when a few words change. Copies
 with changed words are therefore also sought by a second fingerprint, that of
 the single words, which moves less: tiles are then keyed by it, and a link
-holds if both fingerprints are near (``NEAR``).
+holds if both fingerprints are near (``NEAR``). Such links are candidates:
+before a document goes for one, its shingles are compared exactly.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ TILE = 1024
 SALT = 8
 #: Bits by which the fingerprints of words and of shingles may differ in copies with changed words.
 NEAR = (3, 9)
+#: Words in a shingle, and the share of shingles, by Jaccard, from which such copies are near-duplicates.
+SHINGLE, LEAST = 5, 0.8
+#: Rounds in which what is joined by such links is compared with a first row.
+ROUNDS = 64
 
 
 def fingerprint_of(words: list[bytes], width: int = 3) -> int:
@@ -186,25 +191,85 @@ def near_duplicates(docs: DataFrame, radius: int = 3, text: str = "text", doc_id
     return found.join(to, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 3, near: tuple[int, int] | None = NEAR) -> DataFrame:
-    """The documents without near-duplicates: of each component one row, that of the least doc_id (nulls last), with all columns.
+def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of ``width`` words; fewer words are one shingle, none give none."""
+    import xxhash
+
+    words = ascii_words(text)
+    runs = (b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r) for r in runs), np.uint64))
+
+
+def alike(pairs: DataFrame, rows: DataFrame, tag: str, least: float = LEAST, text: str = "text") -> DataFrame:
+    """The ``pairs`` (one, other), tags of ``rows``, whose texts share ``least`` of their five-word shingles by Jaccard, counted exactly."""
+    ends = pairs.select(F.explode(F.array("one", "other")).alias(tag)).distinct()
+    kind = rows.schema[tag].dataType.simpleString()
+
+    def hashed(batch):
+        return {"end": batch.column(0), "set": pa.array([shingle_set(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())}
+
+    sets = stage(arrow_map(rows.join(ends, tag, "left_semi").select(tag, text), hashed, f"end {kind}, set binary"), "shingles")
+    both = pairs.join(sets.select(F.col("end").alias("one"), F.col("set").alias("a")), "one").join(sets.select(F.col("end").alias("other"), F.col("set").alias("b")), "other").select("one", "other", "a", "b")
+
+    def judged(batch):
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(shared >= least * (len(x) + len(y) - shared))
+        return {"one": batch.column(0).filter(pa.array(keep, pa.bool_())), "other": batch.column(1).filter(pa.array(keep, pa.bool_()))}
+
+    return arrow_map(both, judged, f"one {kind}, other {kind}", most_bytes=16 << 20)
 
-    Links are those of ``near_duplicates``. Of rows that share this doc_id the
-    first stays, by file and place in it. Null text counts as empty, all empty
-    texts are one group; columns of any name stay; an empty table gives an
-    empty result. ``docs`` is read twice; its rows are known again by their
-    place in a file (``identified``), however the two scans are split.
+
+def _unlike(groups: DataFrame, rows: DataFrame, tag: str) -> DataFrame:
+    """(tag): the first rows that stay of ``groups`` (group, first): a group's first one, and what is not like one that stays before it.
+
+    The first of a group is compared with all others; what is not like it makes
+    the group of the next round. After ``ROUNDS`` rounds what is left stays.
+    """
+    stays, left = None, stage(groups, "groups")
+    for at in range(ROUNDS + 1):
+        lead = left.groupBy("group").agg(F.min("first").alias("lead"), F.count("*").alias("n"))
+        stay = (left.select("first") if at == ROUNDS else lead.select(F.col("lead").alias("first"))).select(F.col("first.row").alias(tag))
+        stays = stay if stays is None else stays.unionByName(stay)
+        pairs = stage(left.join(lead.where("n > 1"), "group").where("first <> lead").select("group", "first", F.col("first.row").alias("one"), F.col("lead.row").alias("other")), "candidates")
+        if at == ROUNDS or pairs.isEmpty():
+            break
+        same = alike(pairs.select("one", "other"), rows, tag)
+        left = stage(pairs.join(same.select("one"), "one", "left_anti").select("group", "first"), "groups")
+    return stays
+
+
+def keep_first(docs: DataFrame, radius: int = 3, near: tuple[int, int] | None = NEAR) -> DataFrame:
+    """The documents without near-duplicates: of each group one row, that of the least doc_id (nulls last), with all columns.
+
+    Groups are the components of fingerprints within ``radius`` bits. With
+    ``near``, groups that its wider links join are candidates: the least row of
+    a group goes, and its group with it, if it shares ``LEAST`` of its
+    five-word shingles, by Jaccard and counted exactly, with the least row of a
+    group that stays before it (``ROUNDS`` rounds, then what is left stays). Of
+    rows that share this doc_id the first stays, by file and place in it. Null
+    text counts as empty, all empty texts are one group; columns of any name
+    stay; an empty table gives an empty result. ``docs`` is read several times;
+    its rows are known again by their place in a file (``identified``), however
+    the scans are split.
     """
     own, tag = docs.columns, unused(docs, "row_tag")
     rows = identified(docs, tag)
     found = stage(fingerprints(rows.select("doc_id", "text", F.col(tag).alias("row")), keep=("doc_id", "row"), words=bool(near)), "fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
     classes = stage(found.groupBy("fp").agg(first), "class")
-    parts = _parts(found, classes, radius, near)
-    kept = (
-        classes.join(parts, classes.fp == parts.node, "left")
-        .groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(tag))
-    )
+    parts = _parts(found, classes, radius, None)
+    rooted = stage(classes.join(parts, classes.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "rooted")
+    groups = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    if not near:
+        return rows.join(groups.select(F.col("first.row").alias(tag)), tag, "left_semi").select(*own)
+    groups, at = stage(groups, "roots"), rooted.select("fp", "root")
+    wide = linking_edges(found, near[1], near[0]).join(at.select(F.col("fp").alias("src"), F.col("root").alias("a")), "src").join(at.select(F.col("fp").alias("dst"), F.col("root").alias("b")), "dst").where("a <> b")
+    joined = stage(connected_components(stage(wide.select("a", "b").distinct(), "wide"), "a", "b"), "joined")
+    alone = groups.join(joined.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("first.row").alias(tag))
+    kept = alone.unionByName(_unlike(groups.join(joined.select(F.col("node").alias("root"), F.col("component").alias("group")), "root").select("group", "first"), rows, tag))
     return rows.join(kept, tag, "left_semi").select(*own)
 
 

@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablescape.llm import decontamination, mixing, quality, simhash
+from tablescape.llm import decontamination, mixing, quality
+from tests.llm.test_simhash import kept_by_brute_force
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -51,27 +52,7 @@ def test_stages(spark, tmp_path):
             assert sorted(map(str, after)) == sorted(str(type(after[0])(**{c: r[c] for c in COLUMNS})) for r in scores if r["score"] >= quality.THRESHOLD)
             assert not any(i % 10 == 3 for i in ids(after)) and sum(i % 10 != 3 for i in ids(after)) >= 0.98 * sum(i % 10 != 3 for i in ids(before))
         if name == "near_dedup":
-            fps = {}
-            for r in before:
-                words = (r["text"] or "").encode().lower().split()
-                fps.setdefault((simhash.fingerprint_of(words), simhash.fingerprint_of(words, 1)), []).append(r["doc_id"])
-            keys = list(fps)
-            root = {k: k for k in keys}
-
-            def find(k):
-                while root[k] != k:
-                    k = root[k]
-                return k
-
-            for i, a in enumerate(keys):
-                for b in keys[:i]:
-                    bits, of_words = ((x ^ y).bit_count() for x, y in zip(a, b))
-                    if bits <= 3 or (bits <= 9 and of_words <= 3):
-                        root[find(a)] = find(b)
-            groups = {}
-            for k in keys:
-                groups.setdefault(find(k), []).extend(fps[k])
-            want = [min((d for d in g if d is not None), default=None) for g in groups.values()]
+            want = kept_by_brute_force([(r["doc_id"], r["text"]) for r in before])
             assert sorted(map(str, want)) == sorted(str(r["doc_id"]) for r in after)
         if name == "decontaminate":
             clean = [r for r in before if "bench0" not in (r["text"] or "")]

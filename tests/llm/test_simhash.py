@@ -73,15 +73,65 @@ def test_random_fingerprints_in_many_tiles(spark, monkeypatch):
     assert {frozenset(v) for v in have.values()} == want
 
 
+def jaccard(a, b):
+    x, y = (w if (w := (t or "").encode().lower().split()) else [] for t in (a, b))
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (x, y))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def kept_by_brute_force(rows):
+    """doc_ids that stay of [(doc_id, text)], nulls last: one a group of 3-bit links; groups joined by wider links are compared with those that stay."""
+    texts = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    fps = [(brute_fp(t), brute_fp(t, 1)) for _, t in texts]
+    base = components([f for f, _ in fps], 3)
+    wide = list(base)
+    for i, (s, w) in enumerate(fps):
+        for j in range(i):
+            if (s ^ fps[j][0]).bit_count() <= simhash.NEAR[1] and (w ^ fps[j][1]).bit_count() <= simhash.NEAR[0] and wide[i] != wide[j]:
+                old, new = wide[i], wide[j]
+                wide = [new if x == old else x for x in wide]
+    first = {}
+    for i, b in enumerate(base):
+        first.setdefault(b, i)
+    stay = []
+    for i in sorted(first.values()):
+        if not any(wide[i] == wide[j] and jaccard(texts[i][1], texts[j][1]) >= 0.8 for j in stay):
+            stay.append(i)
+    return [texts[i][0] for i in stay]
+
+
 def test_keep_first(docs, none):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
-    near = simhash.near_duplicates(docs, near=simhash.NEAR).collect()
-    assert kept.count() == len({r["component_id"] for r in near})
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({r["component_id"] for r in near if r["component_id"] is not None})
+    assert sorted(map(str, kept_by_brute_force([(r["doc_id"], r["text"]) for r in docs.collect()]))) == sorted(str(r["doc_id"]) for r in kept.collect())
+    assert simhash.keep_first(docs, near=None).count() == len({r["component_id"] for r in simhash.near_duplicates(docs).collect()})
     assert simhash.keep_first(none).count() == 0
 
 
+def test_candidates_are_compared_before_they_go(spark):
+    """Copies of which a few words are other ones, and texts that only share their frequent words: neither set chose ``NEAR``."""
+    rng = random.Random(77)
+    vocabulary = [f"v{i}" for i in range(900)]
+    weights = [1 / (i + 1) ** 1.3 for i in range(900)]
+    rows, copies = [], 0
+    for i in range(90):
+        words = rng.choices(vocabulary, weights, k=rng.randrange(120, 400))
+        rows.append((10 * i, " ".join(words)))
+        if i % 2 == 0:
+            for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
+                words[at] = rng.choice(vocabulary)
+            rows.append((10 * i + 1, " ".join(words)))
+            copies += 1
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sorted(kept) == kept_by_brute_force(rows)
+    text = dict(rows)
+    narrow = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string"), near=None).collect()}
+    gone = narrow - kept
+    assert gone and all(any(jaccard(text[g], text[k]) >= 0.8 for k in kept) for g in gone)  # precision of the wider links: 1
+    true = [i for i, _ in rows if i % 10 and jaccard(text[i], text[i - 1]) >= 0.8]
+    assert sum(i not in kept for i in true) >= 0.9 * len(true) and len(true) > copies / 2
+
+
 def test_copies_with_changed_words_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 16)
     monkeypatch.setattr(simhash, "SALT", 2)
