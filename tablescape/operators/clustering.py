@@ -6,9 +6,8 @@ matter, the rule is stated without order: best first, ties by name.
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -203,43 +202,6 @@ def bisecting(points: DataFrame, id_: str, vector: str, k: int, seed: int = 1) -
     return BisectingKMeans(k=k, seed=seed).fit(p).transform(p).select("node", F.col("prediction").alias("cluster"))
 
 
-def gap_curve(points: DataFrame, vector: str, ks: list[int], references: int = 3, seed: int = 1) -> DataFrame:
-    """(k, gap, deviation): the gap statistic by k-means cost against uniform points over each dimension's range."""
-    spark = points.sparkSession
-    x = stage(points.select(F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL"), "gap")
-    spans = x.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("d").collect()  # a row a dimension
-
-    def cost(df: DataFrame, k: int) -> float:
-        if k > 1:
-            return KMeans(k=k, seed=seed).fit(df).summary.trainingCost
-        one = df.select(Summarizer.metrics("count", "variance").summary(F.col("features")).alias("s")).first()["s"]
-        return float(sum(one["variance"])) * (one["count"] - 1)
-
-    real = x.select(array_to_vector("v").alias("features")).cache()
-    fakes = [x.select(array_to_vector(F.array(*[F.lit(r["lo"]) + F.rand(seed * 1000 + i * 100 + r["d"]) * (r["hi"] - r["lo"]) for r in spans])).alias("features")).cache() for i in range(references)]
-    rows = []
-    import math
-
-    for k in ks:
-        logs = [math.log(max(cost(f, k), 1e-12)) for f in fakes]
-        mean = sum(logs) / len(logs)
-        dev = math.sqrt(sum((y - mean) ** 2 for y in logs) / len(logs)) * math.sqrt(1 + 1 / len(logs))
-        rows.append((k, mean - math.log(max(cost(real, k), 1e-12)), dev))
-    for df in (real, *fakes):
-        df.unpersist()
-    return spark.createDataFrame(rows, "k int, gap double, deviation double")
-
-
-def spectral(edges: DataFrame, k: int, rounds: int = 20) -> DataFrame:
-    """(node, cluster) by power iteration on the normalised affinities of (src, dst, weight); nodes are numbered by a 64-bit hash of their name."""
-    near = both_ways(edges).where("node < other")
-    names = graph.nodes_of(near.select(F.col("node").alias("src"), F.col("other").alias("dst")))
-    ids = stage(names.select("node", F.xxhash64("node").alias("id")), "spectral")
-    e = near.join(ids.select("node", F.col("id").alias("s")), "node").join(ids.select(F.col("node").alias("other"), F.col("id").alias("d")), "other").select("s", "d", "weight")
-    got = PowerIterationClustering(k=k, maxIter=rounds, initMode="degree", srcCol="s", dstCol="d", weightCol="weight").assignClusters(e)
-    return ids.join(got, "id").select("node", "cluster")
-
-
 def hub_affinity(edges: DataFrame, hubs: DataFrame, membership: DataFrame) -> DataFrame:
     """(hub, cluster, affinity, strength): each hub's best cluster by .35 link density + .25 mean weight + .15 share of its links + .1 relative degree; strong from .7, moderate from .4, weak from .1, else isolated."""
     m = membership.where("cluster IS NOT NULL").join(hubs.select("node"), "node", "left_anti")

@@ -113,19 +113,6 @@ def adaptive_dbscan(distances: DataFrame, edges: DataFrame, nodes: DataFrame, le
     return clustering.dbscan(distances.where(F.col("distance") <= reach), nodes, points)
 
 
-def refined(distances: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, cluster, role): of the three resolutions the one of the greatest modularity; ties to the coarser."""
-    from tablescape.operators.validation import modularity
-
-    best, top = None, None
-    for level in ("macro", "meso", "micro"):
-        got = stage(adaptive_dbscan(distances, edges, nodes, level), "resolution")
-        q = modularity(edges, got.where("cluster IS NOT NULL")).first()[0]
-        if top is None or q > top:
-            best, top = got, q
-    return best
-
-
 def connection_score(a: str = "a", b: str = "b") -> Column:
     """.5 common column names + .3 common types, over the smaller table, + .2 nearness of sizes."""
     names = F.size(F.array_intersect(f"{a}_names", f"{b}_names")) / F.greatest(F.lit(1), F.least(F.size(f"{a}_names"), F.size(f"{b}_names")))

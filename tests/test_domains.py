@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablescape.operators import clustering, distances, domains, similarity, validation
+from tablescape.operators import cascade, clustering, distances, domains, gap, similarity, validation
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def test_distances(catalog):
     nodes = c.select(F.col("table_name").alias("node")).distinct()
     got = distances.adaptive_dbscan(distances.composite_distance(c, e), e, nodes).collect()
     assert len(got) == 11 and any(r["role"] == "core" for r in got)
-    assert distances.refined(distances.composite_distance(c, e), e, nodes).count() == 11
+    assert cascade.refined(distances.composite_distance(c, e), e, nodes)[0].count() == 11
     assert distances.least_points("micro", 60, 8.0, 1.0) == 5 and distances.resolution(300, 0.001) == "macro"
 
 
@@ -127,7 +127,7 @@ def test_vector_clustering(spark):
     for f in (clustering.k_means, clustering.bisecting):
         got = f(df, "id", "v", 3).join(df.select(F.col("id").alias("node"), "label"), "node")
         assert validation.agreement(got, "cluster", "label").first()["ari"] == pytest.approx(1)
-    gaps = {r["k"]: r["gap"] for r in clustering.gap_curve(df, "v", [1, 2, 3]).collect()}
+    gaps = {r["k"]: r["gap"] for r in gap.gap_curve(df, "id", "v", [1, 2, 3]).collect()}
     assert gaps[3] > gaps[1]
     s = [r["silhouette"] for r in validation.silhouette(df, "id", "label", "v").collect()]
     assert min(s) > 0.9
