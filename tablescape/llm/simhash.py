@@ -34,8 +34,6 @@ SALT = 8
 NEAR = (3, 9)
 #: Words in a shingle, and the share of shingles, by Jaccard, from which such copies are near-duplicates.
 SHINGLE, LEAST = 5, 0.8
-#: Rounds in which what is joined by such links is compared with a first row.
-ROUNDS = 64
 
 
 def fingerprint_of(words: list[bytes], width: int = 3) -> int:
@@ -115,11 +113,47 @@ def spanning_edges(a: np.ndarray, b: np.ndarray, radius: int, words: tuple[np.nd
     return np.concatenate(src or [none]), np.concatenate(dst or [none])
 
 
-def linking_edges(fps: DataFrame, radius: int = 3, words_radius: int | None = None) -> DataFrame:
+def nearest_forest(a: np.ndarray, b: np.ndarray, radius: int, words: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links between ``a`` and ``b`` that form a spanning forest of least differing bits: among them each fingerprint's nearest link."""
+    i, j = (np.concatenate(x) for x in zip(*((at + r, c) for at in range(0, len(a), 256) for r, c in [np.nonzero(np.bitwise_count(words[0][at : at + 256, None] ^ words[1][None, :]) <= words[2])])))
+    bits = np.bitwise_count(a[i] ^ b[j]).astype(np.int64)
+    keep = (bits <= radius) & (a[i] != b[j])
+    i, j, bits = i[keep], j[keep], bits[keep] + np.bitwise_count(words[0][i[keep]] ^ words[1][j[keep]])
+    fps, ends = np.unique(np.concatenate([a[i], b[j]]), return_inverse=True)
+    order = np.lexsort((ends[len(i) :], ends[: len(i)], bits))
+    u, v = ends[: len(i)][order], ends[len(i) :][order]
+    root, taken = np.arange(len(fps)), []
+    while True:
+        ru, rv = root[u], root[v]
+        open_ = np.flatnonzero(ru != rv)
+        if not len(open_):
+            break
+        least = np.full(len(fps), len(u))
+        np.minimum.at(least, ru[open_], open_)
+        np.minimum.at(least, rv[open_], open_)
+        chosen = np.unique(least[least < len(u)])
+        taken.append(chosen)
+        parent = np.arange(len(fps))
+        for x, y in zip(ru[chosen].tolist(), rv[chosen].tolist()):
+            while parent[x] != x:
+                x = parent[x]
+            while parent[y] != y:
+                y = parent[y]
+            parent[max(x, y)] = min(x, y)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        root = parent[root]
+    edges = np.concatenate(taken or [np.empty(0, np.int64)])
+    return fps[u[edges]], fps[v[edges]]
+
+
+def linking_edges(fps: DataFrame, radius: int = 3, words_radius: int | None = None, links: bool = False) -> DataFrame:
     """(src, dst): edges over the distinct ``fp`` of ``fps`` with the components of all links within ``radius`` bits.
 
     With ``words_radius`` the rows also have ``words``, another fingerprint,
-    which keys the tiles and must be within ``words_radius`` bits too.
+    which keys the tiles and must be within ``words_radius`` bits too. With
+    ``links`` as well every edge is itself a link, the nearest ones that span
+    (``nearest_forest``).
 
     A tile pair gives a spanning forest of its links, not every link, so a
     dense group of n fingerprints gives edges in proportion to n for each tile
@@ -156,7 +190,7 @@ def linking_edges(fps: DataFrame, radius: int = 3, words_radius: int | None = No
         got = []
         for i in range(batch.num_rows):
             at, to = slice(ao[i], ao[i + 1]), slice(bo[i], bo[i + 1])
-            got.append(spanning_edges(a[0][at], b[0][to], radius, (a[1][at], b[1][to], words_radius) if both else None))
+            got.append((nearest_forest if links else spanning_edges)(a[0][at], b[0][to], radius, (a[1][at], b[1][to], words_radius) if both else None))
         return {k: pa.array(np.concatenate([g[j] for g in got]).view(np.int64)) for j, k in enumerate(("src", "dst"))}
 
     return arrow_map(pairs, make, "src bigint, dst bigint", most_bytes=16 << 20).where("src <> dst").distinct()
@@ -222,34 +256,14 @@ def alike(pairs: DataFrame, rows: DataFrame, tag: str, least: float = LEAST, tex
     return arrow_map(both, judged, f"one {kind}, other {kind}", most_bytes=16 << 20)
 
 
-def _unlike(groups: DataFrame, rows: DataFrame, tag: str) -> DataFrame:
-    """(tag): the first rows that stay of ``groups`` (group, first): a group's first one, and what is not like one that stays before it.
-
-    The first of a group is compared with all others; what is not like it makes
-    the group of the next round. After ``ROUNDS`` rounds what is left stays.
-    """
-    stays, left = None, stage(groups, "groups")
-    for at in range(ROUNDS + 1):
-        lead = left.groupBy("group").agg(F.min("first").alias("lead"), F.count("*").alias("n"))
-        stay = (left.select("first") if at == ROUNDS else lead.select(F.col("lead").alias("first"))).select(F.col("first.row").alias(tag))
-        stays = stay if stays is None else stays.unionByName(stay)
-        pairs = stage(left.join(lead.where("n > 1"), "group").where("first <> lead").select("group", "first", F.col("first.row").alias("one"), F.col("lead.row").alias("other")), "candidates")
-        if at == ROUNDS or pairs.isEmpty():
-            break
-        same = alike(pairs.select("one", "other"), rows, tag)
-        left = stage(pairs.join(same.select("one"), "one", "left_anti").select("group", "first"), "groups")
-    return stays
-
-
 def keep_first(docs: DataFrame, radius: int = 3, near: tuple[int, int] | None = NEAR) -> DataFrame:
     """The documents without near-duplicates: of each group one row, that of the least doc_id (nulls last), with all columns.
 
     Groups are the components of fingerprints within ``radius`` bits. With
-    ``near``, groups that its wider links join are candidates: the least row of
-    a group goes, and its group with it, if it shares ``LEAST`` of its
-    five-word shingles, by Jaccard and counted exactly, with the least row of a
-    group that stays before it (``ROUNDS`` rounds, then what is left stays). Of
-    rows that share this doc_id the first stays, by file and place in it. Null
+    ``near``, the wider links that are nearest are candidates; groups are one
+    if the first rows of two fingerprints so linked share ``LEAST`` of their
+    five-word shingles, by Jaccard and counted exactly. Of rows that share this
+    doc_id the first stays, by file and place in it. Null
     text counts as empty, all empty texts are one group; columns of any name
     stay; an empty table gives an empty result. ``docs`` is read several times;
     its rows are known again by their place in a file (``identified``), however
@@ -265,12 +279,13 @@ def keep_first(docs: DataFrame, radius: int = 3, near: tuple[int, int] | None =
     groups = rooted.groupBy("root").agg(F.min("first").alias("first"))
     if not near:
         return rows.join(groups.select(F.col("first.row").alias(tag)), tag, "left_semi").select(*own)
-    groups, at = stage(groups, "roots"), rooted.select("fp", "root")
-    wide = linking_edges(found, near[1], near[0]).join(at.select(F.col("fp").alias("src"), F.col("root").alias("a")), "src").join(at.select(F.col("fp").alias("dst"), F.col("root").alias("b")), "dst").where("a <> b")
-    joined = stage(connected_components(stage(wide.select("a", "b").distinct(), "wide"), "a", "b"), "joined")
-    alone = groups.join(joined.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("first.row").alias(tag))
-    kept = alone.unionByName(_unlike(groups.join(joined.select(F.col("node").alias("root"), F.col("component").alias("group")), "root").select("group", "first"), rows, tag))
-    return rows.join(kept, tag, "left_semi").select(*own)
+    end = lambda fp, row, group: rooted.select(F.col("fp").alias(fp), F.col("first.row").alias(row), F.col("root").alias(group))
+    wide = linking_edges(found, near[1], near[0], links=True).join(end("src", "one", "a"), "src").join(end("dst", "other", "b"), "dst").where("a <> b")
+    wide = stage(wide.select("one", "other", "a", "b").distinct(), "wide")
+    same = stage(wide.join(alike(wide.select("one", "other").distinct(), rows, tag), ["one", "other"], "left_semi").select("a", "b").distinct(), "same")
+    joined = connected_components(same, "a", "b")
+    groups = groups.join(joined, groups.root == joined.node, "left").groupBy(F.coalesce("component", "root").alias("group")).agg(F.min("first").alias("first"))
+    return rows.join(groups.select(F.col("first.row").alias(tag)), tag, "left_semi").select(*own)
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:
