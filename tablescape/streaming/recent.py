@@ -1,20 +1,15 @@
-"""A bounded log of each key's newest events, as a stream with list state that expires, and in batch."""
+"""A bounded log of each key's newest events."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from tablescape.streaming.limits import prepared
 
 #: Events that a log keeps, and hours after which one is gone.
 MOST, HOURS = 1000, 24.0
-OUTPUT = "seen bigint, event_ids array<bigint>, oldest double, newest double"
 
 
 def recent_log(events: DataFrame, key: str, most: int = MOST, hours: float = HOURS, ts: str = "ts", event_id: str = "event_id") -> DataFrame:
@@ -30,44 +25,3 @@ def recent_log(events: DataFrame, key: str, most: int = MOST, hours: float = HOU
     logs = kept.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("log"), F.min("t").alias("oldest"), F.max("newest").alias("newest"))  # ``most`` a key
     seen = rows.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("seen"))
     return logs.join(seen, F.col("key").eqNullSafe(F.col("_key"))).select("key", "seen", F.col("log.event_id").alias("event_ids"), "oldest", "newest")
-
-
-class _Log(StatefulProcessor):
-    """Keeps a key's log as list state; the state of a key without events goes after ``hours`` of the clock."""
-
-    def __init__(self, most: int, hours: float, kind):
-        self.most, self.hours, self.kind = most, hours, kind
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        idle = int(self.hours * 3_600_000)
-        self.log = handle.getListState("log", "t double, event_id bigint", ttlDurationMs=idle)
-        self.seen = handle.getValueState("seen", "n bigint", ttlDurationMs=idle)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        had = [(r[0], r[1]) for r in self.log.get()]
-        n = (self.seen.get()[0] if self.seen.exists() else 0) + len(new)
-        log = sorted([*had, *zip(new["t"].astype(float), new["event_id"].astype(int))])
-        log = [e for e in log if e[0] >= log[-1][0] - self.hours * 3600][-self.most :]
-        self.log.put(log)
-        self.seen.update((n,))
-        yield pd.DataFrame({"key": pd.Series([key[0]], dtype=self.kind), "seen": [n], "event_ids": [[e[1] for e in log]], "oldest": [log[0][0]], "newest": [log[-1][0]]})
-
-    def close(self) -> None:
-        pass
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """The state store that list state with expiry needs."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
-def recent_stream(events: DataFrame, key: str, most: int = MOST, hours: float = HOURS, ts: str = "ts", event_id: str = "event_id") -> DataFrame:
-    """As ``recent_log``, over a stream: after each batch a row for every key with new events; the row with the most ``seen`` is the newest.
-
-    Events that come late take their place by time. Needs ``use_rocksdb``.
-    """
-    rows = prepared(events, key, ts=ts, event_id=event_id).where("t IS NOT NULL AND event_id IS NOT NULL").select("key", "t", F.col("event_id").cast("bigint").alias("event_id"))
-    kind = rows.schema["key"].dataType.simpleString()
-    dtype = {"bigint": "Int64", "int": "Int32"}.get(kind, "object")
-    return rows.groupBy("key").transformWithStateInPandas(_Log(most, hours, dtype), f"key {kind}, {OUTPUT}", "Update", "ProcessingTime")
