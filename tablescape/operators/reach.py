@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablescape.functions.stats import order_statistic, order_statistics
 from tablescape.operators import clustering
+from tablescape.operators.blocks import against_all, vectors
 from tablescape.session import stage
 
 #: The share of the distances that is the predicted reach, its bounds, and the factors that are tried.
@@ -17,50 +18,74 @@ SHARE, LEAST_REACH, MOST_REACH, FACTORS = 0.15, 0.1, 1.0, (0.8, 1.0, 1.2)
 TARGET, MOST_NOISE = (10, 20), 0.15
 #: Scores that end the search: of the predicted reach, and of any other.
 GOOD, EXCELLENT = 0.7, 0.8
-#: Lists of neighbours that meet in one node of the merging tree.
-FAN_IN = 16
+#: Pairs that fan in to one comparison of differences, in thousands.
+FAN_IN = 64
 
 
-def neighbour_distances(points: DataFrame, id_: str, vector: str, k: int, tile: int = 2048) -> DataFrame:
+def neighbour_distances(points: DataFrame, id_: str, vector: str, k: int, block: int | None = None) -> DataFrame:
     """(node, distance): each point's Euclidean distance to its ``k``-th nearest other point; points with fewer others go.
 
-    Points are packed in tiles; a pair of tiles is one row, worked on with
-    numpy, and gives the k least distances of each of its points at most, which
-    are merged in a tree of ``FAN_IN`` lists a node. The work is quadratic, no
-    task holds more than two tiles. Null vectors and ids go; equal points are 0
-    apart.
+    A task holds a block of points with the k least distances that each has met
+    so far, while all points pass by (``blocks.against_all``). A product gives
+    a lower bound of each distance; only what is below a point's k-th least is
+    taken from differences, so equal points are 0 apart. The work is quadratic.
+    Null ids, and vectors that are null or hold null or non-finite components,
+    go: they are near nothing.
     """
-    v = points.select(F.col(id_).alias("node"), F.col(vector).cast("array<double>").alias("v")).where("node IS NOT NULL AND v IS NOT NULL")
+    v = F.col(vector) if points.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
+    v = points.select(F.col(id_).alias("node"), v.alias("v")).where("node IS NOT NULL AND v IS NOT NULL")
+    v = v.where(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
     kind = v.schema["node"].dataType.simpleString()
-    n = max(1, -(-v.count() // tile))
-    tiles = stage(v.groupBy(F.pmod(F.xxhash64("node", "v"), F.lit(n)).cast("int").alias("t")).agg(F.collect_list(F.struct("node", "v")).alias("r")).select("t", F.col("r.node").alias("nodes"), F.flatten("r.v").alias("vs")), "tiles")
-    left = tiles.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("t"), F.col("t").alias("ta"), F.col("nodes").alias("na"), F.col("vs").alias("va"))
-    pairs = left.join(tiles.select("t", F.col("nodes").alias("nb"), F.col("vs").alias("vb")), "t")
-
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                t, ta = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                nodes = batch.column(2)[r].values
-                x, y = (batch.column(i)[r].values.to_numpy(zero_copy_only=False).reshape(m, -1) for i, m in ((3, len(nodes)), (5, len(batch.column(4)[r].values))))
-                for at in range(0, len(x), 256):
-                    part = x[at : at + 256]
-                    d = np.zeros((len(part), len(y)))
-                    for j in range(x.shape[1]):  # by components: equal points are 0 apart to the last bit
-                        d += (part[:, None, j] - y[None, :, j]) ** 2
-                    if t == ta:
-                        d[np.arange(len(part)), np.arange(at, at + len(part))] = np.inf
-                    keep = min(k, d.shape[1])
-                    near = np.sqrt(np.sort(np.partition(d, keep - 1, 1)[:, :keep], 1))
-                    counts = np.isfinite(near).sum(1)
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(near[np.isfinite(near)]))
-                    yield pa.RecordBatch.from_arrays([nodes.slice(at, len(part)), pa.array(np.full(len(part), t, np.int32)), lists], ["node", "part", "near"])
-
-    near = pairs.select("t", "ta", "na", "va", "nb", "vb").mapInArrow(run, f"node {kind}, part int, near array<double>")
-    while n > 1:
-        n = -(-n // FAN_IN)
-        near = near.groupBy("node", F.expr(f"part div {FAN_IN}").cast("int").alias("part")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    return near.where(F.size("near") >= k).select("node", F.element_at("near", k).alias("distance"))
+    v, step = v.select(F.monotonically_increasing_id().alias("row"), "node", "v"), FAN_IN * 1000
+
+    def held(own, others):
+        x, rows, best = vectors(own, 2), own.column(0).to_numpy(), np.full((own.num_rows, k), np.inf)
+        order = np.argsort(rows)
+        blur = 4 * (x.shape[1] + 4) * np.finfo(float).eps
+        xx = (x * x).sum(1)[:, None]
+        left = np.hstack([-2 * x, (1 - blur) * xx, np.ones_like(xx)])
+
+        def improved(best, a, y, i, j):
+            """``best`` of the points ``a`` after the pairs (i, j), a slice of them at a time."""
+            for at in range(0, len(i), step):
+                p, q = i[at : at + step], j[at : at + step]
+                d = np.sqrt(((a[p] - y[q]) ** 2).sum(1))
+                by = np.lexsort([d, p])
+                p, d = p[by], d[by]
+                firsts = np.flatnonzero(np.diff(p, prepend=-1))
+                rank = np.arange(len(p)) - np.repeat(firsts, np.diff(np.append(firsts, len(p))))
+                some, new = p[firsts], np.full((len(firsts), k), np.inf)
+                keep = rank < k
+                new[np.searchsorted(some, p[keep]), rank[keep]] = d[keep]
+                best[some] = np.sort(np.hstack([best[some], new]), 1)[:, :k]
+
+        for batch, is_own in others:
+            y = vectors(batch, 2)
+            yy = (y * y).sum(1)[:, None]
+            right = np.ascontiguousarray(np.hstack([y, np.ones_like(yy), (1 - blur) * yy]).T)
+            place = order[np.searchsorted(rows, batch.column(0).to_numpy(), sorter=order)] if is_own else None
+            for at in range(0, len(x), 256):
+                a, b = x[at : at + 256], best[at : at + 256]
+                low = left[at : at + 256] @ right
+                if is_own:
+                    here = np.flatnonzero((place >= at) & (place < at + len(a)))
+                    low[place[here] - at, here] = np.inf
+                some = np.flatnonzero(np.isinf(b[:, -1]))
+                if len(some):  # the first that pass by
+                    m = min(k, low.shape[1])
+                    j = np.argpartition(low[some], m - 1, 1)[:, :m]
+                    i, j = np.repeat(some, m), j.ravel()
+                    met = np.isfinite(low[i, j])
+                    i, j = i[met], j[met]
+                    improved(b, a, y, i, j)
+                    low[i, j] = np.inf
+                # k copies cannot be bettered
+                found = np.flatnonzero(low < np.where(b[:, -1] > 0, b[:, -1] ** 2, -np.inf)[:, None])
+                improved(b, a, y, found // low.shape[1], found % low.shape[1])
+        enough = np.flatnonzero(np.isfinite(best[:, -1]))
+        yield pa.RecordBatch.from_arrays([own.column(1).take(pa.array(enough)), pa.array(best[enough, -1])], ["node", "distance"])
+
+    return against_all(v, held, f"node {kind}, distance double", block=block)
 
 
 def knee(distances: DataFrame, value: str = "distance", points: int = 256) -> DataFrame:

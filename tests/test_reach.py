@@ -84,3 +84,17 @@ def test_greedy_groups_equal_the_sequential_rule(spark, seed, edges):
     if several is not None:
         assert {r["leader"] for r in similarity.greedy_groups(df, nodes).collect()} == several
     assert similarity.greedy_groups(df.where("false"), nodes).count() == 0
+
+
+def test_neighbours_of_many_blocks_in_few_rows(spark):
+    """Each point goes once to each block, with nothing that grows with pairs of blocks; copies and non-finite vectors included."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(400, 8)), np.ones((100, 8)), np.ones((40, 8)) * (1 + 1e-9)])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, [float("nan")] * 8), (901, [float("inf")] * 8)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    found = reach.neighbour_distances(df, "id", "v", 3, 60)
+    got = {r["node"]: r["distance"] for r in found.collect()}
+    assert sorted(got) == list(range(540)) and np.allclose([got[i] for i in range(540)], np.sort(d, 1)[:, 2], rtol=1e-12, atol=0)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
