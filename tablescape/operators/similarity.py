@@ -1,4 +1,4 @@
-"""Similarity of vectors: pairs above a threshold by tiles, classes, and coherence of clusters in closed form."""
+"""Similarity of vectors: pairs above a threshold by blocks, classes, and coherence of clusters in closed form."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablescape.operators import blocks
 from tablescape.session import stage
 
 # Thresholds of the classes high, medium and low, and those of the lenient mode.
 STRICT, LENIENT = (0.85, 0.7, 0.5), (0.7, 0.5, 0.3)
+#: Pairs in a batch that leaves a task.
+SLICE = 1 << 16
 
 
 def similarity_class(similarity: Column, lenient: bool = False) -> Column:
@@ -25,32 +28,38 @@ def unit_vectors(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
     return v.select("id", F.transform("v", lambda x: x / F.col("n")).alias("u"))
 
 
-def similar_pairs(vectors: DataFrame, id_: str, vector: str, threshold: float, tile: int = 2048) -> DataFrame:
+def similar_pairs(vectors: DataFrame, id_: str, vector: str, threshold: float, tile: int | None = None) -> DataFrame:
     """(a, b, similarity), a < b: all pairs of a cosine similarity of ``threshold`` at least.
 
-    Vectors are packed in tiles; a pair of tiles is one row, multiplied in a
-    task, and gives its similar pairs only. Ids are longs. The work is
-    quadratic, its rows are not; for a bounded set of vectors such as those of
-    a catalog's tables.
+    A task holds a block of ``tile`` vectors while others pass by, two blocks
+    meeting once (``blocks.against_all``), and gives the similar pairs a slice
+    at a time. Ids are longs. The work is quadratic, its rows are not. Null and
+    zero vectors go.
     """
-    u = unit_vectors(vectors, id_, vector)
-    n = max(1, -(-u.count() // tile))
-    tiles = stage(u.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("t")).agg(F.collect_list(F.struct("id", "u")).alias("r")).select("t", F.col("r.id").alias("ids"), F.flatten("r.u").alias("us")), "tiles")
-    left = tiles.select(F.explode(F.sequence("t", F.lit(n - 1))).alias("t"), F.col("t").alias("ta"), F.col("ids").alias("ia"), F.col("us").alias("ua"))
-    pairs = left.join(tiles, "t").select("ta", "t", "ia", "ua", "ids", "us")
-
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ta, tb = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                ia, ua, ib, ub = (batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i in range(2, 6))
-                s = ua.reshape(len(ia), -1) @ ub.reshape(len(ib), -1).T
-                i, j = np.nonzero(s >= threshold)
-                keep = ia[i] < ib[j] if ta == tb else np.ones(len(i), bool)
-                i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[i], ib[j])), pa.array(np.maximum(ia[i], ib[j])), pa.array(s[i, j])], ["a", "b", "similarity"])
-
-    return pairs.mapInArrow(run, "a bigint, b bigint, similarity double")
+    v = F.col(vector) if vectors.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
+    v = vectors.select(F.col(id_).cast("long").alias("id"), v.alias("v"))
+    v = v.where("id IS NOT NULL AND aggregate(v, 0D, (a, x) -> a + double(x) * double(x)) > 0")
+
+    def units(batch):
+        x = blocks.vectors(batch, 1)
+        return batch.column(0).to_numpy(), x / np.sqrt((x * x).sum(1))[:, None]
+
+    def held(own, others):
+        ia, a = units(own)
+        for batch, is_own in others:
+            ib, b = units(batch)
+            for at in range(0, len(a), 256):
+                s = a[at : at + 256] @ b.T
+                found = np.flatnonzero(s >= threshold)
+                for cut in range(0, len(found), SLICE):
+                    i, j = np.divmod(found[cut : cut + SLICE], len(b))
+                    x, y, c = ia[at + i], ib[j], s[i, j]
+                    if is_own:
+                        keep = x < y
+                        x, y, c = x[keep], y[keep], c[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(c)], ["a", "b", "similarity"])
+
+    return blocks.against_all(v, held, "a bigint, b bigint, similarity double", half=True, block=tile)
 
 
 def _sums(vectors: DataFrame, cluster: str, vector: str) -> DataFrame:

@@ -98,3 +98,19 @@ def test_neighbours_of_many_blocks_in_few_rows(spark):
     got = {r["node"]: r["distance"] for r in found.collect()}
     assert sorted(got) == list(range(540)) and np.allclose([got[i] for i in range(540)], np.sort(d, 1)[:, 2], rtol=1e-12, atol=0)
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("tile", [30, 40, 70, 400])
+def test_similar_pairs_in_blocks(spark, tile):
+    """Every pair once for odd and even numbers of blocks; no row holds a block, so no join of blocks."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(170, 5)), np.ones((30, 5)), np.zeros((1, 5))])
+    rows = [(i * 3 - 100, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, [1.0, None, 1.0, 1.0, 1.0]), (901, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    u = x[:200] / np.linalg.norm(x[:200], axis=1)[:, None]
+    s = u @ u.T
+    want = {(i * 3 - 100, j * 3 - 100): s[i, j] for i in range(200) for j in range(i + 1, 200) if s[i, j] >= 0.3}
+    found = similarity.similar_pairs(df, "id", "v", 0.3, tile=tile)
+    got = [((r["a"], r["b"]), r["similarity"]) for r in found.collect()]
+    assert len(got) == len(want) and dict(got) == pytest.approx(want)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
