@@ -154,3 +154,13 @@ def test_agreement_and_modularity(spark):
     assert validation.graph_quality(e, two).first()["coverage"] == pytest.approx(6 / 7)
     r = {x["cluster"]: x for x in validation.community_report(e, two).collect()}
     assert r[0]["internal"] == 3 and r[0]["external"] == 1 and r[0]["conductance"] == pytest.approx(1 / 7)
+
+
+def test_degrees_hold_a_pair_once(spark):
+    """Both directions of a pair are one row before its ends are; null ends count as they did."""
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 1), (3, 3), (None, 2), (4, None), (1, 5)], "src long, dst long")
+    found = graph.degrees(edges)
+    got = {r["node"]: tuple(r)[1:] for r in found.collect()}
+    assert got == {1: (2, 2, 4, 2), 2: (2, 2, 4, 1), 3: (1, 1, 2, 0), 4: (0, 1, 1, 0), 5: (1, 0, 1, 1), None: (1, 1, 2, 0)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("HashAggregate")
