@@ -164,3 +164,22 @@ def test_degrees_hold_a_pair_once(spark):
     assert got == {1: (2, 2, 4, 2), 2: (2, 2, 4, 1), 3: (1, 1, 2, 0), 4: (0, 1, 1, 0), 5: (1, 0, 1, 1), None: (1, 1, 2, 0)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.rindex("HashAggregate")
+
+
+def test_pagerank_sends_lists(spark, monkeypatch):
+    """A source and its share go once a list of successors, of which a node of many edges has several."""
+    monkeypatch.setattr(graph, "LISTED", 8)
+    pairs = [(0, i) for i in range(1, 101)] + [(i, (i * 7) % 100 + 1) for i in range(1, 90)] + [(i, 0) for i in range(5, 50)] + [(0, 3)] * 4
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    rows = graph._listed(edges.groupBy("src", "dst").agg(F.count("*").alias("m")), edges.groupBy("src").agg(F.count("*").alias("share"))).collect()
+    assert sum(len(r["to"]) for r in rows) == len(set(pairs)) and 10 < sum(r["src"] == 0 for r in rows) <= 14 and sum(r["src"] == 7 for r in rows) <= 2
+    rank = {i: 1 / 101 for i in range(101)}
+    for _ in range(10):
+        new, out = dict.fromkeys(rank, 0.15 / 101), {}
+        for s, _t in pairs:
+            out[s] = out.get(s, 0) + 1
+        for s, t in pairs:
+            new[t] += 0.85 * rank[s] / out[s]
+        loose = sum(r for n, r in rank.items() if n not in out)
+        rank = {n: r + 0.85 * loose / 101 for n, r in new.items()}
+    assert {r["node"]: r["rank"] for r in graph.pagerank(edges, rounds=10, tolerance=0.0).collect()} == pytest.approx(rank)
