@@ -25,8 +25,10 @@ def pair_silhouette(pairs: DataFrame, membership: DataFrame) -> float:
     cluster, of which no node is scored. 0 without a node to score.
     """
     m = membership.select("node", "cluster")
-    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "distance").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "distance"))
-    far = both.join(m, "node").where("cluster IS NOT NULL").join(m.select(F.col("node").alias("other"), F.col("cluster").alias("to")), "other").groupBy("node", "cluster", "to").agg(F.avg("distance").alias("d"))
+    of = lambda end: m.select(F.col("node").alias(end), F.col("cluster").alias(f"of_{end}"))
+    placed = pairs.select("a", "b", "distance").join(of("a"), "a").join(of("b"), "b")
+    way = lambda a, b: F.struct(F.col(a).alias("node"), F.col(f"of_{a}").alias("cluster"), F.col(f"of_{b}").alias("to"))
+    far = placed.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e"), "distance").select("e.*", "distance").where("cluster IS NOT NULL").groupBy("node", "cluster", "to").agg(F.avg("distance").alias("d"))
     sides = far.groupBy("node").agg(F.min(F.when(F.col("cluster") == F.col("to"), F.col("d"))).alias("a"), F.min(F.when(~F.col("cluster").eqNullSafe(F.col("to")), F.col("d"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     s = F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
     return sides.agg(F.avg(s)).first()[0] or 0.0
@@ -37,15 +39,24 @@ def quality(pairs: DataFrame, edges: DataFrame, membership: DataFrame) -> dict:
     return {"modularity": validation.modularity(edges, placed).first()[0] or 0.0, "silhouette": pair_silhouette(pairs, membership)}
 
 
-def refined(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, level: str | None = None) -> tuple[DataFrame, dict]:
+def _at(level: str, pairs: DataFrame, edges: DataFrame, nodes: DataFrame, runs: dict[str, DataFrame] | None) -> DataFrame:
+    """Adaptive DBSCAN at ``level``, written; of ``runs`` where it is known, else kept there."""
+    runs = {} if runs is None else runs
+    if level not in runs:
+        runs[level] = stage(distances.adaptive_dbscan(pairs, edges, nodes, level), "resolution")
+    return runs[level]
+
+
+def refined(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, level: str | None = None, runs: dict[str, DataFrame] | None = None) -> tuple[DataFrame, dict]:
     """(node, cluster, role) of adaptive DBSCAN at ``level``, and {level, modularity, silhouette, tried}.
 
     With a modularity below ``LEAST_MODULARITY`` or a silhouette below
     ``LEAST_SILHOUETTE`` the other resolutions are tried as well, and the
-    greatest sum of both is kept, ties with the first.
+    greatest sum of both is kept, ties with the first. ``runs`` has runs of the
+    same pairs by level that are made already.
     """
     level = level or distances.resolution(nodes.count(), graph.density(edges, nodes).first()["density"])
-    run = lambda at: stage(distances.adaptive_dbscan(pairs, edges, nodes, at), "resolution")
+    run = lambda at: _at(at, pairs, edges, nodes, runs)
     best = run(level)
     found = {"level": level, **quality(pairs, edges, best), "tried": 1}
     if found["modularity"] < LEAST_MODULARITY or found["silhouette"] < LEAST_SILHOUETTE:
@@ -58,14 +69,13 @@ def refined(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, level: str | N
     return best, found
 
 
-def resolutions(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def resolutions(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, runs: dict[str, DataFrame] | None = None) -> DataFrame:
     """(node, cluster): nodes that share their cluster at all three resolutions; a cluster has its least node's name, nodes that are noise at one of them, or alone, have none."""
-    runs = None
+    levels = None
     for level in ("macro", "meso", "micro"):
-        got = distances.adaptive_dbscan(pairs, edges, nodes, level).select(F.lit(level).alias("algo"), "node", "cluster")
-        runs = got if runs is None else runs.unionByName(got)
-    runs = stage(runs, "resolutions")
-    sure = runs.groupBy("node").agg(F.count("cluster").alias("n"), F.array_sort(F.collect_list(F.struct("algo", "cluster"))).alias("of")).where("n = 3")  # three a node
+        got = _at(level, pairs, edges, nodes, runs).select(F.lit(level).alias("algo"), "node", "cluster")
+        levels = got if levels is None else levels.unionByName(got)
+    sure = levels.groupBy("node").agg(F.count("cluster").alias("n"), F.array_sort(F.collect_list(F.struct("algo", "cluster"))).alias("of")).where("n = 3")  # three a node
     named = sure.groupBy("of").agg(F.min("node").alias("cluster"), F.count("*").alias("n")).where("n > 1")
     return nodes.select("node").join(sure.join(named.drop("n"), "of").select("node", "cluster"), "node", "left")
 
@@ -132,8 +142,9 @@ def cascade(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, validate: Call
     settings. ``steps`` replaces steps by name.
     """
     validate = validate or structural_score(edges, nodes)
+    runs: dict[str, DataFrame] = {}  # three at most
     made = {
-        "multi_resolution": lambda: resolutions(pairs, edges, nodes), "adaptive": lambda: refined(pairs, edges, nodes, "meso")[0],
+        "multi_resolution": lambda: resolutions(pairs, edges, nodes, runs), "adaptive": lambda: refined(pairs, edges, nodes, "meso", runs)[0],
         "fallback": lambda: fallback(domains.fallback_for(**graph_shape(edges, nodes)), edges, nodes), "predicted": lambda: reach.searched(pairs, nodes)[0],
     } | (steps or {})
     tried: list[dict] = []

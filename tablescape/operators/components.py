@@ -2,12 +2,66 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescape.session import stage
 
 
+def spanning(links: DataFrame) -> DataFrame:
+    """Of (a, b, whole) the rows with ``whole``, and of the others those of a spanning forest of each partition, which links the same nodes.
+
+    What leaves a partition is less than its nodes, however many its links.
+    A batch is held against the forest at once; only links that join two of its
+    trees are walked one by one.
+    """
+
+    def run(batches):
+        names, root = None, np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, whole = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            own = np.flatnonzero(~whole.astype(bool))
+            kept = [np.flatnonzero(whole)]
+            if len(own):
+                met = np.unique(np.concatenate([a[own], b[own]]))
+                new = met if names is None else met[names[np.minimum(np.searchsorted(names, met), len(names) - 1)] != met]
+                if len(new):
+                    all_ = new if names is None else np.concatenate([names, new])
+                    order = np.argsort(all_, kind="stable")
+                    place = np.empty(len(order), np.int64)
+                    place[order] = np.arange(len(order))
+                    names, root = all_[order], place[np.concatenate([root, np.arange(len(root), len(all_))])][order]
+                x, y = root[np.searchsorted(names, a[own])], root[np.searchsorted(names, b[own])]
+                up: dict[int, int] = {}
+
+                def top(i):
+                    while i in up:
+                        up[i] = i = up.get(up[i], up[i])
+                    return i
+
+                joins = []
+                for at in np.flatnonzero(x != y).tolist():
+                    i, j = top(int(x[at])), top(int(y[at]))
+                    if i != j:
+                        up[i] = j
+                        joins.append(at)
+                if joins:
+                    ends = np.array(list(up), np.int64)
+                    to = np.arange(len(root))
+                    to[ends] = [top(i) for i in ends.tolist()]
+                    root = to[root]
+                    kept.append(own[joins])
+            rows = np.concatenate(kept)
+            if len(rows):
+                yield batch.take(pa.array(rows))
+
+    return links.select("a", "b", "whole").mapInArrow(run, links.select("a", "b", "whole").schema)
+
+
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

@@ -79,3 +79,25 @@ def test_fallbacks(spark):
     assert shape["components"] == 5 and shape["largest_share"] == pytest.approx(6 / 25)
     shared = cascade.resolutions(pairs, edges, nodes)
     assert shared.count() == 24 and set(shared.columns) == {"node", "cluster"}
+
+
+def test_runs_are_made_once(spark, monkeypatch):
+    pairs, edges, nodes = groups(spark)
+    made, run = [], cascade.distances.adaptive_dbscan
+    monkeypatch.setattr(cascade.distances, "adaptive_dbscan", lambda p, e, n, level: made.append(level) or run(p, e, n, level))
+    cascade.cascade(pairs, edges, nodes, validate=lambda m: (False, 0.0))
+    assert sorted(made) == ["macro", "meso", "micro"]
+
+
+def test_a_partition_gives_a_forest(spark):
+    from tablescape.operators.components import connected_components, spanning
+
+    links = spark.range(300).selectExpr("id AS a").crossJoin(spark.range(300).selectExpr("id AS b")).where("a < b AND a % 3 = b % 3").withColumn("whole", F.lit(False)).repartition(2)
+    extra = spark.createDataFrame([(1, 900, True), (2, 900, True)], "a long, b long, whole boolean")
+    got = spanning(links.unionByName(extra).coalesce(2))
+    assert got.where("NOT whole").count() <= 2 * 297 and got.where("whole").count() == 2
+    comps = connected_components(got.where("NOT whole"), "a", "b")
+    assert {tuple(r) for r in comps.collect()} == {(i, i % 3) for i in range(300)}
+    names = links.selectExpr("'n' || a AS a", "'n' || b AS b", "whole")
+    comps = connected_components(spanning(names), "a", "b")
+    assert comps.count() == 300 and comps.select("component").distinct().count() == 3
