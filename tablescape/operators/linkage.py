@@ -37,18 +37,19 @@ def average_linkage(distances: DataFrame, most: int | None = MOST_NODES, missing
 
     A round takes each cluster's nearest by an aggregate that is combined
     before the shuffle, merges those that are each other's, and sums the
-    distances between the new clusters. It is written, so a lost executor
-    costs a read. More than ``max_rounds`` rounds raise an error.
+    distances between the new clusters. Pairs that can never merge, as one of
+    their pairs is not listed or they are too large together, go at once. It is
+    written, so a lost executor costs a read. More than ``max_rounds`` rounds raise an error.
     """
     spark = distances.sparkSession
     pairs = distances.where("a IS NOT NULL AND b IS NOT NULL AND distance IS NOT NULL AND a <> b")
     e = stage(pairs.select("a", "b", F.col("distance").cast("double").alias("s"), F.lit(1).cast("bigint").alias("c"), F.xxhash64("a", "b").alias("key"), F.lit(1).cast("bigint").alias("na"), F.lit(1).cast("bigint").alias("nb")), "linkage")
-    merges = None
+    merges, full = None, F.col("na") * F.col("nb")
+    # neither is ever mended: what is missing or too large stays so in all that a cluster becomes part of
+    can = (F.lit(True) if most is None else F.col("na") + F.col("nb") <= most) & (F.col("c") == full if missing is None else F.lit(True))
     for at in range(max_rounds):
-        full = F.col("na") * F.col("nb")
         mean = F.col("s") / full if missing is None else (F.col("s") + missing * (full - F.col("c"))) / full
-        able = e.where(F.col("c") == full) if missing is None else e
-        able = able if most is None else able.where(F.col("na") + F.col("nb") <= most)
+        able = e.where(can)
         able = able.select("a", "b", mean.alias("height"), "key", (F.col("na") + F.col("nb")).alias("n"))
         both = able.select(F.explode(F.array("a", "b")).alias("node"), F.struct("height", "key", "a", "b", "n").alias("p"))
         nearest = both.groupBy("node").agg(F.min("p").alias("p"))
@@ -66,7 +67,7 @@ def average_linkage(distances: DataFrame, most: int | None = MOST_NODES, missing
         moved = renamed(renamed(e, "a"), "b").where("a <> b")
         swap = F.col("a") > F.col("b")
         moved = moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", "c", "key", F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"))
-        e = stage(moved.groupBy("a", "b").agg(F.sum("s").alias("s"), F.sum("c").alias("c"), F.min("key").alias("key"), F.max("na").alias("na"), F.max("nb").alias("nb")), "linkage")
+        e = stage(moved.groupBy("a", "b").agg(F.sum("s").alias("s"), F.sum("c").alias("c"), F.min("key").alias("key"), F.max("na").alias("na"), F.max("nb").alias("nb")).where(can), "linkage")
     else:
         raise RuntimeError(f"linkage did not end in {max_rounds} rounds")
     return merges if merges is not None else spark.createDataFrame([], found.schema)

@@ -101,3 +101,18 @@ def test_forced_and_empty(spark):
     assert linkage.agglomerated(edges, nodes, 5).select("cluster").distinct().count() == 5
     assert linkage.average_linkage(edges.where("false").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("distance"))).count() == 0
     assert linkage.agglomerated(edges.where("false"), nodes.where("false"), 3).count() == 0
+
+
+def test_pairs_that_cannot_merge_go(spark, monkeypatch):
+    """On a star only one pair merges; what is left of it is not written any more."""
+    written, stage = [], linkage.stage
+
+    def counted(df, label, *by):
+        out = stage(df, label, *by)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(linkage, "stage", counted)
+    pairs = spark.createDataFrame([(0, i, float(i)) for i in range(1, 30)], "a long, b long, distance double")
+    assert [(r["a"], r["b"], r["height"]) for r in linkage.average_linkage(pairs).collect()] == [(0, 1, 1.0)]
+    assert [n for label, n in written if label == "linkage"] == [29, 0]
