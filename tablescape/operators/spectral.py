@@ -1,14 +1,19 @@
 """Spectral clustering: the least eigenvectors of the normalised Laplacian by block power iteration on the edges, and k-means over the nodes' rows.
 
 The iteration keeps all blocks it has made (a block Krylov space) orthonormal.
-A step multiplies the last block by the graph, which is a join on the edges
-and a sum by node; what is dense by nodes (inner products, combinations of
-columns) runs with numpy over a task's rows and gives matrices of the number
-of columns, which the driver solves.
+Nodes lie in parts by ranges of their names; a block is a table of panels, a
+row a part with the entries of its nodes, written once in buckets by part, so
+blocks meet without a shuffle. The graph is packed once, a row for each two
+parts that edges join. A step multiplies the last block by it and shuffles one
+sum for each node and each part that it has neighbours in; what is dense by
+nodes (inner products, combinations of columns) runs with numpy over a task's
+panels and gives matrices of the number of columns, which the driver solves.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -19,52 +24,69 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from tablescape.operators.clustering import both_ways
-from tablescape.session import stage
+from tablescape.session import stage, stage_buckets
 
 #: Columns in a block beyond those asked for; blocks before a restart; norm of a residual that ends it.
 SPARE, BLOCKS, TOLERANCE = 3, 12, 1e-5
+#: Nodes in a part, more where there would be more than so many parts.
+PART, MOST_PARTS = 32_768, 200
+_PANEL = "part int, n int, x array<double>"
+
+
+def _list(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """One row that is the list of all of ``x``."""
+    return pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(np.ascontiguousarray(x).ravel(), kind))
+
+
+def _values(batch: pa.RecordBatch, name: str, at: int) -> np.ndarray:
+    return batch.column(name)[at].values.to_numpy(zero_copy_only=False)
+
+
+def _beside(groups: dict[str, list[DataFrame]]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """(part, n, a column a block): the blocks of all groups, and the columns of each group."""
+    out, names = None, {}
+    for g, blocks in groups.items():
+        names[g] = [f"{g}_{i}" for i in range(len(blocks))]
+        for c, block in zip(names[g], blocks):
+            out = block.select("part", "n", F.col("x").alias(c)) if out is None else out.join(block.select("part", F.col("x").alias(c)), "part")
+    return out, names
 
 
-def _rows(batch: pa.RecordBatch, at: int) -> np.ndarray:
-    c = batch.column(at)
-    return c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+def _matrices(batch: pa.RecordBatch, at: int, names: dict[str, list[str]]) -> dict[str, np.ndarray]:
+    n = batch.column("n")[at].as_py()
+    return {g: np.hstack([_values(batch, c, at).reshape(n, -1) for c in cols]) for g, cols in names.items()}
 
 
-def _products(df: DataFrame, pairs: list[tuple[str, str]]) -> list[np.ndarray]:
-    """The matrix a'b over all nodes for each pair of array columns; a task gives one row a pair, and those are summed."""
-    cols = sorted({c for p in pairs for c in p})
-    schema = "pair int, m array<double>"
+def _products(f, **groups: list[DataFrame]) -> list[np.ndarray]:
+    """The sum over all parts of each matrix that ``f`` makes of a part's groups; a task gives one row a matrix, and those are summed."""
+    df, names = _beside(groups)
 
     def run(batches):
         total = None
         for batch in batches:
-            x = {c: _rows(batch, i) for i, c in enumerate(cols)}
-            part = [x[a].T @ x[b] for a, b in pairs]
-            total = part if total is None else [t + p for t, p in zip(total, part)]
+            for at in range(batch.num_rows):
+                made = f(**_matrices(batch, at, names))
+                total = made if total is None else [t + m for t, m in zip(total, made)]
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pairs)), pa.int32()), pa.array([t.ravel().tolist() for t in total], pa.list_(pa.float64()))], ["pair", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([t.shape[1] for t in total], pa.int32()), pa.array([t.ravel().tolist() for t in total], pa.list_(pa.float64()))], ["pair", "width", "m"])
 
-    cells = df.select(*cols).mapInArrow(run, schema).select("pair", F.posexplode("m").alias("i", "v")).groupBy("pair", "i").agg(F.sum("v").alias("v"))
-    flat = {(r["pair"], r["i"]): r["v"] for r in cells.collect()}  # squares of the number of columns
-    size = {c: n for c, n in zip(cols, df.select(*[F.size(c).alias(c) for c in cols]).first() or [0] * len(cols))}
-    return [np.array([flat[p, i] for i in range(size[a] * size[b])]).reshape(size[a], size[b]) for p, (a, b) in enumerate(pairs)]
+    cells = df.mapInArrow(run, "pair int, width int, m array<double>").select("pair", "width", F.posexplode("m").alias("i", "v")).groupBy("pair", "width", "i").agg(F.sum("v").alias("v"))
+    found: dict[int, list] = {}
+    for r in cells.collect():  # squares of the number of columns
+        found.setdefault(r["pair"], []).append(r)
+    return [np.array([r["v"] for r in sorted(rows, key=lambda r: r["i"])]).reshape(-1, rows[0]["width"]) for _, rows in sorted(found.items())]
 
 
-def _combined(df: DataFrame, **made) -> DataFrame:
-    """``df`` with array columns made of others, by a function of the task's matrices: made[name] = (columns, function)."""
-    names = list(df.columns)
-    schema = T.StructType([*(f for f in df.schema if f.name not in made), *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in made)])
-    wanted = to_arrow_schema(schema)
-    keep = [i for i, n in enumerate(names) if n not in made]
+def _combined(f, buckets: int, **groups: list[DataFrame]) -> DataFrame:
+    """The block that ``f`` makes of a part's groups."""
+    df, names = _beside(groups)
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                out = [f(*(_rows(batch, names.index(c)) for c in cols)) for cols, f in made.values()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *(pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x in out)], schema=wanted)
+            for at in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([batch.column("part").slice(at, 1), batch.column("n").slice(at, 1), _list(f(**_matrices(batch, at, names)), pa.float64())], ["part", "n", "x"])
 
-    return df.mapInArrow(run, schema)
+    return stage_buckets(df.mapInArrow(run, _PANEL), "spectral", "part", buckets)
 
 
 def _orthonormal(gram: np.ndarray, least: float = 1e-10) -> np.ndarray:
@@ -74,14 +96,60 @@ def _orthonormal(gram: np.ndarray, least: float = 1e-10) -> np.ndarray:
     return vector[:, keep] / np.sqrt(value[keep])
 
 
-def _multiplied(edges: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, y): the graph times the block ``x`` of ``nodes``."""
-    x = nodes.select(F.col("node").alias("other"), *[F.element_at("x", i + 1).alias(f"x{i}") for i in range(width)])
-    sums = edges.join(x, "other").groupBy("node").agg(*[F.sum(F.col("w") * F.col(f"x{i}")).alias(f"y{i}") for i in range(width)])
-    return sums.select("node", F.array(*[f"y{i}" for i in range(width)]).alias("y"))
+def _packed(pairs: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
+    """The normalised matrix of (a, b, weight): a row for each two parts with edges, (part, to, size, ids, starts, j, w).
+
+    ``ids`` are the places in the part ``to``, of ``size`` nodes, that have
+    neighbours in ``part``; those of the one at ``at`` are ``j[starts[at]:starts[at + 1]]``.
+    """
+    end = lambda c: places.select(F.col("node").alias(c), F.col("part").alias(f"part_{c}"), F.col("pos").alias(f"pos_{c}"), F.col("n").alias(f"n_{c}"), F.sqrt("d").alias(f"root_{c}"))
+    e = pairs.join(end("a"), "a").select("b", "part_a", "pos_a", "n_a", (F.col("weight") / F.col("root_a")).alias("w"))
+    e = e.join(end("b"), "b").select("part_a", "part_b", "pos_a", "pos_b", "n_a", "n_b", (F.col("w") / F.col("root_b")).alias("w"))
+    schema = "part int, to int, size int, ids array<int>, starts array<int>, j array<int>, w array<double>"
+    ints = [("part", pa.int32()), ("to", pa.int32()), ("size", pa.int32())]
+
+    def row(part, to, size, i, j, w):
+        order = np.lexsort((j, i))
+        ids, starts = np.unique(i[order], return_index=True)
+        lists = [_list(ids, pa.int32()), _list(starts, pa.int32()), _list(j[order], pa.int32()), _list(w[order], pa.float64())]
+        return pa.Table.from_arrays([*(pa.array([v], t) for v, (_, t) in zip((part, to, size), ints)), *lists], [*(n for n, _ in ints), "ids", "starts", "j", "w"])
+
+    def pack(key, edges):
+        a, b = (k.as_py() for k in key)
+        i, j, w = (edges.column(c).to_numpy() for c in ("pos_a", "pos_b", "w"))
+        n_a, n_b = edges.column("n_a")[0].as_py(), edges.column("n_b")[0].as_py()
+        if a == b:
+            return row(a, a, n_a, np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([w, w]))
+        return pa.concat_tables([row(b, a, n_a, i, j, w), row(a, b, n_b, j, i, w)])
+
+    return stage_buckets(e.groupBy("part_a", "part_b").applyInArrow(pack, schema), "spectral-matrix", "part", buckets)
 
 
-def spectral_embedding(edges: DataFrame, k: int, spare: int = SPARE, blocks: int = BLOCKS, tolerance: float = TOLERANCE, most_restarts: int = 20, seed: int = 1) -> tuple[DataFrame, list[float]]:
+def _multiplied(matrix: DataFrame, block: DataFrame, width: int, buckets: int) -> DataFrame:
+    """The graph times ``block``."""
+    names = ["part", "n", "ids", "x"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ids, starts, j, w = (_values(batch, c, at) for c in ("ids", "starts", "j", "w"))
+                x = _values(batch, "x", at).reshape(-1, width)
+                y = np.stack([np.add.reduceat(w * x[j, c], starts) for c in range(width)], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("to").slice(at, 1), batch.column("size").slice(at, 1), _list(ids, pa.int32()), _list(y, pa.float64())], names)
+
+    def total(group):
+        n = group.column("n")[0].as_py()
+        y = np.zeros((n, width))
+        for batch in group.to_batches():
+            for at in range(batch.num_rows):
+                y[_values(batch, "ids", at)] += _values(batch, "x", at).reshape(-1, width)
+        return pa.Table.from_arrays([group.column("part").combine_chunks().slice(0, 1), pa.array([n], pa.int32()), _list(y, pa.float64())], ["part", "n", "x"])
+
+    parts = matrix.join(block.select("part", "x"), "part").mapInArrow(run, "part int, n int, ids array<int>, x array<double>")
+    return stage_buckets(parts.groupBy("part").applyInArrow(total, _PANEL), "spectral", "part", buckets)
+
+
+def spectral_embedding(edges: DataFrame, k: int, spare: int = SPARE, blocks: int = BLOCKS, tolerance: float = TOLERANCE, most_restarts: int = 20, seed: int = 1, part: int = PART) -> tuple[DataFrame, list[float]]:
     """(node, u) and the ``k`` least eigenvalues of the normalised Laplacian I - D^-1/2 W D^-1/2, ascending; ``u`` has the node's entries of their eigenvectors.
 
     Of (src, dst, weight): undirected, the greatest weight of parallels,
@@ -90,39 +158,45 @@ def spectral_embedding(edges: DataFrame, k: int, spare: int = SPARE, blocks: int
     norm r leaves an eigenvalue within r of the true one, and within r squared
     over its gap.
     """
-    near = stage(both_ways(edges.where("weight > 0")), "spectral-edges")
-    degree = stage(near.groupBy("node").agg(F.sum("weight").alias("d")), "spectral-degrees")
+    pairs = edges.where("weight > 0").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("weight").alias("weight")).where("a <> b")
+    pairs = stage(pairs, "spectral-edges")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "weight")
+    degree = stage(ends.groupBy("node").agg(F.sum("weight").alias("d")), "spectral-degrees")
     n = degree.count()
-    empty = edges.sparkSession.createDataFrame([], T.StructType([near.schema["node"], T.StructField("u", T.ArrayType(T.DoubleType()))]))
+    empty = edges.sparkSession.createDataFrame([], T.StructType([degree.schema["node"], T.StructField("u", T.ArrayType(T.DoubleType()))]))
     if not n:
         return empty, []
-    w = near.join(degree, "node").join(degree.select(F.col("node").alias("other"), F.col("d").alias("do")), "other").select("node", "other", (F.col("weight") / F.sqrt(F.col("d") * F.col("do"))).alias("w"))
-    w, k = stage(w, "spectral-matrix"), min(k, n)
+    buckets = min(MOST_PARTS, math.ceil(n / part))
+    # where names and neighbours go together, a node's neighbours lie in few parts
+    ranged = stage(degree.repartitionByRange(buckets, "node").select("*", F.spark_partition_id().alias("part")), "spectral-ranges")
+    place = Window.partitionBy("part")
+    places = stage(ranged.select("*", (F.row_number().over(place.orderBy("node")) - 1).alias("pos"), F.count("*").over(place).cast("int").alias("n")), "spectral-places")
+    w, k = _packed(pairs, places, buckets), min(k, n)
     width = min(k + spare, n)
     noise = [F.xxhash64("node", F.lit(seed * 1000 + i)).cast("double") / 2.0**63 for i in range(1, width)]
     # the first column is the eigenvector of a connected graph
-    state = stage(degree.select("node", F.array(F.sqrt("d"), *noise).alias("x")), "spectral")
-    r = _orthonormal(_products(state, [("x", "x")])[0])
-    state = stage(_combined(state, x=(["x"], lambda x: x @ r)).withColumn("b", F.col("x")), "spectral")
+    rows = places.groupBy("part").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "node", F.array(F.sqrt("d"), *noise).alias("x")))).alias("rows"))
+    rows = stage_buckets(rows.select("part", "n", F.col("rows.node").alias("nodes"), F.flatten("rows.x").alias("x")), "spectral-nodes", "part", buckets)
+    r = _orthonormal(_products(lambda x: [x.T @ x], x=[rows])[0])
+    b, a, width = [_combined(lambda x: x @ r, buckets, x=[rows])], [], r.shape[1]  # the space and its image, by blocks
     have = 0  # columns of b of which the image is in a
     for restart in range(most_restarts):
         for step in range(blocks):
-            width = len(state.select("x").first()["x"])
-            grown = state.join(_multiplied(w, state, width), "node", "left").withColumn("y", F.coalesce("y", F.array_repeat(F.lit(0.0), width)))
-            state = stage(grown.withColumn("a", F.concat("a", "y") if have else F.col("y")).drop("x"), "spectral")
+            y = _multiplied(w, b[-1], width, buckets)
+            a.append(y)
             have += width
             if step == blocks - 1 or have >= n:
                 break
             # the new block: what the image adds to the space, made orthogonal twice
-            c = _products(state, [("b", "y")])[0]
-            state = stage(_combined(state, x=(["b", "y"], lambda b, y, c=c: y - b @ c)).drop("y"), "spectral")
-            c, gram = _products(state, [("b", "x"), ("x", "x")])
-            gram = gram - c.T @ c
+            c = _products(lambda b, y: [b.T @ y], b=b, y=[y])[0]
+            once = lambda b, y, c=c: y - b @ c
+            c2, gram = _products(lambda b, y: [b.T @ once(b, y), once(b, y).T @ once(b, y)], b=b, y=[y])
+            gram = gram - c2.T @ c2
             r = _orthonormal(gram)
             if not r.shape[1] or gram.max() < 1e-24:
                 break
-            state = stage(_combined(state, x=(["b", "x"], lambda b, x, c=c, r=r: (x - b @ c) @ r)).withColumn("b", F.concat("b", "x")), "spectral")
-        t, aa, bb = _products(state, [("b", "a"), ("a", "a"), ("b", "b")])
+            b, width = [*b, _combined(lambda b, y, c=c2, r=r: (once(b, y) - b @ c) @ r, buckets, b=b, y=[y])], r.shape[1]
+        t, aa, bb = _products(lambda b, a: [b.T @ a, a.T @ a, b.T @ b], b=b, a=a)
         # the basis is orthonormal but for rounding, which is taken out here
         root = _orthonormal(bb)
         value, s = np.linalg.eigh(root.T @ ((t + t.T) / 2) @ root)
@@ -135,16 +209,26 @@ def spectral_embedding(edges: DataFrame, k: int, spare: int = SPARE, blocks: int
         # go on from the best vectors and from what they miss
         keep = min(k + spare, len(value))
         best, val = s[:, :keep], value[:keep]
-        state = stage(_combined(state.select("node", "b", "a"), z=(["b", "a"], lambda b, a, best=best, val=val: (a @ best) - (b @ best) * val), nb=(["b"], lambda b, best=best: b @ best), na=(["a"], lambda a, best=best: a @ best)).select("node", F.col("nb").alias("b"), F.col("na").alias("a"), F.col("z").alias("x")), "spectral")
-        c, gram = _products(state, [("b", "x"), ("x", "x")])
+        missed = lambda b, a, best=best, val=val: (a @ best) - (b @ best) * val
+        c, gram = _products(lambda b, a: [(b @ best).T @ missed(b, a), missed(b, a).T @ missed(b, a)], b=b, a=a)
         r = _orthonormal(gram - c.T @ c)
-        have = keep
-        state = stage(_combined(state, x=(["b", "x"], lambda b, x, c=c, r=r: (x - b @ c) @ r)).withColumn("b", F.concat("b", "x")), "spectral")
+        have, width = keep, r.shape[1]
+        new = _combined(lambda b, a: (missed(b, a) - (b @ best) @ c) @ r, buckets, b=b, a=a)
+        b, a = [_combined(lambda b: b @ best, buckets, b=b), new], [_combined(lambda a: a @ best, buckets, a=a)]
     else:
         raise RuntimeError(f"eigenvectors did not settle in {most_restarts} restarts: residuals {residual}")
     best = s[:, :top]
-    u = _combined(state.select("node", "b"), u=(["b"], lambda b: b @ best)).select("node", "u")
-    return stage(u, "eigenvectors"), [float(1 - v) for v in value[:top]]
+    df, names = _beside({"b": b})
+    schema = T.StructType([degree.schema["node"], T.StructField("u", T.ArrayType(T.DoubleType()))])
+    wanted = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                u, nodes = _matrices(batch, at, names)["b"] @ best, batch.column("nodes")[at].values
+                yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(pa.array(np.arange(0, u.size + 1, top), pa.int32()), pa.array(np.ascontiguousarray(u).ravel()))], schema=wanted)
+
+    return stage(df.join(rows.select("part", "nodes"), "part").mapInArrow(run, schema), "eigenvectors"), [float(1 - v) for v in value[:top]]
 
 
 def spectral_clusters(edges: DataFrame, k: int, seed: int = 1, unit: bool = True, **how) -> DataFrame:

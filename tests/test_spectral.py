@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tablescape.operators import spectral
+from tablescape.session import stage_buckets
 
 
 def planted(rng, sizes, inside, across):
@@ -57,3 +58,23 @@ def test_planted_clusters(spark):
     assert len(pairs) == 3 and len(got) == 100  # equal up to names
     assert spectral.spectral_clusters(df.where("false"), 3).count() == 0
     assert spectral.spectral_clusters(df.limit(1), 3).count() == 2
+
+
+def test_many_parts(spark):
+    """Nodes in many parts, edges within and across: the same eigenpairs; the blocks meet without a shuffle."""
+    rng = np.random.default_rng(9)
+    _, edges = planted(rng, [40, 30], 0.2, 0.02)
+    df = spark.createDataFrame(edges, "src string, dst string, weight double")
+    u, values = spectral.spectral_embedding(df, 3, part=9)
+    lap, names = laplacian(edges)
+    rows = {r["node"]: r["u"] for r in u.collect()}
+    x = np.array([rows[v] for v in names])
+    assert len(rows) == len(names) and np.allclose(values, np.linalg.eigvalsh(lap)[:3], atol=1e-6)
+    assert np.allclose(x.T @ x, np.eye(3), atol=1e-8) and np.abs(lap @ x - x * np.array(values)).max() < 1e-4
+
+
+def test_blocks_meet_without_a_shuffle(spark):
+    blocks = [stage_buckets(spark.range(8).selectExpr("cast(id as int) part", "1 n", f"array({i}d) x"), "block", "part", 4) for i in range(3)]
+    df, names = spectral._beside({"b": [b.hint("merge") for b in blocks]})
+    assert sorted(tuple(r) for r in df.collect()) == [(i, 1, [0.0], [1.0], [2.0]) for i in range(8)] and names == {"b": ["b_0", "b_1", "b_2"]}
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
