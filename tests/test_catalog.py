@@ -159,3 +159,21 @@ def test_match_names_and_sinks(spark, tmp_path):
     sinks.replace_project(spark.range(5), path, "p2")
     sinks.replace_project(spark.range(1), path, "p1")
     assert sinks.read_project(spark, path, "p1").count() == 1 and sinks.read_project(spark, path, "p2").count() == 5
+
+
+def test_a_diagram_is_read_where_it_lies(spark):
+    """No shuffle and no order of lines: a body is read in one pass; comments, open blocks, carriage returns and relationships before their tables."""
+    body = "erDiagram\r\n    b }o--|| a : \"FK x\"\n    a {\n        id int PK %% PK FK\n        x varchar FK\n    b {\n        c--d int\n    }\n    c }o--|| a : \"FK x\"\n\n%% a }o--|| b"
+    got = mermaid.parse(spark.createDataFrame([("d", body), ("e", None), ("f", "")], "diagram string, body string"))
+    assert sorted(tuple(r) for r in got["columns"].collect()) == [("d", "a", 3, "id", "int", True, False), ("d", "a", 4, "x", "varchar", False, True), ("d", "b", 6, "c--d", "int", False, False)]
+    assert [tuple(r) for r in got["relationships"].collect()] == [("d", "b", "x", "a", None, "many-to-one")]
+    for name in ("columns", "relationships"):
+        assert "Exchange" not in got[name]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_of_one_place_and_ghosts_once(spark):
+    columns = spark.createDataFrame([("t", 1, "x", "b!", False, True), ("t", 1, "x", "a?", True, False), ("t", None, "w", None, False, False)], "table_name string, ordinal int, column_name string, column_type string, is_pk boolean, is_fk boolean")
+    rels = spark.createDataFrame([("t", "x", "g"), ("t", "w", "g"), ("u", "x", "g")], "source_table string, source_column string, target_table string")
+    out = mermaid.render(columns, rels, spark.createDataFrame([("t", "d"), ("u", "d")], "table_name string, domain string")).collect()
+    lines = ["erDiagram", "    t {", "        x a_ PK", "        x b_ FK", "    }", "    u {", "        id int PK", "    }", "    g {", "        id int PK", "    }", '    t }o--|| g : "FK w"', '    u }o--|| g : "FK x"', "    class g ghost"]
+    assert [tuple(r) for r in out] == [("d", "\n".join(lines))]
