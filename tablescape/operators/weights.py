@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescape.functions.vectors import distribution_cosine, jaccard
-from tablescape.operators.patterns import has, type_distribution
+from tablescape.operators.patterns import has
+from tablescape.session import stage_buckets
 
 STRUCTURAL, TOPOLOGICAL, CONSTRAINT, SIMILARITY = 0.4, 0.3, 0.2, 0.1
 
@@ -52,22 +53,27 @@ def final_weight(method: str = "additive", threshold: float = 0.3, conservative:
 
 def weighted(rels: DataFrame, columns: DataFrame, similarities: DataFrame | None = None, method: str = "additive", threshold: float = 0.3, conservative: bool = True) -> DataFrame:
     """``rels`` with the five weights, ``name_factor`` and ``w_final`` (held to 0.1 to 1). ``similarities``: (source_table, target_table, similarity)."""
-    col = columns.select("table_name", "column_name", "column_type", "is_pk", "is_fk", "is_unique", "is_nullable")
-    side = lambda p: col.select(*[F.col(c).alias(f"{p}_{c}") for c in col.columns])
-    per = columns.groupBy("table_name").agg(
-        F.count("*").alias("n"), F.array_distinct(F.collect_list(F.lower("column_name"))).alias("names"),
-        F.map_from_arrays(F.array(*map(F.lit, ["pk", "fk", "unique", "nullable"])), F.array(*[F.avg(F.col(c).cast("double")) for c in ("is_pk", "is_fk", "is_unique", "is_nullable")])).alias("constraints"),
-    ).join(type_distribution(columns), "table_name")
-    of = lambda p: per.select(*[F.col(c).alias(f"{p}_{c}") for c in per.columns])
+    # a row a table holds all that a relationship asks of it, so each end is one join; what the source's columns say is read before the row goes on to the target
     deg = rels.select(F.explode(F.array("source_table", "target_table")).alias("t")).groupBy("t").agg(F.count("*").alias("d"))
     most = deg.agg(F.max("d").alias("most"))
-    r = (
-        rels.join(side("sc"), (F.col("source_table") == F.col("sc_table_name")) & (F.col("source_column") == F.col("sc_column_name")), "left")
-        .join(side("tc"), (F.col("target_table") == F.col("tc_table_name")) & (F.col("target_column") == F.col("tc_column_name")), "left")
-        .join(of("st"), F.col("source_table") == F.col("st_table_name")).join(of("tt"), F.col("target_table") == F.col("tt_table_name"))
-        .join(deg.select(F.col("t").alias("source_table"), F.col("d").alias("sd")), "source_table").join(deg.select(F.col("t").alias("target_table"), F.col("d").alias("td")), "target_table")
-        .crossJoin(F.broadcast(most))  # one row
-    )
+    flags = ["column_type", "is_pk", "is_fk", "is_unique", "is_nullable"]
+    per = columns.groupBy("table_name").agg(
+        F.count("*").alias("n"), F.collect_list(F.struct("column_name", "type_class", *flags)).alias("cols"),
+        F.map_from_arrays(F.array(*map(F.lit, ["pk", "fk", "unique", "nullable"])), F.array(*[F.avg(F.col(c).cast("double")) for c in ("is_pk", "is_fk", "is_unique", "is_nullable")])).alias("constraints"),
+    ).join(deg.withColumnRenamed("t", "table_name"), "table_name")
+    kinds = F.transform("cols", lambda c: c["type_class"])
+    shares = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)) / F.col("n"))))
+    per = per.withColumns({"names": F.array_distinct(F.transform("cols", lambda c: F.lower(c["column_name"]))), "shares": shares})
+    # in as many buckets as a shuffle has partitions, so a task writes one and both joins shuffle relationships only
+    per = stage_buckets(per, "weights-tables", "table_name", int(columns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def placed(r: DataFrame, end: str, p: str) -> DataFrame:
+        t = per.select(F.col("table_name").alias(f"{end}_table"), *[F.col(c).alias(f"{p}t_{c}") for c in ("n", "names", "constraints", "shares")], F.col("d").alias(f"{p}d"), "cols")
+        j = r.join(t, f"{end}_table")
+        found = F.explode_outer(F.filter("cols", lambda c: c["column_name"] == F.col(f"{end}_column"))).alias("c")
+        return j.select(*[c for c in j.columns if c != "cols"], found).select("*", *[F.col(f"c.{c}").alias(f"{p}c_{c}") for c in flags]).drop("c")
+
+    r = placed(placed(rels, "source", "s"), "target", "t").crossJoin(F.broadcast(most))  # one row
     if similarities is not None:
         r = r.join(similarities.select("source_table", "target_table", "similarity"), ["source_table", "target_table"], "left")
     else:

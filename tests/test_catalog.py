@@ -177,3 +177,14 @@ def test_columns_of_one_place_and_ghosts_once(spark):
     out = mermaid.render(columns, rels, spark.createDataFrame([("t", "d"), ("u", "d")], "table_name string, domain string")).collect()
     lines = ["erDiagram", "    t {", "        x a_ PK", "        x b_ FK", "    }", "    u {", "        id int PK", "    }", "    g {", "        id int PK", "    }", '    t }o--|| g : "FK w"', '    u }o--|| g : "FK x"', "    class g ghost"]
     assert [tuple(r) for r in out] == [("d", "\n".join(lines))]
+
+
+def test_weights_join_an_end_once(spark):
+    """Columns of one name multiply a relationship, one without a column stays; an end is one join, not one a question."""
+    c = spark.createDataFrame([("a", "x", "int", "integer", False, True, False, True), ("a", "x", "int", "integer", True, True, False, False), ("b", "id", "int", "integer", True, False, True, False)], "table_name string, column_name string, column_type string, type_class string, is_pk boolean, is_fk boolean, is_unique boolean, is_nullable boolean")
+    r = spark.createDataFrame([("a", "x", "b", "id", False), ("a", "none", "b", None, True), ("a", "x", "gone", "id", True)], "source_table string, source_column string, target_table string, target_column string, nullable boolean")
+    w = weights.weighted(r, c)
+    got = sorted((x["source_column"], round(x["w_structural"], 6), round(x["w_constraint"], 6), round(x["w_similarity"], 6)) for x in w.collect())
+    alike = 0.3 * 0.5 + 0.3 + 0.2 * (0.5 / (1.5**0.5 * 2**0.5))
+    assert got == [("none", 0.5, 0.5, round(alike, 6)), ("x", 1.0, 0.85, round(alike, 6)), ("x", 1.0, 1.0, round(alike, 6))]
+    assert w._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3  # two ends and the greatest degree
