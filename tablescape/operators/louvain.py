@@ -6,19 +6,147 @@ that share no cluster add up; two moves out of one cluster, or into one, lose
 at most the product of their degrees over twice the squared total weight. A
 move is made if its gain is above that loss against all moves that are tried
 before it in its two clusters, so the sum of what is made is a true gain.
+
+Nodes lie in parts by ranges of their names. A level's edges are packed once, a
+row a part, in buckets by part; a round shuffles rows by nodes, and the cluster
+of a node once for each part that it has neighbours in, but no edges.
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tablescape.operators.clustering import best
-from tablescape.session import stage
+from tablescape.session import stage, stage_buckets
 
 #: Steps of gain by degree, and parts of a step, in which moves of a cluster are tried: a window holds so many rows at most.
 STEPS, PARTS = 64, 16
+#: Ends of edges in a part of the graph, on average, and the most buckets that parts are written in.
+PART_ENDS, MOST_BUCKETS = 1 << 18, 200
+
+
+class Packed(NamedTuple):
+    """A graph in parts: ``places`` (node, part, pos); ``graph``, a row a part; ``sends`` (part, to, ids), the places of a part that have neighbours in the part ``to``."""
+
+    places: DataFrame
+    graph: DataFrame
+    sends: DataFrame
+
+
+def _bytes(x: np.ndarray) -> pa.Array:
+    """One row that is the bytes of ``x``."""
+    return pa.array([x.tobytes()], pa.binary())
+
+
+def _numbers(table: pa.Table, name: str, at: int, kind) -> np.ndarray:
+    return np.frombuffer(table.column(name)[at].as_buffer(), kind)
+
+
+def _packed(pairs: DataFrame, nodes: DataFrame) -> Packed:
+    """Of (a, b, w), each unordered pair of different nodes once, and all ``nodes``.
+
+    A row of ``graph`` has an edge's end in the part in ``pos``, its weight in
+    ``w``, and in ``j`` the place of its other end in ``halo``: the part (times
+    2^32) and place of every neighbour, ascending.
+    """
+    parts = max(1, min(math.ceil(2 * pairs.count() / PART_ENDS), nodes.count()))
+    ranged = stage(nodes.select("node").repartitionByRange(parts, "node").select("node", F.spark_partition_id().alias("part")), "ranges")
+    places = stage(ranged.select("node", "part", (F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1).alias("pos")), "places")
+    end = lambda c: places.select(F.col("node").alias(c), F.struct("part", "pos").alias(f"at_{c}"))
+    e = pairs.join(end("a"), "a").select("b", "at_a", "w").join(end("b"), "b")
+    way = lambda x, y: F.struct(F.col(f"at_{x}").alias("x"), F.col(f"at_{y}").alias("y"))
+    e = e.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e"), "w").select("e.x.part", "e.x.pos", F.col("e.y.part").alias("part_y"), F.col("e.y.pos").alias("pos_y"), "w")
+
+    def pack(key, edges):
+        pos, part_y, pos_y, w = (edges.column(c).to_numpy() for c in ("pos", "part_y", "pos_y", "w"))
+        halo, j = np.unique((part_y.astype(np.int64) << 32) | pos_y, return_inverse=True)
+        order = np.lexsort((j, pos))
+        columns = [pos[order].astype(np.int32), j[order].astype(np.int32), w[order].astype(np.float64), halo]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), *map(_bytes, columns)], ["part", "pos", "j", "w", "halo"])
+
+    def wanted(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                halo, to = np.frombuffer(batch.column("halo")[at].as_buffer(), np.int64), batch.column("part")[at].as_py()
+                for part, ids in zip(*_runs(halo)):
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([to], pa.int32()), _bytes(ids)], ["part", "to", "ids"])
+
+    def _runs(halo):
+        part, first = np.unique(halo >> 32, return_index=True)
+        return part, np.split((halo & 0xFFFFFFFF).astype(np.int32), first[1:])
+
+    buckets = min(parts, MOST_BUCKETS)
+    graph = stage_buckets(e.groupBy("part").applyInArrow(pack, "part int, pos binary, j binary, w binary, halo binary"), "packed", "part", buckets)
+    sends = stage_buckets(graph.select("part", "halo").mapInArrow(wanted, "part int, to int, ids binary"), "sends", "part", buckets)
+    return Packed(places, graph.drop("halo"), sends)
+
+
+def _sent(placed: DataFrame, sends: DataFrame) -> DataFrame:
+    """The nodes of each part (``at`` null), and the clusters of their neighbours in the part ``at``."""
+    name = T.ArrayType(placed.schema["node"].dataType)
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("nodes", name), T.StructField("clusters", name), *[T.StructField(c, T.BinaryType()) for c in ("k", "all", "gives")]])
+
+    def run(key, nodes, wanted):
+        nodes = nodes.sort_by("pos").combine_chunks()
+        name, cluster = (nodes.column(c).combine_chunks() for c in ("node", "cluster"))
+        k, total, gives = (nodes.column(c).to_numpy() for c in ("k", "all", "gives"))
+        listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        row = lambda to, at, who, *rest: pa.Table.from_arrays([pa.array([to], pa.int32()), pa.array([at], pa.int32()), *map(listed, who), *map(_bytes, rest)], schema.names)
+        part = key[0].as_py()
+        rows = [row(part, None, (name, cluster), k, total, gives)]
+        for at in range(wanted.num_rows):
+            ids = _numbers(wanted, "ids", at, np.int32)
+            rows.append(row(wanted.column("to")[at].as_py(), part, (name.slice(0, 0), cluster.take(pa.array(ids))), k[:0], total[ids], gives[ids]))
+        return pa.concat_tables(rows)
+
+    return placed.groupBy("part").cogroup(sends.groupBy("part")).applyInArrow(run, schema)
+
+
+def _best_moves(sent: DataFrame, graph: DataFrame, m: float) -> DataFrame:
+    """(node, to, from, k, gain): a giver's node and the taker next to it of the greatest gain, ties to the least name."""
+    name = sent.schema["nodes"].dataType.elementType
+    schema = T.StructType([*[T.StructField(c, name) for c in ("node", "to", "from")], T.StructField("k", T.DoubleType()), T.StructField("gain", T.DoubleType())])
+
+    def run(key, sent, graph):
+        order = pc.sort_indices(sent, sort_keys=[("at", "ascending")], null_placement="at_start")
+        sent = sent.take(order)
+        nodes, k = sent.column("nodes")[0].values, _numbers(sent, "k", 0, np.float64)
+        clusters = pa.chunked_array([x.values for x in sent.column("clusters")]).combine_chunks().dictionary_encode()
+        ranked = pc.sort_indices(clusters.dictionary)
+        rank = np.empty(len(ranked), np.int64)
+        rank[ranked.to_numpy()] = np.arange(len(ranked))
+        named, code = clusters.dictionary.take(ranked), rank[clusters.indices.to_numpy()]
+        total, gives = np.empty(len(ranked)), np.empty(len(ranked), bool)
+        for column, of, kind in (("all", total, np.float64), ("gives", gives, bool)):
+            of[code] = np.concatenate([_numbers(sent, column, at, kind) for at in range(sent.num_rows)])
+        own, halo = code[: len(nodes)], code[len(nodes) :]
+        pos, j, w = (_numbers(graph, c, 0, t) if graph.num_rows else np.empty(0, t) for c, t in (("pos", np.int32), ("j", np.int32), ("w", np.float64)))
+        to = halo[j]
+        use = gives[own[pos]] & (~gives[to] | (to == own[pos]))
+        link, which = np.unique(pos[use] * np.int64(len(ranked)) + to[use], return_inverse=True)
+        weight = np.bincount(which, w[use], len(link))
+        node, to = np.divmod(link, max(len(ranked), 1))
+        stays = to == own[node]
+        inner = np.zeros(len(nodes))
+        inner[node[stays]] = weight[stays]
+        node, to, weight = node[~stays], to[~stays], weight[~stays]
+        rest = total[own[node]] - k[node]
+        gain = (weight - inner[node]) / m - k[node] * (total[to] - rest) / (2 * m * m)
+        order = np.lexsort((to, -gain, node))
+        node, to, gain = node[order], to[order], gain[order]
+        best = np.append(True, node[1:] != node[:-1])[: len(node)] & (gain > 1e-15)
+        node, to, gain = node[best], to[best], gain[best]
+        return pa.Table.from_arrays([nodes.take(pa.array(node)), named.take(pa.array(to)), named.take(pa.array(own[node])), pa.array(k[node]), pa.array(gain)], schema.names)
+
+    return sent.groupBy("part").cogroup(graph.groupBy("part")).applyInArrow(run, schema)
 
 
 def _tried(moves: DataFrame, end: str) -> DataFrame:
@@ -28,17 +156,15 @@ def _tried(moves: DataFrame, end: str) -> DataFrame:
     return moves.join(sums.select(end, "step", "part", past.alias(f"before_{end}")), [end, "step", "part"]).withColumn(f"before_{end}", F.col(f"before_{end}") - F.col("k"))
 
 
-def _round(near: DataFrame, state: DataFrame, m: float, at: int, seed: int) -> DataFrame:
-    """(node, to, sure): the moves of a round, with gains in modularity that are sure."""
-    gives = lambda c: F.pmod(F.xxhash64(c, F.lit(seed), F.lit(at // 2)), F.lit(2)) == at % 2
+def _round(near: DataFrame | Packed, state: DataFrame, m: float, at: int, seed: int) -> DataFrame:
+    """(node, to, sure): the moves of a round, with gains in modularity that are sure; of (node, other, w) both ways, or of what was made of it with ``state`` in its places."""
+    if isinstance(near, DataFrame):
+        near = _packed(near.where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"), "w"), state)
+        state = state.join(near.places, "node")
+    gives = F.pmod(F.xxhash64("cluster", F.lit(seed), F.lit(at // 2)), F.lit(2)) == at % 2
     total = state.groupBy("cluster").agg(F.sum("k").alias("all"))
-    placed = state.join(total, "cluster")
-    links = near.join(state.select(F.col("node").alias("other"), F.col("cluster").alias("to")), "other").groupBy("node", "to").agg(F.sum("w").alias("w"))
-    own = links.withColumnRenamed("to", "cluster").withColumnRenamed("w", "own")
-    givers = placed.where(gives("cluster")).join(own, ["node", "cluster"], "left").select("node", F.col("cluster").alias("from"), "k", (F.col("all") - F.col("k")).alias("rest"), F.coalesce("own", F.lit(0.0)).alias("own"))
-    takers = links.where(~gives("to")).join(total.select(F.col("cluster").alias("to"), "all"), "to")
-    gain = (F.col("w") - F.col("own")) / m - F.col("k") * (F.col("all") - F.col("rest")) / (2 * m * m)
-    moves = best(takers.join(givers, "node").select("node", "to", "from", "k", gain.alias("gain")), ["node"], "gain", "to").where(F.col("gain") > 1e-15)
+    placed = state.join(total, "cluster").select("part", "pos", "node", "cluster", "k", "all", gives.alias("gives"))
+    moves = _best_moves(_sent(placed, near.sends), near.graph, m)
     moves = moves.withColumn("step", F.least(F.lit(STEPS), F.greatest(F.lit(0), STEPS + F.floor(4 * F.log2(F.col("gain") * m / F.col("k"))))).cast("int"))
     moves = stage(moves.withColumn("part", F.pmod(F.xxhash64("node", F.lit(at)), F.lit(PARTS)).cast("int")), "moves")
     sure = F.col("gain") - F.col("k") * (F.col("before_from") + F.col("before_to")) / (2 * m * m)
@@ -61,15 +187,16 @@ def louvain_levels(edges: DataFrame, least_gain: float = 1e-6, most_rounds: int
     whole = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cluster", F.col("node")), "members")
     levels = whole.where("false").select(F.lit(0).alias("level"), "node", "cluster")
     for level in range(1, most_levels + 1 if m else 0):
-        near = stage(pairs.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"), "w").select("e.node", "e.other", "w"), "near")
         state = stage(pairs.select(F.explode(F.array("a", "b")).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("k")).withColumn("cluster", F.col("node")), "state")
+        near = _packed(pairs.where("a <> b"), state)
+        state = stage(state.join(near.places, "node"), "state")
         idle, moved = 0, False
         for at in range(most_rounds):
             moves = stage(_round(near, state, m, at, seed * 100 + level), "moved")
             sure = moves.agg(F.sum("sure")).first()[0] or 0.0
             if sure > 0:
                 moved = True
-                state = stage(state.join(moves.select("node", "to"), "node", "left").select("node", "k", F.coalesce("to", "cluster").alias("cluster")), "state")
+                state = stage(state.join(moves.select("node", "to"), "node", "left").select("node", "k", F.coalesce("to", "cluster").alias("cluster"), "part", "pos"), "state")
             idle = 0 if sure > least_gain else idle + 1
             if idle == 4:
                 break

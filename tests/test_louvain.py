@@ -77,3 +77,37 @@ def test_empty(spark):
     assert louvain.louvain(edges).count() == 0 and louvain.louvain_levels(edges).count() == 0
     alone = spark.createDataFrame([(1, 1, 2.0)], "src int, dst int, weight double")
     assert [tuple(r) for r in louvain.louvain(alone).collect()] == [(1, 1)]
+
+
+def test_moves_over_parts(spark, monkeypatch):
+    """Packed in many parts, nodes named by texts: every giver's best move, by brute force, and the packed edges are not shuffled."""
+    monkeypatch.setattr(louvain, "PART_ENDS", 60)
+    e = {}
+    for a, b, w in graph("loops")[:300]:
+        if a != b:
+            pair = tuple(sorted((f"n{a}", f"n{b}")))
+            e[pair] = e.get(pair, 0) + w
+    nodes = sorted({x for pair in e for x in pair} | {"alone"})
+    near = louvain._packed(spark.createDataFrame([(*p, w) for p, w in e.items()], "a string, b string, w double"), spark.createDataFrame([(n,) for n in nodes], "node string"))
+    assert near.places.select("part").distinct().count() > 5
+    k = {n: sum(w for p, w in e.items() if n in p) for n in nodes}
+    cluster, m = {n: nodes[i // 3 * 3] for i, n in enumerate(nodes)}, sum(e.values())
+    total, gives = {}, {c: i % 2 == 0 for i, c in enumerate(sorted(set(cluster.values())))}
+    for n in nodes:
+        total[cluster[n]] = total.get(cluster[n], 0) + k[n]
+    rows = [(n, cluster[n], float(k[n]), float(total[cluster[n]]), gives[cluster[n]]) for n in nodes]
+    placed = spark.createDataFrame(rows, "node string, cluster string, k double, all double, gives boolean").join(near.places, "node")
+    moves = louvain._best_moves(louvain._sent(placed, near.sends), near.graph, m)
+    assert moves._jdf.queryExecution().executedPlan().toString().count("Exchange") == 3  # places, nodes, clusters sent
+    expected = {}
+    for n in nodes:
+        link = {}
+        for (a, b), w in e.items():
+            if n in (a, b):
+                c = cluster[b if n == a else a]
+                link[c] = link.get(c, 0) + w
+        own = link.get(cluster[n], 0)
+        tried = [(-((w - own) / m - k[n] * (total[c] - (total[cluster[n]] - k[n])) / (2 * m * m)), c) for c, w in link.items() if gives[cluster[n]] and not gives[c]]
+        if tried and -min(tried)[0] > 1e-15:
+            expected[n] = min(tried)[1]
+    assert {r["node"]: r["to"] for r in moves.collect()} == expected and len(expected) > 5
