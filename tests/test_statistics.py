@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescape.functions import stats
+from tablescape.sources import catalog
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +53,26 @@ def test_percentiles(spark, rows, monkeypatch, least):
     assert len(one) == 1 and one[0][0] == pytest.approx(np.percentile(want["hot"], 33.3), rel=1e-12)
     assert stats.percentiles_by_index(df.where("k = 'hot'"), "v", [50]).first()[0] == want["hot"][2000]
     assert stats.percentiles_linear(df.where("false"), "v", [0.5], ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("word", [2, 63])
+def test_discovered_keys_by_hand(spark, monkeypatch, word):
+    """Sets of columns over one or several words: shares by brute force, nulls, repeats, negative values and columns of nulls alone."""
+    monkeypatch.setattr(catalog, "WORD", word)
+    held = {
+        "a": ("id long, half int, gone long, note string", [(-1, 1, None, "x"), (2, 1, None, "y"), (3, 9, None, "z"), (1, None, None, None)]),
+        "b": ("a_id long, id short", [(-1, 10), (2, 11), (2, 12), (7, 13)]),
+        "c": ("id long, some long", [(1, 1), (9, 2), (10, None)]),
+        "d": ("note string", [("1",)]),
+    }
+    tables = {t: spark.createDataFrame(rows, schema) for t, (schema, rows) in held.items()}
+    columns = {(t, c.split()[0]): [r[i] for r in rows] for t, (schema, rows) in held.items() for i, c in enumerate(schema.split(", ")) if "string" not in c}
+    for least in (0.3, 1.0):
+        expected = {}
+        for (st, sc), s in columns.items():
+            for (tt, tc), d in columns.items():
+                values = set(s) - {None}
+                if st != tt and None not in d and len(set(d)) == len(d) and values & set(d) and len(values & set(d)) / len(values) >= least:
+                    expected[st, sc, tt, tc] = pytest.approx(len(values & set(d)) / len(values))
+        found = catalog.discover_keys(tables, least).collect()
+        assert {tuple(r)[:4]: r["share"] for r in found} == expected and len(found) == len(expected) > 0
