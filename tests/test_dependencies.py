@@ -3,6 +3,7 @@
 import pytest
 
 from tablescape.operators import clustering, graph, hubs
+from tablescape.sources import catalog
 
 
 def test_domain_of_a_hub(spark):
@@ -20,3 +21,14 @@ def test_traversals_raise_at_their_limit(spark):
     assert graph.bfs(e, spark.createDataFrame([(0,)], "source int"), most=6).count() == 6
     with pytest.raises(ValueError):
         graph.bfs(e, spark.createDataFrame([(0,)], "source int"), most=3)
+
+
+def test_links_of_orders(spark, tmp_path):
+    """The links are those of the whole catalog, with null keys, orders without lines, repeated lines and ties of line numbers."""
+    rows = [(k, n, (k * 7 + n * 5) % 12, (k + n * 3) % 23, float(n), 1.0) for k in range(1, 40) if k % 9 for n in range(1, 6)]
+    rows += [(k, 1, 3, 4, 1.0, 1.0) for k in (2, 2, 5)] + [(None, 2, 3, 4, 1.0, 1.0), (7, 1, None, 4, 1.0, 1.0), (8, 2, 6, None, 1.0, 1.0), (11, None, 9, 2, 1.0, 1.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, k % 4 if k % 5 else None) for k in range(1, 45)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    rels = catalog.order_catalog(spark, str(tmp_path))[1].where("source_table <> target_table").select("source_table", "target_table")
+    found = sorted(map(tuple, catalog.order_links(spark, str(tmp_path)).collect()))
+    assert found == sorted(map(tuple, rels.collect())) and len(found) > 20
