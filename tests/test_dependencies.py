@@ -32,3 +32,23 @@ def test_links_of_orders(spark, tmp_path):
     rels = catalog.order_catalog(spark, str(tmp_path))[1].where("source_table <> target_table").select("source_table", "target_table")
     found = sorted(map(tuple, catalog.order_links(spark, str(tmp_path)).collect()))
     assert found == sorted(map(tuple, rels.collect())) and len(found) > 20
+
+
+def test_joins_pass_no_table_through_the_driver(spark, tmp_path, monkeypatch):
+    """Tables of one row a node or edge are not broadcast, however small their files."""
+    rows = [(k, n, (k * 7 + n * 5) % 12, (k + n * 3) % 23, float(n), 1.0) for k in range(1, 40) for n in range(1, 6)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, k % 4) for k in range(1, 40)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    plans, write = [], catalog.stage
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def stage(df, label, *by):
+        plans.append((label, plan(df)))
+        return write(df, label, *by)
+
+    for module in (catalog, graph, clustering):
+        monkeypatch.setattr(module, "stage", stage)
+    e = stage(catalog.order_links(spark, str(tmp_path)), "links")
+    n = hubs.dependency_hubs(e, rounds=2, tolerance=0.0)
+    plans += [("hubs", plan(n)), ("domains", plan(clustering.dependency_domains(e, n)))]
+    assert [label for label, p in plans if "Broadcast" in p] == [] and len(plans) > 8
