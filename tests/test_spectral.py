@@ -1,10 +1,11 @@
 """Eigenvalues of the normalised Laplacian against numpy's, and planted clusters found."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablescape.operators import spectral
-from tablescape.session import stage_buckets
+from tablescape.session import Buckets, stage_buckets
 
 
 def planted(rng, sizes, inside, across):
@@ -78,3 +79,17 @@ def test_blocks_meet_without_a_shuffle(spark):
     df, names = spectral._beside({"b": [b.hint("merge") for b in blocks]})
     assert sorted(tuple(r) for r in df.collect()) == [(i, 1, [0.0], [1.0], [2.0]) for i in range(8)] and names == {"b": ["b_0", "b_1", "b_2"]}
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_panels_are_rows_of_their_own(spark):
+    """A row holds one panel, however many blocks are combined, and those of a part come together without a shuffle or a join."""
+    space = Buckets(spark, "block", "part", 4)
+    for i in range(9):
+        space.add(spark.range(8).selectExpr("cast(id as int) part", "1 n", f"cast('{i}' as binary) x"))
+    df = space.read(*range(1, 9))
+    assert sorted((r["part"], r["n"], r["x"]) for r in df.collect()) == [(part, 1, str(i).encode()) for part in range(8) for i in range(1, 9)]
+    together = df.groupBy("part").applyInArrow(lambda panels: pa.table({"part": panels.column("part").slice(0, 1), "pieces": pa.array([sorted(panels.column("piece").to_pylist())], pa.list_(pa.int32()))}), "part int, pieces array<int>")
+    assert sorted(map(tuple, together.collect())) == [(part, [*range(1, 9)]) for part in range(8)]
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    space.close()
