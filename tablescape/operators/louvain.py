@@ -30,7 +30,7 @@ from tablescape.session import stage, stage_buckets
 #: Steps of gain by degree, and parts of a step, in which moves of a cluster are tried: a window holds so many rows at most.
 STEPS, PARTS = 64, 16
 #: Ends of edges in a part of the graph, on average, and the most buckets that parts are written in.
-PART_ENDS, MOST_BUCKETS = 1 << 18, 200
+PART_ENDS, MOST_BUCKETS = 1 << 19, 200
 
 
 class Packed(NamedTuple):
@@ -62,14 +62,25 @@ def _packed(pairs: DataFrame, nodes: DataFrame) -> Packed:
     places = stage(ranged.select("node", "part", (F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1).alias("pos")), "places")
     end = lambda c: places.select(F.col("node").alias(c), F.struct("part", "pos").alias(f"at_{c}"))
     e = pairs.join(end("a"), "a").select("b", "at_a", "w").join(end("b"), "b")
-    way = lambda x, y: F.struct(F.col(f"at_{x}").alias("x"), F.col(f"at_{y}").alias("y"))
-    e = e.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("e"), "w").select("e.x.part", "e.x.pos", F.col("e.y.part").alias("part_y"), F.col("e.y.pos").alias("pos_y"), "w")
+    e = e.select("at_a.part", "at_a.pos", F.col("at_b.part").alias("part_b"), F.col("at_b.pos").alias("pos_b"), "w")
 
-    def pack(key, edges):
-        pos, part_y, pos_y, w = (edges.column(c).to_numpy() for c in ("pos", "part_y", "pos_y", "w"))
-        halo, j = np.unique((part_y.astype(np.int64) << 32) | pos_y, return_inverse=True)
+    def ends(key, edges):
+        """The ends of the edges that a part's nodes are first of, packed for the parts that they lie in."""
+        part = key[0].as_py()
+        pos, part_b, pos_b, w = (edges.column(c).to_numpy() for c in ("pos", "part_b", "pos_b", "w"))
+        to = np.append(np.full(len(pos), part, part_b.dtype), part_b)
+        order = np.argsort(to, kind="stable")
+        there = np.append(pos, pos_b).astype(np.int32)[order]
+        other = np.append((part_b.astype(np.int64) << 32) | pos_b, (np.int64(part) << 32) | pos.astype(np.int64))[order]
+        found, first = np.unique(to[order], return_index=True)
+        rows = zip(found.tolist(), np.split(there, first[1:]), np.split(other, first[1:]), np.split(np.append(w, w).astype(np.float64)[order], first[1:]))
+        return pa.concat_tables([pa.Table.from_arrays([pa.array([at], pa.int32()), *map(_bytes, columns)], ["part", "pos", "other", "w"]) for at, *columns in rows])
+
+    def pack(key, packed):
+        pos, other, w = (np.concatenate([_numbers(packed, c, at, t) for at in range(packed.num_rows)]) for c, t in (("pos", np.int32), ("other", np.int64), ("w", np.float64)))
+        halo, j = np.unique(other, return_inverse=True)
         order = np.lexsort((j, pos))
-        columns = [pos[order].astype(np.int32), j[order].astype(np.int32), w[order].astype(np.float64), halo]
+        columns = [pos[order], j[order].astype(np.int32), w[order], halo]
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), *map(_bytes, columns)], ["part", "pos", "j", "w", "halo"])
 
     def wanted(batches):
@@ -84,9 +95,10 @@ def _packed(pairs: DataFrame, nodes: DataFrame) -> Packed:
         return part, np.split((halo & 0xFFFFFFFF).astype(np.int32), first[1:])
 
     buckets = min(parts, MOST_BUCKETS)
-    graph = stage_buckets(e.groupBy("part").applyInArrow(pack, "part int, pos binary, j binary, w binary, halo binary"), "packed", "part", buckets)
+    packed = e.groupBy("part").applyInArrow(ends, "part int, pos binary, other binary, w binary")
+    graph = stage_buckets(packed.groupBy("part").applyInArrow(pack, "part int, pos binary, j binary, w binary, halo binary"), "packed", "part", buckets)
     sends = stage_buckets(graph.select("part", "halo").mapInArrow(wanted, "part int, to int, ids binary"), "sends", "part", buckets)
-    return Packed(places, graph.drop("halo"), sends)
+    return Packed(places, graph, sends)
 
 
 def _sent(placed: DataFrame, sends: DataFrame) -> DataFrame:
@@ -110,30 +122,34 @@ def _sent(placed: DataFrame, sends: DataFrame) -> DataFrame:
     return placed.groupBy("part").cogroup(sends.groupBy("part")).applyInArrow(run, schema)
 
 
+def _ranked(sent: pa.Table) -> tuple[pa.Table, pa.Array, np.ndarray]:
+    """The rows of ``sent``, the part's own first, the names of all clusters in them in order, and the rank of the cluster of each node and neighbour."""
+    sent = sent.take(pc.sort_indices(sent, sort_keys=[("at", "ascending")], null_placement="at_start"))
+    clusters = pa.chunked_array([x.values for x in sent.column("clusters")]).combine_chunks().dictionary_encode()
+    ranked = pc.sort_indices(clusters.dictionary)
+    rank = np.empty(len(ranked), np.int64)
+    rank[ranked.to_numpy()] = np.arange(len(ranked))
+    return sent, clusters.dictionary.take(ranked), rank[clusters.indices.to_numpy()]
+
+
 def _best_moves(sent: DataFrame, graph: DataFrame, m: float) -> DataFrame:
     """(node, to, from, k, gain): a giver's node and the taker next to it of the greatest gain, ties to the least name."""
     name = sent.schema["nodes"].dataType.elementType
     schema = T.StructType([*[T.StructField(c, name) for c in ("node", "to", "from")], T.StructField("k", T.DoubleType()), T.StructField("gain", T.DoubleType())])
 
     def run(key, sent, graph):
-        order = pc.sort_indices(sent, sort_keys=[("at", "ascending")], null_placement="at_start")
-        sent = sent.take(order)
+        sent, named, code = _ranked(sent)
         nodes, k = sent.column("nodes")[0].values, _numbers(sent, "k", 0, np.float64)
-        clusters = pa.chunked_array([x.values for x in sent.column("clusters")]).combine_chunks().dictionary_encode()
-        ranked = pc.sort_indices(clusters.dictionary)
-        rank = np.empty(len(ranked), np.int64)
-        rank[ranked.to_numpy()] = np.arange(len(ranked))
-        named, code = clusters.dictionary.take(ranked), rank[clusters.indices.to_numpy()]
-        total, gives = np.empty(len(ranked)), np.empty(len(ranked), bool)
+        total, gives = np.empty(len(named)), np.empty(len(named), bool)
         for column, of, kind in (("all", total, np.float64), ("gives", gives, bool)):
             of[code] = np.concatenate([_numbers(sent, column, at, kind) for at in range(sent.num_rows)])
         own, halo = code[: len(nodes)], code[len(nodes) :]
         pos, j, w = (_numbers(graph, c, 0, t) if graph.num_rows else np.empty(0, t) for c, t in (("pos", np.int32), ("j", np.int32), ("w", np.float64)))
         to = halo[j]
         use = gives[own[pos]] & (~gives[to] | (to == own[pos]))
-        link, which = np.unique(pos[use] * np.int64(len(ranked)) + to[use], return_inverse=True)
+        link, which = np.unique(pos[use] * np.int64(len(named)) + to[use], return_inverse=True)
         weight = np.bincount(which, w[use], len(link))
-        node, to = np.divmod(link, max(len(ranked), 1))
+        node, to = np.divmod(link, max(len(named), 1))
         stays = to == own[node]
         inner = np.zeros(len(nodes))
         inner[node[stays]] = weight[stays]
@@ -146,7 +162,26 @@ def _best_moves(sent: DataFrame, graph: DataFrame, m: float) -> DataFrame:
         node, to, gain = node[best], to[best], gain[best]
         return pa.Table.from_arrays([nodes.take(pa.array(node)), named.take(pa.array(to)), named.take(pa.array(own[node])), pa.array(k[node]), pa.array(gain)], schema.names)
 
-    return sent.groupBy("part").cogroup(graph.groupBy("part")).applyInArrow(run, schema)
+    return sent.groupBy("part").cogroup(graph.select("part", "pos", "j", "w").groupBy("part")).applyInArrow(run, schema)
+
+
+def _between(near: Packed, state: DataFrame) -> DataFrame:
+    """(a, b, w): the clusters that the packed edges join, a <= b, with a sum a part: edges are not joined with names."""
+    placed = state.select("part", "pos", "node", "cluster", "k", F.lit(0.0).alias("all"), F.lit(False).alias("gives"))
+    name = state.schema["cluster"].dataType
+    schema = T.StructType([T.StructField("a", name), T.StructField("b", name), T.StructField("w", T.DoubleType())])
+
+    def run(key, sent, graph):
+        sent, named, code = _ranked(sent)
+        n = len(sent.column("nodes")[0].values)
+        pos, j, w, halo = (_numbers(graph, c, 0, t) if graph.num_rows else np.empty(0, t) for c, t in (("pos", np.int32), ("j", np.int32), ("w", np.float64), ("halo", np.int64)))
+        once = (np.int64(key[0].as_py()) << 32 | pos.astype(np.int64)) < halo[j]  # the other end has the edge too
+        x, y = code[pos[once]], code[n + j[once]]
+        pair, which = np.unique(np.minimum(x, y) * np.int64(len(named)) + np.maximum(x, y), return_inverse=True)
+        a, b = np.divmod(pair, max(len(named), 1))
+        return pa.Table.from_arrays([named.take(pa.array(a)), named.take(pa.array(b)), pa.array(np.bincount(which, w[once], len(pair)))], schema.names)
+
+    return _sent(placed, near.sends).groupBy("part").cogroup(near.graph.groupBy("part")).applyInArrow(run, schema)
 
 
 def _tried(moves: DataFrame, end: str) -> DataFrame:
@@ -205,8 +240,8 @@ def louvain_levels(edges: DataFrame, least_gain: float = 1e-6, most_rounds: int
         to = state.select(F.col("node").alias("cluster"), F.col("cluster").alias("to"))
         whole = stage(whole.join(to, "cluster").select("node", F.col("to").alias("cluster")), "members")
         levels = levels.unionByName(whole.select(F.lit(level).alias("level"), "node", "cluster"))
-        renamed = pairs.join(to.select(F.col("cluster").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("cluster").alias("b"), F.col("to").alias("tb")), "b")
-        pairs = stage(renamed.groupBy(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).agg(F.sum("w").alias("w")), "louvain")
+        loops = pairs.where("a = b").join(to.select(F.col("cluster").alias("a"), "to"), "a").select(F.col("to").alias("a"), F.col("to").alias("b"), "w")
+        pairs = stage(_between(near, state).unionByName(loops).groupBy("a", "b").agg(F.sum("w").alias("w")), "louvain")
     return levels if m else whole.select(F.lit(0).alias("level"), "node", "cluster").where("false")
 
 

@@ -111,3 +111,26 @@ def test_moves_over_parts(spark, monkeypatch):
         if tried and -min(tried)[0] > 1e-15:
             expected[n] = min(tried)[1]
     assert {r["node"]: r["to"] for r in moves.collect()} == expected and len(expected) > 5
+
+
+def test_contraction_over_parts(spark, monkeypatch):
+    """The edges between clusters come from the packed edges, each counted once, within parts and across, by brute force; no edge is joined with a name."""
+    monkeypatch.setattr(louvain, "PART_ENDS", 60)
+    e = {}
+    for a, b, w in graph("loops")[:300]:
+        if a != b:
+            pair = tuple(sorted((f"n{a}", f"n{b}")))
+            e[pair] = e.get(pair, 0) + w
+    nodes = sorted({x for pair in e for x in pair} | {"alone"})
+    near = louvain._packed(spark.createDataFrame([(*p, float(w)) for p, w in e.items()], "a string, b string, w double"), spark.createDataFrame([(n,) for n in nodes], "node string"))
+    cluster = {n: nodes[i * 7 % len(nodes) // 9] for i, n in enumerate(nodes)}
+    state = spark.createDataFrame([(n, cluster[n], 1.0) for n in nodes], "node string, cluster string, k double").join(near.places, "node")
+    between = louvain._between(near, state)
+    assert between._jdf.queryExecution().executedPlan().toString().count("Exchange") == 3  # places, nodes, clusters sent
+    expected, found = {}, {}
+    for (a, b), w in e.items():
+        pair = tuple(sorted((cluster[a], cluster[b])))
+        expected[pair] = expected.get(pair, 0) + w
+    for r in between.collect():
+        found[r["a"], r["b"]] = found.get((r["a"], r["b"]), 0) + r["w"]
+    assert found == pytest.approx(expected) and len(expected) > 20 and any(a == b for a, b in expected)
