@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from tablescape.session import Buckets, stage, stage_buckets
+from tablescape.session import Buckets, merged, stage, stage_buckets
 
 #: Columns in a block beyond those asked for; blocks before a restart; norm of a residual that ends it.
 SPARE, BLOCKS, TOLERANCE = 3, 12, 1e-5
@@ -106,8 +106,8 @@ def _packed(pairs: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
     neighbours in ``part``; those of the one at ``at`` are ``j[starts[at]:starts[at + 1]]``.
     """
     end = lambda c: places.select(F.col("node").alias(c), F.col("part").alias(f"part_{c}"), F.col("pos").alias(f"pos_{c}"), F.col("n").alias(f"n_{c}"), F.sqrt("d").alias(f"root_{c}"))
-    e = pairs.join(end("a"), "a").select("b", "part_a", "pos_a", "n_a", (F.col("weight") / F.col("root_a")).alias("w"))
-    e = e.join(end("b"), "b").select("part_a", "part_b", "pos_a", "pos_b", "n_a", "n_b", (F.col("w") / F.col("root_b")).alias("w"))
+    e = merged(pairs, end("a"), "a").select("b", "part_a", "pos_a", "n_a", (F.col("weight") / F.col("root_a")).alias("w"))
+    e = merged(e, end("b"), "b").select("part_a", "part_b", "pos_a", "pos_b", "n_a", "n_b", (F.col("w") / F.col("root_b")).alias("w"))
     schema = "part int, to int, size int, ids array<int>, starts array<int>, j array<int>, w array<double>"
     ints = [("part", pa.int32()), ("to", pa.int32()), ("size", pa.int32())]
 
